@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, sharding, tokens, warc
+from .common import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,11 @@ MIX_WEIGHTS = [5.0, 2.0, 1.0]
 SHARDS = 24
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return warc.read_archives(manifest).drop("url")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents"), MIX_WEIGHTS, budget=1.5, cap=2.0)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -28,14 +34,27 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
+    "op6_token_counts": op6_token_counts,
 }
 
 _FRACTION = "((('0x' || substr(md5({0}), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0"
 
 ORACLES: dict[str, str] = {
+    "op3_warc": """
+WITH p AS (SELECT page_id, coalesce(octet_length(encode(html)), 0)::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS keeper FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM k""",
     "op4_mixing": f"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
                   md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
