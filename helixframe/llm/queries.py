@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, tokens, warc
+from . import dartminhash, mixing, sharding, tokens, warc
 from .common import fresh_path
 
 
@@ -40,11 +40,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8, words=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
+    "op10_dartminhash": op10_dartminhash,
 }
 
 _FRACTION = "((('0x' || substr(md5({0}), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0"
