@@ -105,8 +105,9 @@ def hex_fraction(h: Column) -> Column:
 
 # ---- token hashes: numpy over the bytes of a whole Arrow batch -------------------------------------------------------
 
-#: Batches are cut into slices of about so many bytes, so that memory doesn't follow the batch; a longer text is a slice of its own.
-SLICE_BYTES = 4_000_000
+#: Batches are cut into slices of about so many bytes and rows at most, so that memory doesn't follow the batch; a longer
+#: text is a slice of its own.
+SLICE_BYTES, SLICE_ROWS = 1_000_000, 1000
 _M = 0x9E3779B97F4A7C15
 _M_INV = pow(_M, -1, 2**64)
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -119,7 +120,7 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 def _power(n: int, kind: str) -> np.ndarray:
     if len(_powers[kind]) < n:
-        base = np.full(max(n, 2 * len(_powers[kind])), _M if kind == "up" else _M_INV, np.uint64)
+        base = np.full(max(n, 1 << 20), _M if kind == "up" else _M_INV, np.uint64)
         base[0] = 1
         with np.errstate(over="ignore"):
             _powers[kind] = np.multiply.accumulate(base)
@@ -135,14 +136,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the column's bytes stay near SLICE_BYTES."""
+def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the column's bytes stay near SLICE_BYTES, and the rows at most `rows`."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         piece = np.cumsum(sizes) // SLICE_BYTES
-        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+        cuts = sorted({*range(0, batch.num_rows, rows), *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows})
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
 

@@ -123,7 +123,7 @@ def sketches(docs: DataFrame, words: int, k: int, id_col: str, text_col: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 300):
             text = b.column("text")
             data, offsets = text_bytes(text)
             view = memoryview(np.ascontiguousarray(data))
@@ -152,10 +152,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     texts are alike. Rows without an id get null columns and are kept. Other columns are ignored; an empty table gives an
     empty result.
 
-    Equal texts are collapsed first. Then each bucket links its members to one of them, chosen by a hash, so that a bucket of n
-    near copies costs n comparisons. What is still apart in a bucket is compared block by block by signature, leaving
-    out pairs that are already together, and every pair whose signatures might belong to a similarity of threshold
-    (four standard deviations below) is compared exactly. There is no cap on a bucket, and no candidate is dropped."""
+    Equal texts are collapsed first. Then each bucket compares its members with its smallest id only, so that a bucket of n
+    near copies costs n comparisons; buckets whose members are still apart do so once more with a member chosen by a hash.
+    What is apart even then is compared block by block by signature, leaving out pairs that are already together, and every
+    pair whose signatures might belong to a similarity of threshold (four standard deviations below) is compared exactly.
+    There is no cap on a bucket, and no candidate is dropped."""
     k = bands * rows
     might = threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5
     all_rows = stash(sketches(docs, words, k, id_col, text_col), "sketches")
@@ -165,22 +166,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     reps = stash(reps, "reps")
     bucket = [F.xxhash64(F.lit(i), *[F.col("sig")[i * rows + j] for j in range(rows)]) for i in range(bands)]
     banded = reps.select("rep", F.explode(F.array(*bucket)).alias("h"))
-    chosen = banded.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("rep", "h").alias("x"), F.col("rep").alias("centre"))).alias("c"))
-    chosen = stash(chosen.where("size > 1").select("h", "size", "c.centre"), "buckets")
-    inside = stash(banded.join(chosen, "h"), "members")
-    star = inside.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-    tested = stash(_verified(star, docs, words, id_col, text_col), "pairs")
-    edges = tested.where(F.col("similarity") >= threshold).select("a", "b")
-    found = components(edges)
-
-    # what the stars left apart: buckets of three or more with members of different components
-    apart = inside.where("size > 2").select("h", "rep", "size").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    apart = stash(apart, "apart")
-    open_ = apart.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
-    open_ = stash(open_, "open")
+    chosen = banded.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("centre")).where("size > 1")
+    inside = stash(banded.join(stash(chosen, "buckets"), "h"), "members")
+    pair = [F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")]
+    tested = stash(_verified(inside.where("rep <> centre").select(*pair).distinct(), docs, words, id_col, text_col), "pairs")
+    linked = F.col("similarity") >= threshold
+    found = components(tested.where(linked).select("a", "b"))
+
+    apart = _apart(inside.where("size > 2").select("h", "rep", "size"), found)
+    chosen = apart.groupBy("h").agg(F.min_by("rep", F.xxhash64("rep", "h")).alias("centre"), F.min_by("component", F.xxhash64("rep", "h")).alias("home"))
+    again = apart.join(stash(chosen, "buckets"), "h").where("component <> home").select(*pair).distinct()
+    again = stash(_verified(again.join(tested.select("a", "b"), ["a", "b"], "left_anti"), docs, words, id_col, text_col), "pairs")
+    tested = tested.unionByName(again)
+    found = components(tested.where(linked).select("a", "b"))
+
+    apart = _apart(apart.select("h", "rep", "size"), found)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit("block")), blocks).cast("int")
-    dealt = apart.join(open_, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component").join(reps, "rep")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -199,9 +202,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
 
     more = dealt.groupBy("h", "i", "j").applyInArrow(compare, "a long, b long").distinct()
     more = stash(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        late = stash(_verified(more, docs, words, id_col, text_col), "late")
-        found = components(edges.unionByName(late.where(F.col("similarity") >= threshold).select("a", "b")))
+    late = stash(_verified(more, docs, words, id_col, text_col), "late")
+    found = components(tested.unionByName(late).where(linked).select("a", "b"))
 
     labels = stash(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component_id")), "labels")
     with_id = F.col("id").isNotNull()
@@ -209,6 +211,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     return out.select(F.col("id").alias(id_col), F.when(with_id, F.col("rep")).alias("class_id"), F.when(with_id, F.col("component_id")).alias("component_id"), (~with_id | (F.col("id") == F.col("component_id"))).alias("kept"))
 
 
+def _apart(inside: DataFrame, found: DataFrame) -> DataFrame:
+    """The members (h, rep, size) of buckets that hold more than one component, each with its component."""
+    held = inside.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    held = stash(held, "apart")
+    open_ = held.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
+    return stash(held.join(stash(open_, "open"), "h"), "apart")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """pairs (a, b) with the similarity of their texts."""
     pairs = stash(pairs, "candidates")
@@ -219,7 +229,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, id_col: str, text_c
     both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "ta"):
+        for b in slices(batches, "ta", 300):
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(pair_similarity(b.column("ta"), b.column("tb"), words))], names=["a", "b", "similarity"])
 
     return both.mapInArrow(run, "a long, b long, similarity double")
