@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, dartminhash, decontam, mixing, sharding, tokens, warc
+from . import covertree, dartminhash, decontam, mixing, quality, sharding, tokens, warc
 from .common import fresh_path
 
 
@@ -48,6 +48,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8, words=5)
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
+    "op9_quality": op9_quality,
     "op10_dartminhash": op10_dartminhash,
 }
 
