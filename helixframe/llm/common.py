@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -146,6 +147,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = SLICE_ROW
         cuts = sorted({*range(0, batch.num_rows, rows), *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows})
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, beside an executor that needs it."""
+    _powers.update(up=np.ones(1, np.uint64), down=np.ones(1, np.uint64))
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

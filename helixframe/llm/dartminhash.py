@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     all_rows = stash(sketches(docs, words, k, id_col, text_col), "sketches")
     some = all_rows.where("id is not null")
     classes = stash(some.groupBy("key").agg(F.min("id").alias("rep")), "classes")
-    reps = some.where("n > 0").join(classes, "key").where("id = rep").dropDuplicates(["rep"]).select("rep", "sig")
+    reps = some.where("n > 0").join(classes, "key").where("id = rep").dropDuplicates(["key"]).select("rep", "sig")
     reps = stash(reps, "reps")
     bucket = [F.xxhash64(F.lit(i), *[F.col("sig")[i * rows + j] for j in range(rows)]) for i in range(bands)]
     banded = reps.select("rep", F.explode(F.array(*bucket)).alias("h"))
