@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, dartminhash, decontam, mixing, quality, sharding, tokens, warc, wrappers
+from . import covertree, dartminhash, decontam, licences, mixing, quality, sharding, tokens, warc, wrappers
 from .common import fresh_path
 
 
@@ -52,6 +52,10 @@ def op7_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
     "op7_wrappers": op7_wrappers,
+    "op8_licences": op8_licences,
     "op9_quality": op9_quality,
     "op10_dartminhash": op10_dartminhash,
 }
