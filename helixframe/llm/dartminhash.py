@@ -116,8 +116,18 @@ def pair_similarity(a: pa.Array, b: pa.Array, words: int) -> np.ndarray:
     return np.where(either > 0, both / np.maximum(either, 1), 0.0)
 
 
-def sketches(docs: DataFrame, words: int, k: int, id_col: str, text_col: str) -> DataFrame:
-    """id, key (a 128-bit hash of the whole text), n (its words) and sig (k ints) of each row. A null text counts as empty."""
+def band_hashes(sig: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit hash of each band of `rows` coordinates; a band's place is part of its hash."""
+    parts = sig.reshape(len(sig), -1, rows).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        acc = np.broadcast_to(np.arange(1, parts.shape[1] + 1, dtype=np.uint64), parts.shape[:2])
+        for j in range(rows):
+            acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, j])
+    return acc.view(np.int64)
+
+
+def sketches(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """id, key (a 128-bit hash of the whole text), n (its words) and bands (hashes) of each row. A null text counts as empty."""
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +139,60 @@ def sketches(docs: DataFrame, words: int, k: int, id_col: str, text_col: str) ->
             view = memoryview(np.ascontiguousarray(data))
             keys = [xxhash.xxh3_128_hexdigest(view[s:e]) for s, e in zip(offsets.tolist(), offsets[1:].tolist())]
             h, at = token_hashes(text)
-            sig = dart_signatures(*weighted(*windows(h, at, words)), b.num_rows, k)
-            flat = pa.array(sig.astype(np.int64).ravel().astype(np.uint32).view(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * k), flat)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys), pa.array(np.diff(at)), lists], names=["id", "key", "n", "sig"])
+            sig = dart_signatures(*weighted(*windows(h, at, words)), b.num_rows, bands * rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * bands), pa.array(band_hashes(sig, rows).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys), pa.array(np.diff(at)), lists], names=["id", "key", "n", "bands"])
+
+    return thin.mapInArrow(run, "id long, key string, n long, bands array<long>")
+
 
-    return thin.mapInArrow(run, "id long, key string, n long, sig array<int>")
+def window_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """id and set of each row: sorted 64-bit numbers, one for each occurrence of each window, so that the weighted similarity of
+    two texts is the plain Jaccard similarity of their sets."""
+    thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 300):
+            row, element, weight = text_sets(b.column("text"), words)
+            nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+            with np.errstate(over="ignore"):
+                each = mix64(np.repeat(element, weight) + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            at = np.concatenate([[0], np.cumsum(np.bincount(row, weight, b.num_rows))]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([each[s:e].tobytes() for s, e in zip(at, at[1:])], pa.binary())], names=["id", "set"])
+
+    return thin.mapInArrow(run, "id long, set binary")
+
+
+def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, part: np.ndarray, threshold: float) -> np.ndarray:
+    """For each member the least place that links between left and right, of members of different parts, join it with."""
+    root = np.arange(len(sets))
+    size = np.array([len(x) for x in sets])
+    every, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, code, times = np.unique(every, return_inverse=True, return_counts=True)
+    shared = times[code] > 1  # what only one member has is no part of any intersection
+    kept, code = np.unique(code[shared], return_inverse=True)
+    member = member[shared]
+    both = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(code, kind="stable")
+    code, member = code[order], member[order]
+    for lo in range(0, len(kept), 2048):
+        s, e = np.searchsorted(code, [lo, lo + 2048])
+        m = np.zeros((len(sets), 2048), np.float32)
+        m[member[s:e], code[s:e] - lo] = 1
+        both += m[left] @ m[right].T
+    either = size[left][:, None] + size[right][None, :] - both
+    linked = (both >= threshold * either) & (part[left][:, None] != part[right][None, :])
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in zip(*np.nonzero(linked)):
+        x, y = find(int(left[i])), find(int(right[j]))
+        root[max(x, y)] = min(x, y)
+    return np.array([find(i) for i in range(len(sets))])
 
 
 #: Members of a bucket are compared in blocks of about so many, so that no task holds a whole bucket.
@@ -154,18 +212,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
 
     Equal texts are collapsed first. Then each bucket compares its members with its smallest id only, so that a bucket of n
     near copies costs n comparisons; buckets whose members are still apart do so once more with a member chosen by a hash.
-    What is apart even then is compared block by block by signature, leaving out pairs that are already together, and every
-    pair whose signatures might belong to a similarity of threshold (four standard deviations below) is compared exactly.
-    There is no cap on a bucket, and no candidate is dropped."""
-    k = bands * rows
-    might = threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5
-    all_rows = stash(sketches(docs, words, k, id_col, text_col), "sketches")
+    In buckets that hold more than one component even then, all members are compared exactly, block by block, and only a forest
+    of the links found leaves a task. There is no cap on a bucket, and no candidate is dropped."""
+    all_rows = stash(sketches(docs, words, bands, rows, id_col, text_col), "sketches")
     some = all_rows.where("id is not null")
     classes = stash(some.groupBy("key").agg(F.min("id").alias("rep")), "classes")
-    reps = some.where("n > 0").join(classes, "key").where("id = rep").dropDuplicates(["key"]).select("rep", "sig")
-    reps = stash(reps, "reps")
-    bucket = [F.xxhash64(F.lit(i), *[F.col("sig")[i * rows + j] for j in range(rows)]) for i in range(bands)]
-    banded = reps.select("rep", F.explode(F.array(*bucket)).alias("h"))
+    reps = some.where("n > 0").join(classes, "key").where("id = rep").dropDuplicates(["key"])
+    banded = stash(reps.select("rep", "bands"), "reps").select("rep", F.explode("bands").alias("h"))
     chosen = banded.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("centre")).where("size > 1")
     inside = stash(banded.join(stash(chosen, "buckets"), "h"), "members")
     pair = [F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")]
@@ -184,26 +237,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit("block")), blocks).cast("int")
     dealt = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component").join(reps, "rep")
+    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
+    few = docs.join(apart.select(F.col("rep").alias("_rep")).distinct(), F.col(id_col).cast("long") == F.col("_rep"), "left_semi")
+    sets = stash(window_sets(few, words, id_col, text_col).dropDuplicates(["id"]).withColumnRenamed("id", "rep"), "sets")
 
-    def compare(table: pa.Table) -> pa.Table:
+    def link(table: pa.Table) -> pa.Table:
         rep, comp, own, i, j = (table.column(c).to_numpy() for c in ("rep", "component", "own", "i", "j"))
-        sig = table.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
-        a, b = [], []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) | (i[0] != j[0]))]
-            y = y[(sig[y] == sig[x]).mean(1) >= might] if len(y) else y
-            a.append(np.full(len(y), rep[x]))
-            b.append(rep[y])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
-
-    more = dealt.groupBy("h", "i", "j").applyInArrow(compare, "a long, b long").distinct()
-    more = stash(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more")
-    late = stash(_verified(more, docs, words, id_col, text_col), "late")
-    found = components(tested.unionByName(late).where(linked).select("a", "b"))
+        members = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        root = block_links(members, left, right, comp, threshold) if len(set(comp.tolist())) > 1 else np.arange(len(rep))
+        moved = np.flatnonzero(root != np.arange(len(rep)))
+        return pa.table({"a": rep[moved].astype(np.int64), "b": rep[root[moved]].astype(np.int64)})
+
+    late = stash(dealt.join(sets.hint("merge"), "rep").groupBy("h", "i", "j").applyInArrow(link, "a long, b long"), "late")
+    found = components(tested.where(linked).select("a", "b").unionByName(late))
 
     labels = stash(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component_id")), "labels")
     with_id = F.col("id").isNotNull()
@@ -225,8 +272,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, id_col: str, text_c
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = stash(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    # sorted joins at every size: adaptive execution splits what a member of many pairs would pile up
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "ta", 300):
