@@ -147,7 +147,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, te
 
 
 def window_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id and set of each row: sorted 64-bit numbers, one for each occurrence of each window, so that the weighted similarity of
+    """id and set of each row: hashes, one for each occurrence of each window, so that the weighted similarity of
     two texts is the plain Jaccard similarity of their sets."""
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -158,11 +158,22 @@ def window_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> Data
             with np.errstate(over="ignore"):
                 each = mix64(np.repeat(element, weight) + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
             at = np.concatenate([[0], np.cumsum(np.bincount(row, weight, b.num_rows))]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([each[s:e].tobytes() for s, e in zip(at, at[1:])], pa.binary())], names=["id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_packed(each[s:e]) for s, e in zip(at, at[1:])], pa.binary())], names=["id", "set"])
 
     return thin.mapInArrow(run, "id long, set binary")
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """40 bits of each number: enough to tell the windows of one block of members apart."""
+    return x.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
 def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, part: np.ndarray, threshold: float) -> np.ndarray:
     """For each member the least place that links between left and right, of members of different parts, join it with."""
     root = np.arange(len(sets))
@@ -197,6 +208,8 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, par
 
 #: Members of a bucket are compared in blocks of about so many, so that no task holds a whole bucket.
 BLOCK = 512
+#: Buckets that share members are compared as one group up to so many members, and each for itself beyond.
+CLUSTER = 4 * BLOCK
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 25, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,30 +239,40 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     linked = F.col("similarity") >= threshold
     found = components(tested.where(linked).select("a", "b"))
 
-    apart = _apart(inside.where("size > 2").select("h", "rep", "size"), found)
-    chosen = apart.groupBy("h").agg(F.min_by("rep", F.xxhash64("rep", "h")).alias("centre"), F.min_by("component", F.xxhash64("rep", "h")).alias("home"))
-    again = apart.join(stash(chosen, "buckets"), "h").where("component <> home").select(*pair).distinct()
+    apart = _apart(inside.where("size > 2"), found)
+    others = apart.where("rep <> centre")
+    chosen = others.groupBy("h").agg(F.min_by("rep", F.xxhash64("rep", "h")).alias("second"), F.min_by("component", F.xxhash64("rep", "h")).alias("home"))
+    again = apart.join(stash(chosen, "buckets"), "h").where("component <> home").select(F.least("rep", "second").alias("a"), F.greatest("rep", "second").alias("b")).distinct()
     again = stash(_verified(again.join(tested.select("a", "b"), ["a", "b"], "left_anti"), docs, words, id_col, text_col), "pairs")
     tested = tested.unionByName(again)
     found = components(tested.where(linked).select("a", "b"))
 
-    apart = _apart(apart.select("h", "rep", "size"), found)
+    # All pairs of a bucket of three have been compared by now. Larger buckets that share members mostly hold the same few
+    # documents: as long as such a cluster is small it is compared as one group, so that a document's windows are sent once and
+    # not for every band; the buckets of larger clusters are compared each for itself.
+    apart = _apart(apart.where("size > 3").select("h", "rep", "size", "centre"), found)
+    lowest = apart.groupBy("h").agg(F.min("rep").alias("b"))
+    clusters = components(apart.select("h", F.col("rep").alias("a")).join(lowest, "h"))
+    clusters = clusters.join(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component")
+    placed = apart.join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "n"), "rep")
+    small = F.col("n") <= CLUSTER
+    grouped = placed.select(small.alias("whole"), F.when(small, F.col("cluster")).otherwise(F.col("h")).alias("g"), F.when(small, F.col("n")).otherwise(F.col("size")).alias("size"), "rep", "component").distinct()
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit("block")), blocks).cast("int")
-    dealt = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
+    dealt = grouped.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("whole", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
     few = docs.join(apart.select(F.col("rep").alias("_rep")).distinct(), F.col(id_col).cast("long") == F.col("_rep"), "left_semi")
     sets = stash(window_sets(few, words, id_col, text_col).dropDuplicates(["id"]).withColumnRenamed("id", "rep"), "sets")
 
     def link(table: pa.Table) -> pa.Table:
         rep, comp, own, i, j = (table.column(c).to_numpy() for c in ("rep", "component", "own", "i", "j"))
-        members = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        members = [_unpacked(x) for x in table.column("set").to_pylist()]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         root = block_links(members, left, right, comp, threshold) if len(set(comp.tolist())) > 1 else np.arange(len(rep))
         moved = np.flatnonzero(root != np.arange(len(rep)))
         return pa.table({"a": rep[moved].astype(np.int64), "b": rep[root[moved]].astype(np.int64)})
 
-    late = stash(dealt.join(sets.hint("merge"), "rep").groupBy("h", "i", "j").applyInArrow(link, "a long, b long"), "late")
+    late = stash(dealt.join(sets.hint("merge"), "rep").groupBy("whole", "g", "i", "j").applyInArrow(link, "a long, b long"), "late")
     found = components(tested.where(linked).select("a", "b").unionByName(late))
 
     labels = stash(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component_id")), "labels")
@@ -259,8 +282,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
 
 
 def _apart(inside: DataFrame, found: DataFrame) -> DataFrame:
-    """The members (h, rep, size) of buckets that hold more than one component, each with its component."""
-    held = inside.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    """The members (h, rep, size, centre) of buckets that hold more than one component, each with its component."""
+    held = inside.select("h", "rep", "size", "centre").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     held = stash(held, "apart")
     open_ = held.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
     return stash(held.join(stash(open_, "open"), "h"), "apart")
