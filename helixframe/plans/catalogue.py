@@ -1,10 +1,681 @@
-"""Every query of the library proper by name, and the SQL that says the same."""
+"""Every query of the library proper by name, and the SQL that says the same. All run over whole tables and whole sequences."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import tables as T
+from ..operators import analysis, bow, evaluate, learn, residue, score, syntax, weighting, words
+from ..sources import adapters, formats
+from ..sources.adapters import SQL_VIEWS, dna, labelled, protein, rna, vectors
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# ---- pieces of SQL -------------------------------------------------------------------------------------------------------
+
+
+def _with(*views: str) -> str:
+    """WITH and the named views, or definitions as they are."""
+    return "WITH RECURSIVE " + ",\n".join(SQL_VIEWS.get(v, v) for v in views) + "\n"
+
+
+def _values(name: str, columns: str, rows: list[tuple]) -> str:
+    lit = lambda x: f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
+    return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)})"
+
+
+def _windows(view: str, k: int, name: str = "w") -> str:
+    """name(seq_id, pos, word): overlapping windows."""
+    return f"{name} AS (SELECT seq_id, i AS pos, substr(seq, (i + 1)::BIGINT, {k}) AS word FROM (SELECT seq_id, seq, unnest(range(0, length(seq) - {k - 1})) AS i FROM {view}))"
+
+
+def _universe(k: int, alphabet: str, name: str = "u") -> str:
+    return _values(name, "word", [(w,) for w in T.universe(k, alphabet)])
+
+
+_REV = "reverse(translate(word, 'ACGT', 'TGCA'))"
+_TOP1 = T.top_letters(1)
+
+
+def _mapped(view: str, table: dict[str, str], name: str) -> str:
+    """name(seq_id, seq): each letter replaced by a fixed string."""
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items())
+    return f"{name} AS (SELECT seq_id, coalesce(array_to_string(list_transform(CASE WHEN seq = '' THEN [] ELSE string_split(seq, '') END, lambda c: CASE c {cases} ELSE '' END), ''), '') AS seq FROM {view})"
+
+
+def _dr(view: str, distance: int, name: str = "r") -> str:
+    """name(seq_id, dist, word)."""
+    one = _windows(view, 1, "letter")
+    parts = ["SELECT seq_id, 0 AS dist, word FROM letter"] + [f"SELECT a.seq_id, {d}, a.word || b.word FROM letter a JOIN letter b ON a.seq_id = b.seq_id AND b.pos = a.pos + {d}" for d in range(1, distance + 1)]
+    return f"{one},\n{name} AS ({' UNION ALL '.join(parts)})"
+
+
+def _tfidf(source: str, digits: int | None = 6) -> str:
+    """SELECT over a view of words (seq_id, word)."""
+    value = f"round(w / norm, {digits}) + 0.0" if digits is not None else "w / norm"
+    return f"""c AS (SELECT seq_id, lower(word) AS word, count(*) AS n FROM {source} WHERE length(word) >= 2 GROUP BY ALL),
+d AS (SELECT word, count(*) AS df FROM c GROUP BY word),
+x AS (SELECT seq_id, word, n * (ln((1.0::DOUBLE + (SELECT count(DISTINCT seq_id) FROM c)) / (1 + df)) + 1) AS w FROM c JOIN d USING (word)),
+m AS (SELECT seq_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY seq_id),
+t AS (SELECT seq_id, word, {value} AS value FROM x JOIN m USING (seq_id))"""
+
+
+# ---- sources ---------------------------------------------------------------------------------------------------------------
+
+
+@query("fasta_parse", _with("dna") + "SELECT seq_id::VARCHAR AS name, seq, length(seq)::INT AS length FROM dna")
+def fasta_parse(spark, d):
+    text = dna(spark, d).select(F.concat(F.lit(">"), F.col("seq_id").cast("string"), F.lit("\n"), F.substring("seq", 1, 60), F.lit("\n"), F.substring(F.col("seq"), 61, 1 << 30)).alias("record"))
+    return text.select(*formats.parse_fasta(F.col("record"))).withColumn("length", F.length("seq"))
+
+
+@query("alphabet_check", "SELECT doc_id, regexp_extract(text, '[^ACGTacgt]') AS bad FROM documents")
+def alphabet_check(spark, d):
+    return adapters.table(spark, d, "documents").select("doc_id", formats.first_illegal(F.col("text"), T.DNA).alias("bad"))
+
+
+@query("label_union_counts", _with("dna", "labelled") + "SELECT y AS label, count(*) AS n, sum(length(seq))::BIGINT AS letters, max(length(seq))::INT AS longest FROM dna JOIN labelled USING (seq_id) GROUP BY y")
+def label_union_counts(spark, d):
+    rows = dna(spark, d).join(labelled(spark, d), "seq_id")
+    both = formats.labelled_union([(rows.where("y = 1").drop("y"), 1), (rows.where("y = -1").drop("y"), -1)])
+    return both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).alias("letters"), F.max(F.length("seq")).alias("longest"))
+
+
+# ---- words ---------------------------------------------------------------------------------------------------------------
+
+
+@query("kmer_words", _with("dna", _windows("dna", 3)) + "SELECT seq_id, pos::INT AS pos, word FROM w")
+def q_kmer_words(spark, d):
+    return words.kmer_words(dna(spark, d), 3)
+
+
+@query("revkmer_words", _with("dna", _windows("dna", 3)) + f"SELECT seq_id, pos::INT AS pos, {_REV} AS word FROM w")
+def q_revkmer_words(spark, d):
+    return words.revkmer_words(dna(spark, d), 3)
+
+
+_MIS3 = "v AS (SELECT seq_id, word FROM w UNION ALL SELECT seq_id, substr(word, 1, i - 1) || a || substr(word, i + 1) FROM w, (VALUES ('A'), ('C'), ('G'), ('T')) l(a), (VALUES (1), (2), (3)) p(i) WHERE substr(word, i, 1) <> a)"
+
+
+@query("mismatch_words", _with("dna", _windows("dna", 3), _MIS3) + "SELECT seq_id, word, count(*) AS n FROM v GROUP BY ALL")
+def q_mismatch_words(spark, d):
+    return words.word_counts(words.mismatch_words(dna(spark, d), 3, T.DNA))
+
+
+@query("subsequence_words", _with("dna", _windows("dna", 1)) + "SELECT a.seq_id, a.word || b.word || c.word AS word, count(*) AS n FROM w a JOIN w b ON a.seq_id = b.seq_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 4 JOIN w c ON a.seq_id = c.seq_id AND c.pos BETWEEN b.pos + 1 AND a.pos + 4 GROUP BY ALL")
+def q_subsequence_words(spark, d):
+    return words.word_counts(words.subsequence_words(dna(spark, d), 3))
+
+
+@query("dr_words", _with("protein", _dr("protein", 2)) + "SELECT seq_id, word, count(*) AS n FROM r GROUP BY ALL")
+def q_dr_words(spark, d):
+    return words.word_counts(words.dr_words(protein(spark, d), 2))
+
+
+@query("dt_words", _with("protein", _mapped("protein", _TOP1, "top"), _dr("top", 2)) + "SELECT seq_id, word, count(*) AS n FROM r GROUP BY ALL")
+def q_dt_words(spark, d):
+    return words.word_counts(words.dt_words(protein(spark, d), 2))
+
+
+@query("tng_words", _with("protein", _mapped("protein", T.top_letters(2), "top"), _windows("top", 2)) + "SELECT seq_id, word, count(*) AS n FROM w GROUP BY ALL")
+def q_tng_words(spark, d):
+    return words.word_counts(words.tng_words(protein(spark, d), 2, 2))
+
+
+# ---- bags of words -----------------------------------------------------------------------------------------------------------
+
+
+def _kmer_bow_sql(k: int) -> str:
+    return _with("dna", _windows("dna", k), _universe(k, T.DNA), "c AS (SELECT seq_id, word, count(*) AS n FROM w GROUP BY ALL)") + f"SELECT seq_id, word, coalesce(round(n::DOUBLE / (length(seq) - {k - 1}), 8) + 0.0, 0.0)::DOUBLE AS value FROM dna CROSS JOIN u LEFT JOIN c USING (seq_id, word)"
+
+
+for _k in (1, 2, 3):
+    query(f"kmer_bow_k{_k}", _kmer_bow_sql(_k))(lambda spark, d, k=_k: bow.kmer_bow(dna(spark, d), k, T.DNA))
+
+
+@query(
+    "revkmer_bow",
+    _with("dna", _windows("dna", 2), _universe(2, T.DNA), f"g AS (SELECT word FROM u WHERE word <= {_REV})", f"c AS (SELECT seq_id, least(word, {_REV}) AS word, count(*) AS n FROM w GROUP BY ALL)")
+    + "SELECT seq_id, word, coalesce(round(n::DOUBLE / (length(seq) - 1), 8) + 0.0, 0.0)::DOUBLE AS value FROM dna CROSS JOIN g LEFT JOIN c USING (seq_id, word)",
+)
+def q_revkmer_bow(spark, d):
+    return bow.kmer_bow(dna(spark, d), 2, T.DNA, reverse=True)
+
+
+_MIS2 = _MIS3.replace(", (3)", "")
+
+
+@query("mismatch_bow", _with("dna", _windows("dna", 2), _MIS2, _universe(2, T.DNA), "c AS (SELECT seq_id, word, count(*) AS n FROM v GROUP BY ALL)") + "SELECT seq_id, word, coalesce(n, 0)::BIGINT AS value FROM dna CROSS JOIN u LEFT JOIN c USING (seq_id, word)")
+def q_mismatch_bow(spark, d):
+    return bow.mismatch_bow(dna(spark, d), 2, T.DNA)
+
+
+@query(
+    "subsequence_bow_k2",
+    _with("dna", _windows("dna", 1), _universe(2, T.DNA), "c AS (SELECT a.seq_id, a.word || b.word AS word, sum(CASE WHEN b.pos = a.pos + 1 THEN 1.0::DOUBLE ELSE pow(0.5::DOUBLE, b.pos - a.pos + 1) END) AS v FROM w a JOIN w b ON a.seq_id = b.seq_id AND b.pos > a.pos AND b.pos <= a.pos + 60 GROUP BY ALL)")
+    + "SELECT seq_id, word, coalesce(round(v, 6), 0.0)::DOUBLE AS value FROM dna CROSS JOIN u LEFT JOIN c USING (seq_id, word)",
+)
+def q_subsequence_bow(spark, d):
+    return bow.subsequence_bow(dna(spark, d), 2, T.DNA, 0.5).withColumn("value", F.round("value", 6))
+
+
+@query("subsequence_bow_k3")
+def q_subsequence_bow3(spark, d):
+    return bow.subsequence_bow(dna(spark, d), 3, T.DNA, 0.5)
+
+
+@query("dr_bow", _with("protein", _dr("protein", 3)) + "SELECT seq_id, dist, word, count(*) AS n FROM r GROUP BY ALL")
+def q_dr_bow(spark, d):
+    return bow.dr_bow(protein(spark, d), 3)
+
+
+@query("dt_bow", _with("protein", _mapped("protein", _TOP1, "top"), _dr("top", 3)) + "SELECT seq_id, dist, word, count(*) AS n FROM r GROUP BY ALL")
+def q_dt_bow(spark, d):
+    return bow.dt_bow(protein(spark, d), 3)
+
+
+@query(
+    "tng_bow",
+    _with("protein", _mapped("protein", T.top_letters(2), "top"), _windows("top", 2), _universe(2, T.PROTEIN), "c AS (SELECT seq_id, word, count(*) AS n FROM w WHERE pos % 2 = 0 GROUP BY ALL)")
+    + "SELECT seq_id, word, coalesce(round(n::DOUBLE / length(seq), 4) + 0.0, 0.0)::DOUBLE AS value FROM protein CROSS JOIN u LEFT JOIN c USING (seq_id, word)",
+)
+def q_tng_bow(spark, d):
+    return bow.top_n_gram_bow(protein(spark, d), 2)
+
+
+# ---- weights and topics ------------------------------------------------------------------------------------------------------
+
+
+@query("tfidf_kmer", _with("dna", _windows("dna", 3), _tfidf("w")) + "SELECT * FROM t")
+def tfidf_kmer(spark, d):
+    return weighting.tf_idf(words.kmer_words(dna(spark, d), 3))
+
+
+@query("tfidf_revkmer", _with("dna", _windows("dna", 3), f"v AS (SELECT seq_id, {_REV} AS word FROM w)", _tfidf("v")) + "SELECT * FROM t")
+def tfidf_revkmer(spark, d):
+    return weighting.tf_idf(words.revkmer_words(dna(spark, d), 3))
+
+
+@query("tfidf_mismatch", _with("dna", _windows("dna", 2), _MIS2, _tfidf("v")) + "SELECT * FROM t")
+def tfidf_mismatch(spark, d):
+    return weighting.tf_idf(words.mismatch_words(dna(spark, d), 2, T.DNA))
+
+
+@query("tfidf_subsequence", _with("dna", _windows("dna", 1), "v AS (SELECT a.seq_id, a.word || b.word AS word FROM w a JOIN w b ON a.seq_id = b.seq_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 4)", _tfidf("v")) + "SELECT * FROM t")
+def tfidf_subsequence(spark, d):
+    return weighting.tf_idf(words.subsequence_words(dna(spark, d), 2))
+
+
+@query("tfidf_dr", _with("protein", _dr("protein", 2), _tfidf("r")) + "SELECT * FROM t")
+def tfidf_dr(spark, d):
+    return weighting.tf_idf(words.dr_words(protein(spark, d), 2))
+
+
+@query("tfidf_dt", _with("protein", _mapped("protein", _TOP1, "top"), _dr("top", 2), _tfidf("r")) + "SELECT * FROM t")
+def tfidf_dt(spark, d):
+    return weighting.tf_idf(words.dt_words(protein(spark, d), 2))
+
+
+@query("tfidf_tng", _with("protein", _mapped("protein", T.top_letters(2), "top"), _windows("top", 2), _tfidf("w")) + "SELECT * FROM t")
+def tfidf_tng(spark, d):
+    return weighting.tf_idf(words.tng_words(protein(spark, d), 2, 2))
+
+
+_RANK_STEPS = ",\n".join(
+    f"s{i} AS MATERIALIZED (SELECT word, sum(value * rank / degree) AS score FROM t JOIN r{i - 1} USING (seq_id) GROUP BY word),\n"
+    f"r{i} AS MATERIALIZED (SELECT seq_id, any_value(degree) AS degree, 0.15::DOUBLE / (SELECT count(*) FROM g) + 0.85 * sum(value * score) AS rank FROM t JOIN s{i} USING (word) JOIN g USING (seq_id) GROUP BY seq_id)"
+    for i in range(1, 6)
+)
+
+
+@query(
+    "textrank_kmer",
+    _with("dna", _windows("dna", 3), _tfidf("w", None).replace("t AS (", "t AS MATERIALIZED ("), "mass AS (SELECT word, sum(value) AS mass FROM t GROUP BY word)", "g AS MATERIALIZED (SELECT seq_id, sum(value * mass) AS degree FROM t JOIN mass USING (word) GROUP BY seq_id)", "r0 AS (SELECT seq_id, degree, 1.0::DOUBLE / (SELECT count(*) FROM g) AS rank FROM g)", _RANK_STEPS)
+    + "SELECT seq_id, round(rank, 8) AS rank FROM r5",
+)
+def textrank_kmer(spark, d):
+    t = weighting.tf_idf(words.kmer_words(dna(spark, d), 3), digits=-1)
+    return weighting.text_rank(t, 0.85, 5).select("seq_id", F.round("rank", 8).alias("rank"))
+
+
+@query("glove_cooccur", _with("dna", _windows("dna", 2), "o AS (SELECT a.word AS a, b.word AS b, 1.0::DOUBLE / (b.pos - a.pos) AS v FROM w a JOIN w b ON a.seq_id = b.seq_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 3)") + "SELECT a, b, round(sum(v), 4) AS weight FROM (SELECT a, b, v FROM o UNION ALL SELECT b, a, v FROM o) GROUP BY a, b")
+def glove_cooccur(spark, d):
+    return weighting.co_occurrence(words.kmer_words(dna(spark, d), 2), 3).withColumn("weight", F.round("weight", 4))
+
+
+@query("glove_vectors")
+def glove_vectors(spark, d):
+    return weighting.glove(weighting.co_occurrence(words.kmer_words(dna(spark, d), 3), 10), dim=16, rounds=20)
+
+
+@query("word2vec_kmer")
+def word2vec_kmer(spark, d):
+    return weighting.word2vec(words.kmer_words(dna(spark, d), 3), dim=10)
+
+
+@query("fasttext_kmer")
+def fasttext_kmer(spark, d):
+    return weighting.subword_vectors(words.kmer_words(dna(spark, d), 3), dim=10)
+
+
+@query("lda_kmer")
+def lda_kmer(spark, d):
+    return learn.topics(words.kmer_words(dna(spark, d), 3), k=4)
+
+
+@query("lsa_kmer")
+def lsa_kmer(spark, d):
+    counts = bow.kmer_bow(dna(spark, d), 2, T.DNA).groupBy(F.col("seq_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "value"))), lambda r: r["value"]).alias("x"))
+    return analysis.truncated_svd(counts, 4)
+
+
+@query("plsa_kmer")
+def plsa_kmer(spark, d):
+    return learn.plsa(words.word_counts(words.kmer_words(dna(spark, d), 2)), k=3, rounds=3)
+
+
+# ---- residues ----------------------------------------------------------------------------------------------------------------
+
+
+def _index_case(alphabet: str, of: str = "word") -> str:
+    return f"(instr('{alphabet}', {of}) - 1)::INT"
+
+
+def _vec_text() -> Callable[[DataFrame], DataFrame]:
+    return lambda df: df.select("seq_id", "pos", F.array_join(F.transform("vec", lambda x: x.cast("int").cast("string")), " ").alias("code"))
+
+
+def _code_sql(view: str, table: dict, k: int = 1) -> str:
+    rows = [(w, " ".join(str(int(x)) for x in v)) for w, v in table.items()]
+    return _with(view, _windows(view, k), _values("e", "word, code", rows)) + "SELECT seq_id, pos::INT AS pos, code FROM w JOIN e USING (word)"
+
+
+def _columns_sql(view: str, table: dict, k: int) -> str:
+    n = len(next(iter(table.values())))
+    names = ", ".join(f"v{i}" for i in range(n))
+    return _with(view, _windows(view, k), _values("e", f"word, {names}", [(w, *map(float, v)) for w, v in table.items()])) + f"SELECT seq_id, pos::INT AS pos, {names} FROM w JOIN e USING (word)"
+
+
+def _columns(df: DataFrame, n: int) -> DataFrame:
+    return df.select("seq_id", "pos", *[F.col("vec")[i].alias(f"v{i}") for i in range(n)])
+
+
+_SIX = {a: residue._unit(i, 6) for i, g in enumerate(T.SIX_GROUPS) for a in g}
+_FIVE = {a: tuple(map(float, b)) for a, b in T.FIVE_BITS.items()}
+_DBE = {w: tuple(map(float, f"{i:04b}")) for i, w in enumerate(T.universe(2, T.DNA))}
+_DPC = {w: tuple(T.DI_DNA[p][i] for p in T.DI_DNA) for i, w in enumerate(T.DI_ORDER)}
+_TPC = {w: (T.DNASE_I[i], float(T.NUCLEOSOME[i])) for i, w in enumerate(T.TRI_ORDER)}
+_PP = {a: (T.HYDROPHOBICITY[a], T.HYDROPHILICITY[a], T.MASS[a]) for a in T.PROTEIN}
+_ONE = {a: residue._unit(i, 4) for i, a in enumerate(T.DNA)}
+
+query("ohe_onehot", _code_sql("dna", _ONE))(lambda s, d: _vec_text()(residue.one_hot(dna(s, d), T.DNA)))
+query("ohe_onehot_protein", _with("protein", _windows("protein", 1)) + f"SELECT seq_id, pos::INT AS pos, {_index_case(T.PROTEIN)} AS idx FROM w")(lambda s, d: residue.one_hot(protein(s, d), T.PROTEIN).select("seq_id", "pos", (F.array_position("vec", F.lit(1.0)) - 1).cast("int").alias("idx")))
+for _k, _n in ((2, "ohe_pos2"), (3, "ohe_pos3"), (4, "ohe_pos4")):
+    _expr = " + ".join(f"4 ** {_k - 1 - i} * (instr('ACGT', substr(word, {i + 1}, 1)) - 1)" for i in range(_k))
+    query(_n, _with("dna", _windows("dna", _k)) + f"SELECT seq_id, pos::INT AS pos, ({_expr})::INT AS idx FROM w")(lambda s, d, k=_k: residue.position_specific(dna(s, d), k, T.DNA))
+query("ohe_6bit", _code_sql("protein", _SIX))(lambda s, d: _vec_text()(residue.six_bit(protein(s, d))))
+query("ohe_5bit", _code_sql("protein", _FIVE))(lambda s, d: _vec_text()(residue.five_bit(protein(s, d))))
+query("ohe_aesnn3", _columns_sql("protein", T.AESNN3, 1))(lambda s, d: _columns(residue.aesnn3(protein(s, d)), 3))
+query("ohe_dbe", _code_sql("dna", _DBE, 2))(lambda s, d: _vec_text()(residue.dinucleotide_binary(dna(s, d))))
+query("ohe_ncp", _code_sql("rna", T.NCP))(lambda s, d: _vec_text()(residue.ncp(rna(s, d))))
+query("ohe_dpc", _columns_sql("dna", _DPC, 2))(lambda s, d: _columns(residue.dpc(dna(s, d)), 6))
+query("ohe_tpc", _columns_sql("dna", _TPC, 3))(lambda s, d: _columns(residue.tpc(dna(s, d)), 2))
+query("ohe_pp", _columns_sql("protein", _PP, 1))(lambda s, d: _columns(residue.physical(protein(s, d)), 3))
+query("ohe_blast", _code_sql("dna", T.BLAST))(lambda s, d: _vec_text()(residue.blast_scores(dna(s, d))))
+query("ohe_pam250", _code_sql("protein", T.PAM250))(lambda s, d: _vec_text()(residue.matrix_rows(protein(s, d), T.PAM250)))
+query("ohe_blosum62", _code_sql("protein", T.BLOSUM62))(lambda s, d: _vec_text()(residue.matrix_rows(protein(s, d), T.BLOSUM62)))
+
+
+@query(
+    "ohe_pssm",
+    _with("protein", _windows("protein", 1), _values("e", "word, code", [(a, " ".join(map(str, v))) for a, v in T.BLOSUM62.items()]))
+    + "SELECT seq_id, pos::INT AS pos, CASE WHEN pos % 5 = 0 THEN array_to_string(list_transform(range(20), lambda i: (pos + i) % 7), ' ') ELSE code END AS code FROM w JOIN e USING (word)",
+)
+def ohe_pssm(spark, d):
+    """A profile is supplied for every fifth residue; the others fall back to the matrix."""
+    seqs = protein(spark, d)
+    at = seqs.select("seq_id", F.posexplode(F.split(F.regexp_replace("seq", ".", "x"), "")).alias("pos", "c")).where("c <> '' and pos % 5 = 0")
+    profile = at.select("seq_id", "pos", F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: ((F.col("pos") + i) % 7).cast("double")).alias("scores"))
+    return _vec_text()(residue.pssm_rows(seqs, profile))
+
+
+@query(
+    "ohe_psfm",
+    "WITH a AS (SELECT lang, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM documents), l AS (SELECT lang, i AS pos, substr(seq, (i + 1)::BIGINT, 1) AS letter FROM (SELECT lang, seq, unnest(range(0, length(seq))) AS i FROM a)), c AS (SELECT lang, pos, letter, count(*) AS n FROM l GROUP BY ALL) SELECT lang, pos::INT AS pos, letter, round(n::DOUBLE / sum(n) OVER (PARTITION BY lang, pos), 6) AS share FROM c",
+)
+def ohe_psfm(spark, d):
+    """The documents of a language stand for the rows of an alignment."""
+    rows = adapters.table(spark, d, "documents").select(F.col("lang").alias("seq_id"), F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")).alias("aligned"))
+    return residue.psfm(rows).withColumnRenamed("seq_id", "lang")
+
+
+@query("ohe_rss", _with("rna", _windows("rna", 1)) + "SELECT seq_id, pos::INT AS pos, CASE WHEN word = 'A' THEN 0.0 ELSE 1.0 END::DOUBLE AS v0 FROM w")
+def ohe_rss(spark, d):
+    """A structure is supplied that pairs every base but A."""
+    return _columns(residue.structure_bits(rna(spark, d).select("seq_id", F.translate("seq", "ACGU", ".(()").alias("struct"))), 1)
+
+
+@query("ohe_ss", _with("protein", _windows("protein", 1)) + "SELECT seq_id, pos::INT AS pos, CASE WHEN word IN ('A','C','D','E','F','G','H') THEN '1 0 0' WHEN word IN ('I','K','L','M','N','P','Q') THEN '0 1 0' ELSE '0 0 1' END AS code FROM w")
+def ohe_ss(spark, d):
+    """A structure is supplied: the first third of the alphabet as helix, the second as sheet."""
+    return _vec_text()(residue.secondary_structure(protein(spark, d).select("seq_id", F.translate("seq", T.PROTEIN, "H" * 7 + "E" * 7 + "C" * 6).alias("ss"))))
+
+
+@query(
+    "res_window",
+    _with("rna", _windows("rna", 1), "e AS (SELECT seq_id, pos, list(word) OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM w)")
+    + "SELECT seq_id, pos::INT AS pos, array_to_string(list_concat(list_transform(near, lambda c: CASE c WHEN 'A' THEN '1 1 1' WHEN 'C' THEN '0 1 0' WHEN 'G' THEN '1 0 0' ELSE '0 0 1' END), list_transform(range(5 - len(near)), lambda i: '0 0 0')), ' ') AS code FROM e",
+)
+def res_window(spark, d):
+    rows = residue.sliding(residue.ncp(rna(spark, d)), 5)
+    return _vec_text()(rows.withColumnRenamed("features", "vec"))
+
+
+@query(
+    "res_fragment",
+    _with("rna", "m AS (SELECT max(length(seq)) AS n FROM rna)")
+    + "SELECT seq_id, array_to_string(list_concat(list_transform(string_split(seq, ''), lambda c: CASE c WHEN 'A' THEN '1 1 1' WHEN 'C' THEN '0 1 0' WHEN 'G' THEN '1 0 0' ELSE '0 0 1' END), list_transform(range(n - length(seq)), lambda i: '0 0 0')), ' ') AS code FROM rna, m WHERE seq <> ''",
+)
+def res_fragment(spark, d):
+    """Padded to the longest sequence."""
+    seqs = rna(spark, d)
+    longest = seqs.agg(F.max(F.length("seq"))).first()[0] or 0
+    got = residue.fragment(residue.ncp(seqs), longest, 3)
+    return got.select("seq_id", F.array_join(F.transform("features", lambda x: x.cast("int").cast("string")), " ").alias("code"))
+
+
+# ---- syntax rules ------------------------------------------------------------------------------------------------------------
+
+_DI = {p: dict(zip(T.DI_ORDER, v)) for p, v in T.DI_DNA.items()}
+_DIR = {p: dict(zip([w.replace("T", "U") for w in T.DI_ORDER], v)) for p, v in T.DI_RNA.items()}
+_TRI = {"Dnase I": dict(zip(T.TRI_ORDER, T.DNASE_I)), "Nucleosome positioning": dict(zip(T.TRI_ORDER, map(float, T.NUCLEOSOME)))}
+_AA = {"Hydrophobicity": T.HYDROPHOBICITY, "Hydrophilicity": T.HYDROPHILICITY, "Mass": T.MASS}
+_Z = {"dna": syntax.z_scored(_DI, True), "rna": syntax.z_scored(_DIR, True), "tri": syntax.z_scored(_TRI, True), "protein": syntax.z_scored(_AA, False)}
+
+
+def _props_sql(view: str, k: int, props: dict[str, dict[str, float]]) -> str:
+    """p(seq_id, prop, pos, x, n, mean): property values along windows, with the mean that leaves the last window out."""
+    rows = [(p, w, float(x)) for p, t in props.items() for w, x in t.items()]
+    return ",\n".join([SQL_VIEWS[view], _windows(view, k), _values("e", "prop, word, x", rows), f"p AS MATERIALIZED (SELECT seq_id, prop, pos, x, count(*) OVER z AS n, sum(CASE WHEN pos < length(seq) - {k} THEN x ELSE 0 END) OVER z / (length(seq) - {k}) AS mean, avg(x) OVER z AS whole FROM w JOIN e USING (word) JOIN {view} USING (seq_id) WHERE length(seq) > {k} WINDOW z AS (PARTITION BY seq_id, prop))"])
+
+
+def _off_ties(df: DataFrame, digits: int) -> DataFrame:
+    """Values rounded after a step that takes exact halves, which engines' sums reach from either side, off the edge."""
+    return df.withColumn("value", F.round(F.col("value") + 1e-9, digits) + F.lit(0.0))
+
+
+def _cov_sql(view: str, k: int, props: dict, lags: int, kind: str) -> str:
+    ac = f"SELECT a.seq_id, 'ac|' || g.lag || '|' || a.prop AS feature, round(sum((a.x - a.mean) * b.x) / (any_value(a.n) - g.lag) + 1e-9, 6) + 0.0 AS value FROM p a JOIN g ON true JOIN p b ON a.seq_id = b.seq_id AND a.prop = b.prop AND b.pos = a.pos + g.lag GROUP BY a.seq_id, g.lag, a.prop"
+    cc = f"SELECT a.seq_id, 'cc|' || g.lag || '|' || a.prop || '|' || b.prop AS feature, round(sum((a.x - a.mean) * (b.x - b.mean)) / (any_value(a.n) - g.lag) + 1e-9, 6) + 0.0 AS value FROM p a JOIN g ON true JOIN p b ON a.seq_id = b.seq_id AND a.prop <> b.prop AND b.pos = a.pos + g.lag GROUP BY a.seq_id, g.lag, a.prop, b.prop"
+    lag = f"g(lag) AS (VALUES {', '.join(f'({i})' for i in range(1, lags + 1))})"
+    return "WITH " + _props_sql(view, k, props) + f", {lag} " + {"ac": ac, "cc": cc, "acc": f"{ac} UNION ALL {cc}"}[kind]
+
+
+for _name, _view, _f, _k, _props, _lags, _kind in [
+    ("sr_dac", "dna", dna, 2, _Z["dna"], 2, "ac"),
+    ("sr_dcc", "dna", dna, 2, _Z["dna"], 1, "cc"),
+    ("sr_dacc", "rna", rna, 2, {p: _Z["rna"][p] for p in ("Rise", "Roll", "Twist")}, 1, "acc"),
+    ("sr_tac", "dna", dna, 3, _Z["tri"], 2, "ac"),
+    ("sr_tcc", "dna", dna, 3, _Z["tri"], 2, "cc"),
+    ("sr_tacc", "dna", dna, 3, _Z["tri"], 1, "acc"),
+    ("sr_ac", "protein", protein, 1, _Z["protein"], 2, "ac"),
+    ("sr_cc", "protein", protein, 1, _Z["protein"], 1, "cc"),
+    ("sr_acc", "protein", protein, 1, _Z["protein"], 1, "acc"),
+]:
+    query(_name, _cov_sql(_view, _k, _props, _lags, _kind))(lambda s, d, f=_f, k=_k, p=_props, g=_lags, c=_kind: _off_ties(syntax.covariance(f(s, d), c, g, k, p, digits=12), 6))
+
+_AUTO = {
+    "moran": "CASE WHEN abs(any_value(bottom)) > 1e-12 THEN (sum((a.x - a.whole) * (b.x - b.whole)) / (any_value(a.n) - 2)) / any_value(bottom) END",
+    "geary": "CASE WHEN abs(any_value(headed)) > 1e-12 THEN sum((a.x - b.x) * (a.x - b.x)) * any_value(a.n) / any_value(headed) END",
+    "moreau": "sum(a.x * b.x) / (any_value(a.n) - 2)",
+}
+for _name, _kind in (("sr_mac", "moran"), ("sr_gac", "geary"), ("sr_nmbac", "moreau")):
+    _sql = (
+        "WITH " + _props_sql("dna", 2, _DI)
+        + ", s AS (SELECT seq_id, prop, sum((x - whole) * (x - whole)) / any_value(n) AS bottom, sum(CASE WHEN pos < n - 2 THEN (x - whole) * (x - whole) ELSE 0 END) * (any_value(n) - 2) * 2 AS headed FROM p GROUP BY seq_id, prop) "
+        + f"SELECT a.seq_id, a.prop AS feature, round({_AUTO[_kind]} + 1e-9, 3) + 0.0 AS value FROM p a JOIN p b ON a.seq_id = b.seq_id AND a.prop = b.prop AND b.pos = a.pos + 2 JOIN s ON s.seq_id = a.seq_id AND s.prop = a.prop GROUP BY a.seq_id, a.prop"
+    )
+    query(_name, _sql)(lambda s, d, c=_kind: _off_ties(syntax.autocorrelation(dna(s, d), c, 2, 2, _DI, digits=12), 3))
+
+
+@query("sr_nd", _with("dna", _windows("dna", 1)) + "SELECT seq_id, pos::INT AS pos, round(count(*) OVER (PARTITION BY seq_id, word ORDER BY pos)::DOUBLE / (pos + 1), 3) AS value FROM w")
+def sr_nd(spark, d):
+    return syntax.nd(dna(spark, d))
+
+
+@query(
+    "sr_zcpseknc",
+    _with(
+        "dna", _windows("dna", 3),
+        "q AS MATERIALIZED (SELECT seq_id, pos, word, substr(word, 1, 2) AS prefix, substr(word, 3, 1) AS last, (pos + 1) % 3 + 1 AS phase, count(*) OVER (PARTITION BY seq_id, word)::DOUBLE / (length(seq) - 2) AS f, length(seq) - 2 AS n FROM w JOIN dna USING (seq_id))",
+        "c AS (" + " UNION ALL ".join(f"SELECT seq_id, '{a}|' || prefix || '|' || phase AS feature, sum(CASE WHEN last IN ({plus}) THEN 1 ELSE -1 END)::DOUBLE / any_value(n) AS value FROM q GROUP BY seq_id, prefix, phase" for a, plus in (("x", "'A','G'"), ("y", "'A','C'"), ("z", "'A','T'")))
+        + " UNION ALL SELECT a.seq_id, 'theta|' || g.lag, sum((a.f - b.f) * (a.f - b.f)) / (any_value(a.n) - g.lag) * 0.5 FROM q a JOIN (VALUES (1), (2)) g(lag) ON true JOIN q b ON a.seq_id = b.seq_id AND b.pos = a.pos + g.lag GROUP BY a.seq_id, g.lag)",
+        "m AS (SELECT seq_id, sum(value) AS total FROM c GROUP BY seq_id)",
+    )
+    + "SELECT seq_id, feature, round(value / total + 1e-9, 6) + 0.0 AS value FROM c JOIN m USING (seq_id) WHERE abs(total) > 1e-9",
+)
+def sr_zcpseknc(spark, d):
+    return _off_ties(syntax.zcpseknc(dna(spark, d), 3, 2, 0.5, digits=12), 6)
+
+
+_BLOSUM_LISTS = "b62(word, v) AS (VALUES " + ", ".join(f"('{a}', [{', '.join(map(str, v))}])" for a, v in T.BLOSUM62.items()) + ")"
+
+
+@query(
+    "sr_pssm_dt",
+    _with("protein", _dr("protein", 4), _BLOSUM_LISTS, "c AS MATERIALIZED (SELECT seq_id, dist, word, count(*) AS n FROM r WHERE dist > 0 GROUP BY ALL)")
+    + "SELECT seq_id, dist AS lag, i::INT AS i, j::INT AS j, round(sum(n * x.v[i + 1] * y.v[j + 1])::DOUBLE / sum(n) + 1e-9, 6) + 0.0 AS value FROM c JOIN b62 x ON x.word = substr(c.word, 1, 1) JOIN b62 y ON y.word = substr(c.word, 2, 1), range(20) a(i), range(20) b(j) GROUP BY seq_id, dist, i, j",
+)
+def sr_pssm_dt(spark, d):
+    return syntax.letter_pair_dt(protein(spark, d), 4)
+
+
+_PROFILE = f"{_windows('protein', 1)}, {_BLOSUM_LISTS}, f AS MATERIALIZED (SELECT seq_id, pos, i, v[i + 1]::DOUBLE AS x FROM w JOIN b62 USING (word), range(20) t(i))"
+
+
+@query(
+    "sr_ac_pssm",
+    _with("protein", _PROFILE, "z AS MATERIALIZED (SELECT seq_id, pos, i, x - avg(x) OVER (PARTITION BY seq_id, i) AS d FROM f)", "l AS (SELECT seq_id, i, 1 AS lag, d, lead(d, 1) OVER o AS e FROM z WINDOW o AS (PARTITION BY seq_id, i ORDER BY pos) UNION ALL SELECT seq_id, i, 2, d, lead(d, 2) OVER o FROM z WINDOW o AS (PARTITION BY seq_id, i ORDER BY pos))")
+    + "SELECT seq_id, lag, i::INT AS i, round(avg(d * e) + 1e-9, 3) + 0.0 AS value FROM l WHERE e IS NOT NULL GROUP BY seq_id, lag, i",
+)
+def sr_ac_pssm(spark, d):
+    return _off_ties(syntax.ac_pssm(residue.pssm_rows(protein(spark, d)), 2, digits=12), 3)
+
+
+@query("sr_cc_pssm")
+def sr_cc_pssm(spark, d):
+    return syntax.cc_pssm(residue.pssm_rows(protein(spark, d)), 1)
+
+
+@query("sr_pssm_rt")
+def sr_pssm_rt(spark, d):
+    return syntax.pssm_rt(residue.pssm_rows(protein(spark, d)), 50)
+
+
+@query("sr_motif_pssm")
+def sr_motif_pssm(spark, d):
+    order = [T.PROTEIN.index(a) for a in T.MATRIX_ORDER]
+    motifs = {m: [[r[i] for i in order] for r in formats.motif_from_pattern(m)] for m in ("A[CD]E", "[ST]xL")}
+    return syntax.motif_scores(residue.pssm_rows(protein(spark, d)), motifs)
+
+
+@query("sr_pdt", _with("protein", _windows("protein", 1), _values("e", "prop, word, x", [(p, a, float(x)) for p, t in _Z["protein"].items() for a, x in t.items()]), "p AS MATERIALIZED (SELECT seq_id, prop, pos, x FROM w JOIN e USING (word))") + "SELECT a.seq_id, g.lag || '|' || a.prop AS feature, round(avg((a.x - b.x) * (a.x - b.x)) + 1e-9, 3) + 0.0 AS value FROM p a JOIN (VALUES (1), (2)) g(lag) ON true JOIN p b ON a.seq_id = b.seq_id AND a.prop = b.prop AND b.pos = a.pos + g.lag GROUP BY a.seq_id, g.lag, a.prop")
+def sr_pdt(spark, d):
+    return _off_ties(syntax.pdt(protein(spark, d), 2, _Z["protein"], digits=12), 3)
+
+
+@query("index_zscores", _values("WITH e", "prop, word, x", [(p, w, float(x)) for p, t in _DI.items() for w, x in t.items()]) + " SELECT prop, word, round((x - avg(x) OVER (PARTITION BY prop)) / stddev_samp(x) OVER (PARTITION BY prop), 2) + 0.0 AS z FROM e")
+def index_zscores(spark, d):
+    from pyspark.sql import Window
+
+    rows = spark.createDataFrame([(p, w, float(x)) for p, t in _DI.items() for w, x in t.items()], "prop string, word string, x double")
+    w = Window.partitionBy("prop")
+    return rows.select("prop", "word", (F.round((F.col("x") - F.avg("x").over(w)) / F.stddev_samp("x").over(w), 2) + F.lit(0.0)).alias("z"))
+
+
+# ---- scores ------------------------------------------------------------------------------------------------------------------
+
+_SCORES = {
+    "ED": "sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))",
+    "MD": "list_sum(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2])))",
+    "CD": "list_max(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2])))",
+    "HD": "len(list_filter(list_zip(a.x, b.x), lambda z: z[1] <> z[2]))::BIGINT",
+    "JSC": "CASE WHEN len(list_filter(list_zip(a.x, b.x), lambda z: z[1] <> 0 OR z[2] <> 0)) > 0 THEN len(list_filter(list_zip(a.x, b.x), lambda z: z[1] <> z[2]))::DOUBLE / len(list_filter(list_zip(a.x, b.x), lambda z: z[1] <> 0 OR z[2] <> 0)) ELSE 0.0 END",
+    "CS": "list_cosine_similarity(a.x, b.x)",
+    "PCC": "list_cosine_similarity(list_transform(a.x, lambda v: v - list_avg(a.x)), list_transform(b.x, lambda v: v - list_avg(b.x)))",
+    "KLD": "(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] / list_sum(a.x) * ln((z[1] / list_sum(a.x)) / (z[2] / list_sum(b.x))))) + list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[2] / list_sum(b.x) * ln((z[2] / list_sum(b.x)) / (z[1] / list_sum(a.x)))))) / 2",
+}
+for _m, _sql in _SCORES.items():
+    _x = "list_transform(x, lambda v: abs(v) + 0.001)" if _m == "KLD" else "list_transform(x, lambda v: round(v, 1))" if _m in ("HD", "JSC") else "x"
+    _value = _sql if _m == "HD" else f"round({_sql}, 4) + 0.0"
+
+    def _score_query(s, d, m=_m):
+        rows = vectors(s, d).select(F.col("vec_id").alias("id"), "x")
+        if m == "KLD":
+            rows = rows.withColumn("x", F.transform("x", lambda v: F.abs(v) + 0.001))
+        elif m in ("HD", "JSC"):
+            rows = rows.withColumn("x", F.transform("x", lambda v: F.round(v, 1)))
+        return score.pairs(rows.where("id % 20 = 0"), rows, m)
+
+    query(f"sim_{_m.lower()}", _with("vectors", f"v AS MATERIALIZED (SELECT vec_id, {_x} AS x FROM vectors)") + f"SELECT b.vec_id AS query_id, a.vec_id AS id, {_value} AS score FROM v a, v b WHERE b.vec_id % 20 = 0")(_score_query)
+
+
+# ---- analysis ----------------------------------------------------------------------------------------------------------------
+
+
+def _wide(s, d):
+    return vectors(s, d).select(F.col("vec_id").alias("id"), "x")
+
+
+def _classes(s, d):
+    return vectors(s, d).select(F.col("vec_id").alias("id"), F.col("label").alias("y"))
+
+
+_LONG = "v AS MATERIALIZED (SELECT vec_id AS id, i::INT AS feature, x[i + 1] AS value, label AS y FROM vectors, range(64) t(i))"
+_r = lambda df: df.withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+query("fa_minmax", _with("vectors", _LONG) + "SELECT id, feature, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w), 6) + 0.0 AS value FROM v WINDOW w AS (PARTITION BY feature)")(lambda s, d: _r(analysis.min_max(analysis.to_long(_wide(s, d)))))
+query("fa_standard", _with("vectors", _LONG) + "SELECT id, feature, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 6) + 0.0 AS value FROM v WINDOW w AS (PARTITION BY feature)")(lambda s, d: _r(analysis.standard(analysis.to_long(_wide(s, d)))))
+query("fa_l1", _with("vectors", _LONG) + "SELECT id, feature, round(value / sum(abs(value)) OVER w, 6) + 0.0 AS value FROM v WINDOW w AS (PARTITION BY id)")(lambda s, d: _r(analysis.to_long(analysis.normalise_rows(_wide(s, d), 1))))
+query("fa_l2", _with("vectors", _LONG) + "SELECT id, feature, round(value / sqrt(sum(value * value) OVER w), 6) + 0.0 AS value FROM v WINDOW w AS (PARTITION BY id)")(lambda s, d: _r(analysis.to_long(analysis.normalise_rows(_wide(s, d), 2))))
+query("fa_transpose", _with("vectors", _LONG) + "SELECT feature AS id, id AS feature, value FROM v")(lambda s, d: analysis.transpose(analysis.to_long(_wide(s, d))))
+query(
+    "fa_chi2",
+    _with("vectors", _LONG, "n AS (SELECT feature, (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) AS value, y FROM v WINDOW w AS (PARTITION BY feature))", "c AS (SELECT label AS y, count(*)::DOUBLE / (SELECT count(*) FROM vectors) AS share FROM vectors GROUP BY label)", "o AS (SELECT feature, y, sum(value) AS seen FROM n GROUP BY ALL)", "a AS (SELECT feature, sum(seen) AS total FROM o GROUP BY feature)")
+    + "SELECT feature, round(sum((coalesce(seen, 0) - share * total) ** 2 / (share * total)), 6) AS score FROM a CROSS JOIN c LEFT JOIN o USING (feature, y) GROUP BY feature",
+)(lambda s, d: analysis.chi2(analysis.min_max(analysis.to_long(_wide(s, d))), _classes(s, d)).withColumn("score", F.round("score", 6)))
+query(
+    "fa_fvalue",
+    _with("vectors", _LONG, "g AS (SELECT feature, y, count(*) AS n, sum(value) AS s, sum(value * value) AS q FROM v GROUP BY ALL)", "h AS (SELECT feature, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM g GROUP BY feature)")
+    + "SELECT feature, round(((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)), 6) AS score FROM h",
+)(lambda s, d: analysis.f_value(analysis.to_long(_wide(s, d)), _classes(s, d)).withColumn("score", F.round("score", 6)))
+query(
+    "fa_mic",
+    _with("vectors", _LONG, "b AS (SELECT feature, y, least(9, floor((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) * 10)) AS bin FROM v WINDOW w AS (PARTITION BY feature))", "c AS (SELECT feature, bin, y, count(*)::DOUBLE AS n FROM b GROUP BY ALL)", "m AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature, bin) AS bn, sum(n) OVER (PARTITION BY feature, y) AS yn, sum(n) OVER (PARTITION BY feature) AS t FROM c)")
+    + "SELECT feature, round(sum(n / t * ln(n * t / (bn * yn))), 6) AS score FROM m GROUP BY feature",
+)(lambda s, d: analysis.mutual_information(analysis.to_long(_wide(s, d)), _classes(s, d)).withColumn("score", F.round("score", 6)))
+query(
+    "fa_select",
+    ORACLES["fa_fvalue"].replace("SELECT feature, round", "SELECT feature, score, (row_number() OVER (ORDER BY score DESC, feature))::INT AS rank FROM (SELECT feature, round") + ") QUALIFY row_number() OVER (ORDER BY score DESC, feature) <= 10",
+)(lambda s, d: analysis.select_best(analysis.f_value(analysis.to_long(_wide(s, d)), _classes(s, d)).withColumn("score", F.round("score", 6)), 10))
+query("fa_dbscan_core", _with("vectors", "v AS (SELECT vec_id AS id, x FROM vectors)") + "SELECT a.id, count(*) AS n, count(*) >= 3 AS core FROM v a, v b WHERE list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) <= 1.2 * 1.2 GROUP BY a.id")(lambda s, d: analysis.core_points(_wide(s, d), 1.2, 3))
+query("fa_kmeans")(lambda s, d: analysis.k_means(_wide(s, d), 4))
+query("fa_gmm")(lambda s, d: analysis.gaussian_mixture(analysis.pca(_wide(s, d), 4).withColumnRenamed("z", "x"), 3))
+query("fa_agnes")(lambda s, d: analysis.bisecting(_wide(s, d), 4))
+query("fa_pca")(lambda s, d: analysis.pca(_wide(s, d), 4))
+query("fa_tsvd")(lambda s, d: analysis.truncated_svd(_wide(s, d), 4))
+query("fa_kernel_pca")(lambda s, d: analysis.pca(learn.fourier_features(_wide(s, d), 1 / 64), 4))
+query("fa_tree")(lambda s, d: analysis.tree_importance(_wide(s, d), _classes(s, d), 10))
+query("fa_rfe")(lambda s, d: analysis.recursive_elimination(_wide(s, d), _classes(s, d).withColumn("y", F.when(F.col("y") < 5, 1).otherwise(-1)), 16, 16))
+
+
+# ---- evaluation --------------------------------------------------------------------------------------------------------------
+
+_FOLDS = "f AS MATERIALIZED (SELECT vec_id AS id, label AS y, ((row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR), vec_id) - 1) % 5)::INT AS fold FROM vectors)"
+_BINARY = "b AS MATERIALIZED (SELECT vec_id AS id, CASE WHEN label < 5 THEN 1 ELSE -1 END AS y, CASE WHEN x[1] > 0 THEN 1 ELSE -1 END AS p, round(x[1], 2) AS score, (vec_id % 5)::INT AS fold FROM vectors)"
+
+
+def _binary(s, d):
+    x = F.col("x")[0]
+    return vectors(s, d).select(F.col("vec_id").alias("id"), F.when(F.col("label") < 5, 1).otherwise(-1).alias("y"), F.when(x > 0, 1).otherwise(-1).alias("p"), F.round(x, 2).alias("score"), (F.col("vec_id") % 5).cast("int").alias("fold"))
+
+
+query("cv_folds", _with("vectors", _FOLDS) + "SELECT id, y, fold FROM f")(lambda s, d: evaluate.folds(_classes(s, d), 5))
+_METRICS = """, t AS (SELECT fold, sum((y = 1 AND p = 1)::INT)::DOUBLE AS tp, sum((y <> 1 AND p = 1)::INT)::DOUBLE AS fp, sum((y = 1 AND p <> 1)::INT)::DOUBLE AS fn, sum((y <> 1 AND p <> 1)::INT)::DOUBLE AS tn FROM b GROUP BY fold),
+u AS (SELECT x.fold, sum(CASE WHEN x.score > z.score THEN 1.0 WHEN x.score = z.score THEN 0.5 ELSE 0 END)::DOUBLE AS u FROM b x JOIN b z ON x.fold = z.fold AND x.y = 1 AND z.y <> 1 GROUP BY x.fold),
+r AS (SELECT *, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS sn, CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END AS sp, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr FROM t JOIN u USING (fold))
+SELECT fold, round((tp + tn) / (tp + fp + fn + tn), 4) AS "Acc", round(CASE WHEN sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) > 0 THEN (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0 END, 4) AS "MCC",
+       round(u / ((tp + fn) * (tn + fp)), 4) AS "AUC", round((sn + sp) / 2, 4) AS "BAcc", round(sn, 4) AS "Sn", round(sp, 4) AS "Sp", round(pr, 4) AS "Pr", round(sn, 4) AS "Rc", round(CASE WHEN pr + sn > 0 THEN 2 * pr * sn / (pr + sn) ELSE 0 END, 4) AS "F1" FROM r"""
+query("binary_metrics", _with("vectors", _BINARY) + _METRICS)(lambda s, d: evaluate.binary_metrics(_binary(s, d), "fold"))
+query("multiclass_acc", "SELECT round(avg((label = (vec_id % 10))::INT), 4) AS \"Acc\" FROM embeddings")(lambda s, d: evaluate.accuracy(vectors(s, d).select(F.col("label").alias("y"), (F.col("vec_id") % 10).alias("p"))))
+query("roc_points", _with("vectors", _BINARY, "g AS (SELECT score, sum((y = 1)::INT) AS pos, sum((y <> 1)::INT) AS neg FROM b GROUP BY score)", "c AS (SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, (SELECT sum(pos) FROM g) AS pp, (SELECT sum(neg) FROM g) AS nn FROM g WINDOW w AS (ORDER BY score DESC))") + "SELECT score, round(tp::DOUBLE / pp, 6) AS tpr, round(fp::DOUBLE / nn, 6) AS fpr, round(tp::DOUBLE / (tp + fp), 6) AS precision FROM c")(lambda s, d: evaluate.curve_points(_binary(s, d)))
+
+
+def _grid(s):
+    return evaluate.grid(s, {"k": evaluate.number_range([1, 3]), "delta": evaluate.number_range([0.2, 0.6, 0.2]), "kernel": ["rbf", "linear"]})
+
+
+query("grid_product", "SELECT ((k - 1) * 6 + j * 2 + m)::BIGINT AS idx, k::VARCHAR AS k, ['0.2', '0.4', '0.6'][j + 1] AS delta, ['rbf', 'linear'][m + 1] AS kernel FROM range(1, 4) a(k), range(3) b(j), range(2) c(m)")(lambda s, d: _grid(s))
+query("grid_pick", "SELECT i AS idx, (i * 7 % 5)::BIGINT AS metric FROM range(18) t(i) ORDER BY metric DESC, idx LIMIT 1")(lambda s, d: evaluate.pick(_grid(s).select("idx", (F.col("idx") * 7 % 5).alias("metric")), "metric"))
+query("top10_auc", "SELECT user_id, count(*) AS n, round(avg(value), 4) AS auc FROM events GROUP BY user_id ORDER BY auc DESC, user_id LIMIT 10")(lambda s, d: adapters.table(s, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("auc")).orderBy(F.desc("auc"), "user_id").limit(10))
+
+
+def _candidate_pairs(s, d):
+    """Pairs of vectors whose first coordinates stand in the same or in neighbouring cells."""
+    rows = vectors(s, d).select("vec_id", "x", F.floor(F.col("x")[0] * 50).alias("c"))
+    b = rows.select(F.col("vec_id").alias("b"), F.col("x").alias("z"), F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("c"))
+    pair = rows.select(F.col("vec_id").alias("a"), "x", "c").join(b, "c").where("a <> b")
+    dist = F.sqrt(F.aggregate(F.zip_with("x", "z", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda t, v: t + v))
+    return pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round(dist, 9).alias("d")).distinct()
+
+
+query(
+    "tomek_links",
+    _with("vectors", "v AS (SELECT vec_id, x, label, floor(x[1] * 50) AS c FROM vectors)", "p AS MATERIALIZED (SELECT DISTINCT least(a.vec_id, b.vec_id) AS a, greatest(a.vec_id, b.vec_id) AS b, round(sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS d FROM v a JOIN v b ON b.c BETWEEN a.c - 1 AND a.c + 1 AND a.vec_id <> b.vec_id)", "q AS (SELECT a, b, d FROM p UNION ALL SELECT b, a, d FROM p)", "n AS MATERIALIZED (SELECT a, first(b ORDER BY d, b) AS b FROM q GROUP BY a)")
+    + "SELECT x.a, x.b FROM n x JOIN n y ON x.b = y.a AND y.b = x.a JOIN v s ON s.vec_id = x.a JOIN v t ON t.vec_id = x.b WHERE x.a < x.b AND s.label <> t.label",
+)(lambda s, d: evaluate.tomek_links(_classes(s, d), _candidate_pairs(s, d)))
+
+
+@query("smote")
+def q_smote(spark, d):
+    p = _candidate_pairs(spark, d).where("d < 1.2").select(F.col("a").alias("id"), F.col("b").alias("other"))
+    return evaluate.smote(_wide(spark, d), p)
+
+
+# ---- learners ----------------------------------------------------------------------------------------------------------------
+
+
+def _task(s, d):
+    rows = vectors(s, d).select(F.col("vec_id").alias("id"), "x", F.when(F.col("label") < 5, 1).otherwise(-1).alias("y"))
+    return evaluate.folds(rows, 3)
+
+
+query("rf_cv")(lambda s, d: learn.cross_validate(_task(s, d), lambda: learn.forest(20), 3))
+query("svm_cv")(lambda s, d: learn.cross_validate(learn.fourier_features(_task(s, d), 0.5), lambda: learn.linear_machine(), 3))
+query("mlp_cv")(lambda s, d: learn.cross_validate(_task(s, d), lambda: learn.network(64), 3))
+
+
+@query("crf_viterbi")
+def crf_viterbi(spark, d):
+    """Each base's label is whether it is G or C, seen through its own and its left neighbour's chemical bits."""
+    rows = residue.ncp(rna(spark, d))
+    seqs = rows.groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "vec"))), lambda r: r["vec"]).alias("x"))
+    y = F.transform("x", lambda v: F.when((v[0] == 1) & (v[1] == 1), 0).when((v[0] == 0) & (v[1] == 0), 0).otherwise(1))
+    seqs = evaluate.folds(seqs.select(F.col("seq_id").alias("id"), "x", y.alias("y")), 3, label_col=None)
+    return learn.crf_cross_validate(seqs, 3, 3, sample=60, epochs=3)
