@@ -3,48 +3,25 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Offset tables with at most this many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+from ..sources.lineage import fresh_path, shared_dir, stash
 
+__all__ = ["fresh_path", "shared_dir", "stash"]  # others take these from here
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see: spark.checkpoint.dir where it is set.
+#: Tables of one or two numbers a row are broadcast up to so many rows, some 30 MB; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
-    Where it is unset, a local session uses a folder under the temp folder and any other session its warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return f"file://{os.path.join(tempfile.gettempdir(), 'helixframe')}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_helixframe"
 
-
-def fresh_path(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder; Spark's driver deletes it when the application ends."""
-    path = f"{shared_dir(spark)}/helixframe-{kind}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
-
-def stash(df: DataFrame, kind: str = "stash") -> DataFrame:
-    """Write df to the shared folder and return the written table: lineage ends here, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for a broadcast if it has at most `rows` rows. df should be a written table, since it is counted."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
@@ -57,13 +34,9 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank"
     laid = stash(laid.withColumn("_at", F.monotonically_increasing_id()), "ranked").withColumn("_pid", F.shiftright("_at", 33))
     sizes = laid.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     sizes = stash(sizes, "sizes")
-    from pyspark.sql import Window
-
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    if sizes.count() <= BROADCAST_ROWS:
-        sizes = F.broadcast(sizes)
-    right = sizes.select(F.col("_pid").alias("_p"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], "_first", "_before")
+    right = bounded(sizes).select(F.col("_pid").alias("_p"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], "_first", "_before")
     on = F.col("_pid") == F.col("_p")
     for i, c in enumerate(group):
         on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))

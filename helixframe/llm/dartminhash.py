@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix64, slices, stash, text_bytes, token_hashes, windows
+from .common import bounded, components, mix64, slices, stash, text_bytes, token_hashes, windows
 
 #: Rank regions: [0, 1/64), then each four times as far: [1/64, 1/16), [1/16, 1/4), ...
 _FIRST = 1 / 64
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     own = F.pmod(F.xxhash64("rep", F.lit("block")), blocks).cast("int")
     dealt = grouped.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("whole", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
-    few = docs.join(apart.select(F.col("rep").alias("_rep")).distinct(), F.col(id_col).cast("long") == F.col("_rep"), "left_semi")
+    few = docs.join(bounded(stash(apart.select(F.col("rep").alias("_rep")).distinct(), "ids")), F.col(id_col).cast("long") == F.col("_rep"), "left_semi")
     sets = stash(window_sets(few, words, id_col, text_col).dropDuplicates(["id"]).withColumnRenamed("id", "rep"), "sets")
 
     def link(table: pa.Table) -> pa.Table:
@@ -292,9 +292,9 @@ def _apart(inside: DataFrame, found: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """pairs (a, b) with the similarity of their texts."""
     pairs = stash(pairs, "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = stash(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = stash(texts.join(bounded(ids), "id", "left_semi").dropDuplicates(["id"]), "texts")
     # sorted joins at every size: adaptive execution splits what a member of many pairs would pile up
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
     both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")

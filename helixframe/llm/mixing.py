@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hex_fraction, ranked, stash
+from .common import bounded, hex_fraction, ranked, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,5 +66,5 @@ def mix(docs: DataFrame, weights: list[float], budget: float = 1.5, cap: float =
 
 def apply_mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs with each row repeated as the plan of mix() says; docs' ids must be unique. The columns stay those of docs."""
-    taken = plan.select(F.col(id_col).alias("_id"), "copies").where("copies > 0")
+    taken = bounded(stash(plan.select(F.col(id_col).alias("_id"), "copies").where("copies > 0"), "plan"))
     return docs.join(taken, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)

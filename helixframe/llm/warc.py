@@ -17,12 +17,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, stash
+from .common import bounded, stash
 
 SKIPPABLE = 0x184D2A5D
 #: A dictionary is built from an archive's first records, as many as fit in so many bytes; longer records give their head.
 SAMPLE_BYTES, SAMPLE_RECORD = 1_000_000, 32_768
 DICTIONARY_BYTES = 16_384
+#: The digests of payloads that occur more than once are broadcast up to so many, some 20 MB.
+REPEATED = 100_000
 #: An archive is closed when it has reached so many bytes.
 ARCHIVE_BYTES = 1_000_000_000
 _DATE = "2024-01-01T00:00:00Z"
@@ -148,9 +150,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 1000, id_co
     long = F.octet_length("payload") >= min_revisit
     again = rows.where(long).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null")
     again = stash(again.select(F.col("digest").alias("_digest"), "keeper"), "payloads")
-    if again.count() <= BROADCAST_ROWS:
-        again = F.broadcast(again)
-    rows = rows.join(again, (F.col("digest") == F.col("_digest")) & long, "left")
+    rows = rows.join(bounded(again, REPEATED), (F.col("digest") == F.col("_digest")) & long, "left")
     refers = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
     rows = rows.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
