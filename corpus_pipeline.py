@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import dartminhash, decontam, mixing, quality, sharding
-from helixframe.llm.common import fresh_path, stash
+from helixframe.llm.common import bounded, fresh_path, stash
 from helixframe.llm.queries import MIX_WEIGHTS, SHARDS
 
 #: The stages before the mix fit models and hash signatures that SQL doesn't have; tests hold them against brute force.
@@ -23,7 +23,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """One document, that of the smallest id, of each near-duplicate group."""
     groups = dartminhash.near_duplicates(docs, threshold=0.8, words=5)
     gone = stash(groups.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "copies")
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(bounded(gone), F.col("doc_id") == F.col("_id"), "left_anti")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
