@@ -108,7 +108,7 @@ def read_properties(spark: SparkSession, path: str) -> DataFrame:
     """kmer, prop, value of a CSV whose first line names the k-mers."""
     rows = spark.read.text(path, wholetext=True).select(F.split(F.trim("value"), r"\r?\n").alias("lines"))
     head = F.split(F.col("lines")[0], ",")
-    rows = rows.select(head.alias("head"), F.explode(F.slice("lines", 2, 100_000)).alias("line")).withColumn("f", F.split("line", ","))
+    rows = rows.select(head.alias("head"), F.explode(F.slice("lines", 2, 100_000)).alias("line")).where(F.trim("line") != "").withColumn("f", F.split("line", ","))
     pairs = F.arrays_zip(F.slice("head", 2, 100_000).alias("k"), F.slice("f", 2, 100_000).alias("v"))
     rows = rows.select(F.trim(F.col("f")[0]).alias("prop"), F.explode(pairs).alias("p"))
     return rows.select(F.trim("p.k").alias("kmer"), "prop", F.trim("p.v").cast("double").alias("value"))
