@@ -49,27 +49,37 @@ def components(edges: DataFrame) -> DataFrame:
     smallest id of the component, for every node that has an edge.
 
     All work is joins and minima on edge tables written between the rounds; nothing but two sums per round reaches the driver.
-    A hub's edges meet its minimum in a plain join, which adaptive execution can split."""
+    The minima are broadcast while there are at most BROADCAST_ROWS edges. Beyond that they are written, so that a hub's edges
+    meet its minimum in a plain join, which adaptive execution can split."""
 
     def digest(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def kept(df: DataFrame, kind: str) -> DataFrame:
+        return stash(df, kind) if last[0] > BROADCAST_ROWS else df
+
+    def minima(df: DataFrame) -> DataFrame:
+        return stash(df, "low") if last[0] > BROADCAST_ROWS else F.broadcast(df)
+
+    def written(e: DataFrame) -> DataFrame:
+        return stash(e.coalesce(1 + last[0] // 250_000) if last[0] <= BROADCAST_ROWS else e, "edges")
+
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = stash(e.distinct(), "edges")
     last = digest(e)
     while last[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        low = minima(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = stash(large.distinct(), "large")
-        low = stash(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        large = kept(large.distinct(), "large")
+        low = minima(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*").where("u <> v")
-        e = stash(small.distinct(), "edges")
+        e = written(small.distinct())
         if (now := digest(e)) == last:
             break
         last = now
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return stash(roots.unionByName(e.select(F.col("u").alias("node"), F.col("v").alias("component"))), "components")
+    return roots.unionByName(e.select(F.col("u").alias("node"), F.col("v").alias("component")))
 
 
 def hex_fraction(h: Column) -> Column:

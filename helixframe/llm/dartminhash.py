@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, mix64, slices, stash, text_bytes, token_hashes, windows
+from .common import BROADCAST_ROWS, bounded, components, mix64, slices, stash, text_bytes, token_hashes, windows
 
 #: Rank regions: [0, 1/64), then each four times as far: [1/64, 1/16), [1/16, 1/4), ...
 _FIRST = 1 / 64
@@ -261,8 +261,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     own = F.pmod(F.xxhash64("rep", F.lit("block")), blocks).cast("int")
     dealt = grouped.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("whole", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
-    few = docs.join(bounded(stash(apart.select(F.col("rep").alias("_rep")).distinct(), "ids")), F.col(id_col).cast("long") == F.col("_rep"), "left_semi")
-    sets = stash(window_sets(few, words, id_col, text_col).dropDuplicates(["id"]).withColumnRenamed("id", "rep"), "sets")
+    few = docs.join(bounded(apart.select(F.col("rep").alias("__rep")).distinct()), F.col(id_col).cast("long") == F.col("__rep"), "left_semi")
+    sets = window_sets(few, words, id_col, text_col).withColumnRenamed("id", "rep")
 
     def link(table: pa.Table) -> pa.Table:
         rep, comp, own, i, j = (table.column(c).to_numpy() for c in ("rep", "component", "own", "i", "j"))
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
         moved = np.flatnonzero(root != np.arange(len(rep)))
         return pa.table({"a": rep[moved].astype(np.int64), "b": rep[root[moved]].astype(np.int64)})
 
-    late = stash(dealt.join(sets.hint("merge"), "rep").groupBy("whole", "g", "i", "j").applyInArrow(link, "a long, b long"), "late")
+    late = dealt.join(sets.hint("merge"), "rep").groupBy("whole", "g", "i", "j").applyInArrow(link, "a long, b long")
     found = components(tested.where(linked).select("a", "b").unionByName(late))
 
     labels = stash(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component_id")), "labels")
@@ -284,17 +284,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
 def _apart(inside: DataFrame, found: DataFrame) -> DataFrame:
     """The members (h, rep, size, centre) of buckets that hold more than one component, each with its component."""
     held = inside.select("h", "rep", "size", "centre").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    held = stash(held, "apart")
     open_ = held.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
-    return stash(held.join(stash(open_, "open"), "h"), "apart")
+    return stash(held.join(stash(open_, "open"), "h", "left_semi"), "apart")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """pairs (a, b) with the similarity of their texts."""
     pairs = stash(pairs, "candidates")
-    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = stash(texts.join(bounded(ids), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = texts.join(F.broadcast(ids) if 2 * pairs.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
     # sorted joins at every size: adaptive execution splits what a member of many pairs would pile up
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
     both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")

@@ -151,5 +151,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, all columns, that no benchmark item contaminates."""
     found = find_contamination(docs, benchmark, id_col=id_col, **options)
-    bad = stash(found.select(F.col(id_col).alias("_id")).distinct(), "contaminated")
-    return docs.join(bounded(bad), F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    bad = stash(found.select(F.col(id_col).alias("__bad")).distinct(), "contaminated")
+    return docs.join(bounded(bad), F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")

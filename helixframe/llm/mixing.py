@@ -66,5 +66,6 @@ def mix(docs: DataFrame, weights: list[float], budget: float = 1.5, cap: float =
 
 def apply_mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs with each row repeated as the plan of mix() says; docs' ids must be unique. The columns stay those of docs."""
-    taken = bounded(stash(plan.select(F.col(id_col).alias("_id"), "copies").where("copies > 0"), "plan"))
-    return docs.join(taken, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    taken = bounded(stash(plan.select(F.col(id_col).alias("__mixed"), F.col("copies").cast("int").alias("__copies")).where("__copies > 0"), "plan"))
+    rows = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__mixed"))).select(*docs.columns, "__copies")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
