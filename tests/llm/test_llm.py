@@ -302,7 +302,7 @@ def test_wrapper_finds_groups_and_options():
     page = lambda items, extra: wrappers.expression(wrappers.parse("<body><ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" + extra + "<div>fix</div></body>"))
     w = wrappers.align(page("ab", "<p>one</p>"), page("abc", ""))
     body = w[0][5]
-    assert [x[0] for x in body] == ["ul", "p", "div"] and "?" in body[1][1] and "+" in body[0][5][0][1]
+    assert [x[0] for x in body] == ["ul", "p", "div()"] and "?" in body[1][1] and "+" in body[0][5][0][1]
     assert "=" in body[2][5][0][1] and body[2][5][0][5] == "fix" and "=" not in body[0][5][0][5][0][1]
 
 
