@@ -23,8 +23,10 @@ def _tail(a: Column, start: int, n: Column) -> Column:
 
 
 def _words(seqs: DataFrame, k: int) -> DataFrame:
-    """seq_id, w: windows in order. The letters are a column of their own: an expression would be split anew for each window."""
-    return seqs.select("seq_id", letters(F.col("seq")).alias("c")).select("seq_id", kmers(F.col("c"), k).alias("w"))
+    """seq_id, w (windows in order), n (how many). The letters are a column of their own: an expression would be split anew for each
+    window. n comes from the length: a filter on size(w) would be pushed down together with the making of the windows."""
+    rows = seqs.select("seq_id", F.greatest(F.length("seq") - (k - 1), F.lit(0)).alias("n"), letters(F.col("seq")).alias("c"))
+    return rows.select("seq_id", "n", kmers(F.col("c"), k).alias("w"))
 
 
 def _mapped(words: str, table: dict[str, float]) -> Column:
@@ -62,8 +64,7 @@ def _autocovariance(rows: DataFrame, lags: int) -> DataFrame:
 
 def _crosscovariance(seqs: DataFrame, k: int, props: dict, lags: int) -> DataFrame:
     """Every ordered pair of different properties, both centred by the same means as above."""
-    # filtered by length: a filter on the windows would be pushed down together with their making
-    rows = _words(seqs.where(F.length("seq") > k), k).withColumn("n", F.size("w"))
+    rows = _words(seqs.where(F.length("seq") > k), k)
     for i, t in enumerate(props.values()):
         rows = rows.withColumn(f"v{i}", _mapped("w", t))
         rows = rows.withColumn(f"m{i}", _sum(_head(F.col(f"v{i}"), F.col("n") - 1)) / (F.col("n") - 1))
@@ -132,7 +133,7 @@ def zcpseknc(seqs: DataFrame, k: int, lamada: int, w: float, digits: int = 8) ->
     # frequencies along the windows, from the sequence's own counts
     arrays = _words(seqs, k).withColumnRenamed("w", "c")
     freq = words.groupBy("seq_id", "word").agg(F.count(F.lit(1)).alias("c")).join(size, "seq_id").groupBy("seq_id").agg(F.map_from_entries(F.collect_list(F.struct("word", F.col("c") / F.col("n")))).alias("f"))
-    along = arrays.join(freq, "seq_id").select("seq_id", F.transform("c", lambda x: F.element_at("f", x)).alias("v")).withColumn("n", F.size("v"))
+    along = arrays.join(freq, "seq_id").select("seq_id", "n", F.transform("c", lambda x: F.element_at("f", x)).alias("v"))
     theta = along.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lamada)))).where("n > lag").withColumn("m", F.col("n") - F.col("lag"))
     theta = theta.select("seq_id", F.concat(F.lit("theta|"), F.col("lag")).alias("feature"), (_sum(F.zip_with(_head(F.col("v"), F.col("m")), F.slice("v", F.col("lag") + 1, F.col("m")), lambda a, b: (a - b) * (a - b))) / F.col("m") * w).alias("value"))
     rows = curve.unionByName(theta)

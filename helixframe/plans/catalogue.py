@@ -421,10 +421,22 @@ def _off_ties(df: DataFrame, digits: int) -> DataFrame:
 
 
 def _cov_sql(view: str, k: int, props: dict, lags: int, kind: str) -> str:
-    ac = f"SELECT a.seq_id, 'ac|' || g.lag || '|' || a.prop AS feature, round(sum((a.x - a.mean) * b.x) / (any_value(a.n) - g.lag) + 1e-9, 6) + 0.0 AS value FROM p a JOIN g ON true JOIN p b ON a.seq_id = b.seq_id AND a.prop = b.prop AND b.pos = a.pos + g.lag GROUP BY a.seq_id, g.lag, a.prop"
-    cc = f"SELECT a.seq_id, 'cc|' || g.lag || '|' || a.prop || '|' || b.prop AS feature, round(sum((a.x - a.mean) * (b.x - b.mean)) / (any_value(a.n) - g.lag) + 1e-9, 6) + 0.0 AS value FROM p a JOIN g ON true JOIN p b ON a.seq_id = b.seq_id AND a.prop <> b.prop AND b.pos = a.pos + g.lag GROUP BY a.seq_id, g.lag, a.prop, b.prop"
-    lag = f"g(lag) AS (VALUES {', '.join(f'({i})' for i in range(1, lags + 1))})"
-    return "WITH " + _props_sql(view, k, props) + f", {lag} " + {"ac": ac, "cc": cc, "acc": f"{ac} UNION ALL {cc}"}[kind]
+    names = list(props)
+    at = range(len(names))
+    words_ = sorted(props[names[0]])
+    wide = _values("e", "word, " + ", ".join(f"x{i}" for i in at), [(w, *[float(props[p][w]) for p in names]) for w in words_])
+    q = f"q AS (SELECT w.seq_id, pos, length(seq) - {k - 1} AS n, {', '.join(f'x{i}' for i in at)} FROM w JOIN e USING (word) JOIN {view} USING (seq_id) WHERE length(seq) > {k})"
+    m = f"m AS (SELECT seq_id, {', '.join(f'sum(CASE WHEN pos < n - 1 THEN x{i} ELSE 0 END) / (any_value(n) - 1) AS m{i}' for i in at)} FROM q GROUP BY seq_id)"
+    parts = []
+    for g in range(1, lags + 1):
+        ahead = ", ".join(f"lead(x{i}, {g}) OVER o AS y{i}" for i in at)
+        cells = []
+        if kind in ("ac", "acc"):
+            cells += [f"{{'f': 'ac|{g}|{names[i]}', 'v': sum((x{i} - m{i}) * y{i}) / (any_value(n) - {g})}}" for i in at]
+        if kind in ("cc", "acc"):
+            cells += [f"{{'f': 'cc|{g}|{names[i]}|{names[j]}', 'v': sum((x{i} - m{i}) * (y{j} - m{j})) / (any_value(n) - {g})}}" for i in at for j in at if i != j]
+        parts.append(f"SELECT seq_id, unnest([{', '.join(cells)}]) AS r FROM (SELECT *, {ahead} FROM q WINDOW o AS (PARTITION BY seq_id ORDER BY pos)) JOIN m USING (seq_id) WHERE y0 IS NOT NULL GROUP BY seq_id")
+    return _with(view, _windows(view, k), wide, q, m) + f"SELECT seq_id, r.f AS feature, round(r.v + 1e-9, 6) + 0.0 AS value FROM ({' UNION ALL '.join(parts)})"
 
 
 for _name, _view, _f, _k, _props, _lags, _kind in [
