@@ -527,7 +527,13 @@ def sr_motif_pssm(spark, d):
     return syntax.motif_scores(residue.pssm_rows(protein(spark, d)), motifs)
 
 
-@query("sr_pdt", _with("protein", _windows("protein", 1), _values("e", "prop, word, x", [(p, a, float(x)) for p, t in _Z["protein"].items() for a, x in t.items()]), "p AS MATERIALIZED (SELECT seq_id, prop, pos, x FROM w JOIN e USING (word))") + "SELECT a.seq_id, g.lag || '|' || a.prop AS feature, round(avg((a.x - b.x) * (a.x - b.x)) + 1e-9, 3) + 0.0 AS value FROM p a JOIN (VALUES (1), (2)) g(lag) ON true JOIN p b ON a.seq_id = b.seq_id AND a.prop = b.prop AND b.pos = a.pos + g.lag GROUP BY a.seq_id, g.lag, a.prop")
+_PDT = " UNION ALL ".join(
+    f"SELECT seq_id, unnest([{', '.join(f"{{'f': '{g}|{p}', 'v': avg((x{i} - y{i}) * (x{i} - y{i}))}}" for i, p in enumerate(_Z['protein']))}]) AS r FROM (SELECT *, {', '.join(f'lead(x{i}, {g}) OVER o AS y{i}' for i in range(3))} FROM q WINDOW o AS (PARTITION BY seq_id ORDER BY pos)) WHERE y0 IS NOT NULL GROUP BY seq_id"
+    for g in (1, 2)
+)
+
+
+@query("sr_pdt", _with("protein", _windows("protein", 1), _values("e", "word, x0, x1, x2", [(a, *[float(t[a]) for t in _Z["protein"].values()]) for a in T.PROTEIN]), "q AS (SELECT seq_id, pos, x0, x1, x2 FROM w JOIN e USING (word))") + f"SELECT seq_id, r.f AS feature, round(r.v + 1e-9, 3) + 0.0 AS value FROM ({_PDT})")
 def sr_pdt(spark, d):
     return _off_ties(syntax.pdt(protein(spark, d), 2, _Z["protein"], digits=12), 3)
 
