@@ -466,9 +466,9 @@ for _name, _kind in (("sr_mac", "moran"), ("sr_gac", "geary"), ("sr_nmbac", "mor
     query(_name, _sql)(lambda s, d, c=_kind: _off_ties(syntax.autocorrelation(dna(s, d), c, 2, 2, _DI, digits=12), 3))
 
 
-@query("sr_nd", _with("dna", _windows("dna", 1)) + "SELECT seq_id, pos::INT AS pos, round(count(*) OVER (PARTITION BY seq_id, word ORDER BY pos)::DOUBLE / (pos + 1), 3) AS value FROM w")
+@query("sr_nd", _with("dna", _windows("dna", 1)) + "SELECT seq_id, pos::INT AS pos, round(count(*) OVER (PARTITION BY seq_id, word ORDER BY pos)::DOUBLE / (pos + 1) + 1e-9, 3) + 0.0 AS value FROM w")
 def sr_nd(spark, d):
-    return syntax.nd(dna(spark, d))
+    return _off_ties(syntax.nd(dna(spark, d), digits=12), 3)
 
 
 @query(
