@@ -172,10 +172,11 @@ def letter_pair_dt(seqs: DataFrame, lags: int = 4, digits: int = 6) -> DataFrame
     and the 400 products are made once for each of these, not for each residue."""
     from .words import dr_words, word_counts
 
-    pairs = word_counts(dr_words(seqs, lags).where("dist > 0"), "dist")
-    both = pairs.withColumn("a", lookup(F.substring("word", 1, 1), T.BLOSUM62)).withColumn("b", lookup(F.substring("word", 2, 1), T.BLOSUM62))
-    rows = both.select("seq_id", "dist", "n", F.posexplode("a").alias("i", "x"), "b").select("seq_id", "dist", "n", "i", "x", F.posexplode("b").alias("j", "y"))
-    mean = F.sum(F.col("n") * F.col("x") * F.col("y")) / F.sum("n")
+    pairs = word_counts(dr_words(seqs, lags).where("dist > 0"), "dist").select("seq_id", "dist", "n", F.substring("word", 1, 1).alias("a"), lookup(F.substring("word", 2, 1), T.BLOSUM62).alias("b"))
+    # one letter after the other: 20 sums for each first letter, then 20 for each of these
+    half = pairs.select("seq_id", "dist", "n", "a", F.posexplode("b").alias("j", "y")).groupBy("seq_id", "dist", "a", "j").agg(F.sum(F.col("n") * F.col("y")).alias("s"), F.sum("n").alias("n"))
+    rows = half.withColumn("x", lookup(F.col("a"), T.BLOSUM62)).select("seq_id", "dist", "j", "s", "n", F.posexplode("x").alias("i", "x"))
+    mean = F.sum(F.col("s") * F.col("x")) / F.sum("n")
     return rows.groupBy("seq_id", F.col("dist").alias("lag"), "i", "j").agg(rounded(mean + 1e-9, digits).alias("value"))  # exact halves round up
 
 
