@@ -95,9 +95,54 @@ def tomek_links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return mutual.join(y.select(F.col("id").alias("a"), F.col("y").alias("ya")), "a").join(y.select(F.col("id").alias("b"), F.col("y").alias("yb")), "b").where("ya <> yb").select("a", "b")
 
 
-def smote(rows: DataFrame, neighbours: DataFrame, times: int = 1) -> DataFrame:
-    """id, x: new rows between a row of the small class and one of its neighbours (id, other), at a place that a hash decides."""
-    pair = neighbours.join(rows.select("id", "x"), "id").join(rows.select(F.col("id").alias("other"), F.col("x").alias("z")), "other")
+#: Rows of a block; nearest() compares all rows block by block, so that no task holds more than two blocks.
+BLOCK = 2048
+
+
+def nearest(rows: DataFrame, k: int = 1) -> DataFrame:
+    """id, other, d: the k nearest other rows of each row by Euclidean distance (rounded to nine decimals; the lower id on a tie),
+    exactly. rows: id (unique numbers), x (arrays of one length). Every block of rows meets every block, so the work is quadratic;
+    only k rows of each row leave a task."""
+    import numpy as np
+    import pandas as pd
+
+    blocks = max(1, -(-rows.count() // BLOCK))
+    dealt = rows.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = dealt.select("id", "x", F.col("own").alias("i"), other.alias("j"))
+    right = dealt.select(F.col("id").alias("other"), F.col("x").alias("z"), F.col("own").alias("j"), other.alias("i"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            b = b.sort_values("other")
+            ids, z = b["other"].to_numpy(), np.stack(b["z"].to_numpy()).T.copy()
+            for lo in range(0, len(a), 256):
+                part = a.iloc[lo : lo + 256]
+                x, mine = np.stack(part["x"].to_numpy()), part["id"].to_numpy()
+                d = np.zeros((len(x), len(ids)))
+                for c in range(len(z)):  # one coordinate after the other, as a sum over the array would
+                    d += (x[:, c, None] - z[c]) ** 2
+                d = np.round(np.sqrt(d), 9)
+                d[mine[:, None] == ids] = np.inf
+                at = np.argsort(d, 1, kind="stable")[:, :k]
+                found = np.take_along_axis(d, at, 1)
+                ok = np.isfinite(found)
+                out.append(pd.DataFrame({"id": np.repeat(mine, ok.sum(1)), "other": ids[at][ok], "d": found[ok]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "d": []})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    some = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"id {kind}, other {kind}, d double")
+    some = some.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("n"))
+    return some.select("id", F.explode("n").alias("n")).select("id", "n.other", "n.d")
+
+
+def smote(rows: DataFrame, k: int = 5, times: int = 1) -> DataFrame:
+    """id, x: new rows between a row of the small class and each of its k nearest neighbours in that class, at a place that a hash
+    decides. rows: id, x, y. The small class has the fewest rows, the lowest y on a tie."""
+    small = rows.groupBy("y").count().orderBy("count", "y").limit(1).select("y")
+    rows = rows.join(F.broadcast(small), "y", "left_semi")  # one row
+    pair = nearest(rows, k).join(rows.select("id", "x"), "id").join(rows.select(F.col("id").alias("other"), F.col("x").alias("z")), "other")
     pair = pair.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(times))))
     part = F.pmod(F.xxhash64("id", "other", "t"), F.lit(10_000)) / 10_000.0
     return pair.withColumn("part", part).select(F.concat_ws("~", "id", "other", "t").alias("id"), F.zip_with("x", "z", lambda a, b: a + (b - a) * F.col("part")).alias("x"))

@@ -670,10 +670,7 @@ query(
 )(lambda s, d: evaluate.tomek_links(_classes(s, d), _candidate_pairs(s, d)))
 
 
-@query("smote")
-def q_smote(spark, d):
-    p = _candidate_pairs(spark, d).where("d < 1.2").select(F.col("a").alias("id"), F.col("b").alias("other"))
-    return evaluate.smote(_wide(spark, d), p)
+query("smote")(lambda s, d: evaluate.smote(vectors(s, d).select(F.col("vec_id").alias("id"), "x", F.col("label").alias("y"))))
 
 
 # ---- learners ----------------------------------------------------------------------------------------------------------------

@@ -217,3 +217,34 @@ def test_glove_and_embedding(spark):
     v = weighting.glove(weighting.co_occurrence(w, 3), dim=4, rounds=3)
     assert all(np.linalg.norm(r.vector) == pytest.approx(1) for r in v.collect())
     assert all(len(r.features) % 4 == 0 for r in weighting.embed(w, v, 4).collect())
+
+
+def test_nearest_neighbours_are_exact(spark, monkeypatch):
+    """Also where first coordinates are far apart, and over many blocks."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(90, 6)), rng.integers(0, 3, 90)
+    x[:, 0] *= 0.8
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
+    np.fill_diagonal(d, np.inf)
+    rows = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id long, x array<double>, y int")
+    monkeypatch.setattr(evaluate, "BLOCK", 20)
+    got = {(r.id, r.other) for r in evaluate.nearest(rows, 3).collect()}
+    assert got == {(i, int(j)) for i in range(90) for j in np.argsort(d[i], kind="stable")[:3]}
+    pairs = evaluate.nearest(rows).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "d").distinct()
+    one = d.argmin(1)
+    want = {(i, int(one[i])) for i in range(90) if one[one[i]] == i and i < one[i] and y[i] != y[one[i]]}
+    assert want and {(r.a, r.b) for r in evaluate.tomek_links(rows, pairs).collect()} == want
+
+
+def test_smote_stays_in_the_small_class(spark):
+    from helixframe.plans.catalogue import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    t = spark.read.parquet(f"{d}/embeddings.parquet").toPandas().sort_values("vec_id")
+    label = t.label.value_counts().sort_index().idxmin()
+    t = t[t.label == label]
+    x, ids = np.stack(t.embedding.to_numpy()).astype(float), t.vec_id.to_numpy()
+    e = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
+    np.fill_diagonal(e, np.inf)
+    want = {f"{i}~{ids[j]}~1" for i, row in zip(ids, e) for j in np.argsort(row, kind="stable")[:5]}
+    assert {r.id for r in QUERIES["smote"](spark, d).collect()} == want
