@@ -1,6 +1,6 @@
 """Licence scans with DataFrame functions only.
 
-Every line of a text is a paragraph. A logistic regression over its words and word pairs, trained here on variants of known
+Every line of a text is looked at, and so are windows of words across line ends, because licence texts are wrapped. A logistic regression over its words and word pairs, trained here on variants of known
 licence lines and on ordinary paragraphs of the corpus, names a licence family or 'unknown'; how sure it must be is
 calibrated on rows that it hasn't trained on. A family counts only if the paragraph also compares well with one of that
 family's lines. Scoring is a join: the n-grams of all paragraphs meet the table of weights, and few of them stay."""
@@ -8,14 +8,15 @@ family's lines. Scoring is a join: the n-grams of all paragraphs meet the table
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import bounded, stash
 
 UNKNOWN = "unknown"
 # fixed values: characteristic lines of public licences, by family
@@ -36,6 +37,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
     ("GPL-2.0", "This program is free software; you can redistribute it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
     ("LGPL", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
@@ -142,37 +144,101 @@ def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     return stash(weights, "licence_weights"), families, model.interceptVector.toArray().tolist(), (float(platt.coefficients[0]), float(platt.intercept))
 
 
-def find_licences(docs: DataFrame, confirm: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per licence paragraph: id_col, paragraph (the number of the line, from 0), family, probability (calibrated) and
-    coverage (the largest share of a template line's word pairs that the paragraph holds).
+#: Windows start at every WINDOW-th word and are twice as long, so that each run of so many words, more than any template line
+#: has, stands whole in one of them.
+WINDOW = 48
+
+
+def _names(lines: list[tuple[str, str]]) -> list[str]:
+    """Pairs of words that tell nothing about a family: more than three have them, and they hold no number."""
+    seen: dict[str, set[str]] = {}
+    for family, text in lines:
+        w = [x for x in re.split(r"[\W_]+", text.lower()) if x]
+        for a, b in zip(w, w[1:]):
+            seen.setdefault(f"{a} {b}", set()).add(family)
+    return [g for g, f in seen.items() if len(f) > 3 and not re.search(r"\d", g)]
+
 
-    A paragraph is reported if the family's calibrated probability is one half at least and coverage is at least `confirm`.
-    Null and empty texts have no paragraphs; rows with equal ids are taken together, a null id too. Texts are read whole.
-    Other columns are ignored; an empty table gives an empty result."""
+def _grams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, id, at (the word's place in the text), line, last (the line of a pair's second word) and gram, for words and pairs.
+    Pairs run across line ends. In SPDX expressions each alternative is read with the tag before it."""
+    text = F.col(text_col).cast("string")
+    spdx = F.regexp_replace(text, r"(?i)[ \t]+(?:or|and)[ \t]+\(?(?<=spdx-license-identifier:[ \tA-Za-z0-9.+()-]{1,200})", " SPDX-License-Identifier: ")
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.when(F.lower(text).contains("spdx-license-identifier"), spdx).otherwise(text).alias("text"))
+    rows = rows.select("row", "id", F.transform(F.split("text", "\n"), words_of).alias("lines"))
+    rows = rows.select("row", "id", F.flatten("lines").alias("w"), F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i, F.size(x)))).alias("l")).where("size(w) > 0")
+    tail = lambda c: F.slice(c, F.lit(2), F.size(c))
+    rows = rows.select("row", "id", F.posexplode(F.arrays_zip("w", "l", tail(F.col("w")).alias("v"), tail(F.col("l")).alias("m"))).alias("at", "x"))
+    single = F.struct(F.col("x.w").alias("gram"), F.col("x.l").alias("last"))
+    pair = F.struct(F.concat("x.w", F.lit(" "), "x.v").alias("gram"), F.col("x.m").alias("last"))
+    return rows.select("row", "id", "at", F.col("x.l").alias("line"), F.explode(F.array(single, pair)).alias("g")).select("row", "id", "at", "line", "g.last", "g.gram").where("gram is not null")
+
+
+def find_licences(docs: DataFrame, confirm: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per licence found: id_col, paragraph (the number of the line, from 0, in which it begins), family, probability
+    (calibrated) and coverage (the largest share of a template line's word pairs that is there).
+
+    A line is looked at by itself; what no line has is looked for in windows of words across line ends. A family is reported
+    if its calibrated probability is one half at least and its coverage at least `confirm`; a place may name several. A family
+    that has nothing but what a better covered one's lines say too is not reported (CC BY in CC BY-NC). Null and empty texts
+    have none; the same id may stand on several rows, which are read each for itself. Texts are read whole. Other columns are
+    ignored; an empty table gives an empty result."""
     spark = docs.sparkSession
     weights, families, intercepts, (slope, shift) = train(spark, docs, id_col, text_col)
-    lines = _local(spark, [{"line": i, "family": f, "text": t} for i, (f, t) in enumerate(TEMPLATES)], "line int, family string, text string")
+    lines = _local(spark, [{"template": i, "family": f, "text": t} for i, (f, t) in enumerate(TEMPLATES)], "template int, family string, text string")
     lines = lines.withColumn("grams", F.filter(F.array_distinct(grams_of(words_of(F.col("text")))), lambda g: g.contains(" "))).withColumn("pairs", F.size("grams"))
-    lines = stash(lines.select("line", "family", "pairs", F.explode("grams").alias("gram")), "licence_lines")
+    lines = stash(lines.select("template", "family", "pairs", F.explode("grams").alias("gram")), "licence_lines")
     vocabulary = weights.select("gram").unionByName(lines.select("gram")).distinct()  # VOCABULARY and the templates at most
-    paragraphs = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("paragraph", "line"))
-    grams = paragraphs.select("id", "paragraph", F.explode(grams_of(words_of(F.col("line")))).alias("gram"))
-    met = stash(grams.join(F.broadcast(vocabulary), "gram").distinct(), "licence_grams")
-    sums = met.join(F.broadcast(weights), "gram").groupBy("id", "paragraph").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(families))])
-    scores = F.array(*[F.col(f"s{i}") + F.lit(b) for i, b in enumerate(intercepts)])
-    best = F.array_max(F.slice(scores, 1, len(families) - 1))
-    family = F.element_at(F.array(*[F.lit(f) for f in families]), F.array_position(scores, best).cast("int"))
-    probability = 1 / (1 + F.exp(-(F.lit(slope) * (best - F.element_at(scores, -1)) + F.lit(shift))))
-    named = sums.select("id", "paragraph", family.alias("family"), probability.alias("probability")).where("probability >= 0.5")
-    covered = met.join(F.broadcast(lines), "gram").groupBy("id", "paragraph", "family", "line").agg((F.count(F.lit(1)) / F.first("pairs")).alias("coverage"))
-    covered = covered.groupBy("id", "paragraph", "family").agg(F.max("coverage").alias("coverage")).where(F.col("coverage") >= confirm)
-    on = [F.col("n.id").eqNullSafe(F.col("c.id")), F.col("n.paragraph") == F.col("c.paragraph"), F.col("n.family") == F.col("c.family")]
-    out = named.alias("n").join(covered.alias("c"), on)
-    return out.select(F.col("n.id").alias(id_col), "n.paragraph", "n.family", F.round("probability", 6).alias("probability"), F.round("coverage", 6).alias("coverage"))
+    grams = _grams(docs, id_col, text_col).join(F.broadcast(vocabulary), "gram")
+    # a unit is a line (w false) or a window; n is its number
+    block = F.floor(F.col("at") / WINDOW).cast("int")
+    unit = lambda w, n: F.struct(F.lit(w).alias("w"), n.alias("n"))
+    units = F.array(unit(True, block), unit(True, block - 1), unit(False, F.when(F.col("line") == F.col("last"), F.col("line"))))
+    met = grams.withColumn("u", F.explode(units)).select("row", "id", "u.w", "u.n", "gram", "at", "line", "last").where("n >= 0")
+    met = stash(met.groupBy("row", "w", "n", "gram").agg(F.first("id").alias("id"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.min("line").alias("top"), F.max("last").alias("end")), "licence_grams")
+    key = ["row", "w", "n"]
+    pairs = met.where(F.col("gram").contains(" ")).join(F.broadcast(lines), "gram")
+    covered = pairs.groupBy(*key, "template", "family").agg((F.count(F.lit(1)) / F.first("pairs")).alias("coverage"), F.count(F.lit(1)).alias("size"), F.first("id").alias("id"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("top").alias("top"), F.max("end").alias("end"))
+    covered = covered.where(F.col("coverage") >= confirm).groupBy(*key, "family").agg(F.max_by(F.struct("template", "id", "lo", "hi", "top", "end", "coverage", "size"), F.struct("coverage", "size", "template")).alias("best"))
+    covered = stash(covered.select(*key, "family", "best.*"), "licence_covered")
+    few = bounded(covered)
+
+    # sureness of each family from what stands in its span
+    i = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("int")
+    inside = met.join(F.broadcast(weights.withColumnRenamed("w", "w2")), "gram").join(few.select(*key, "family", F.col("lo").alias("from"), F.col("hi").alias("to")), key).where((F.col("lo") <= F.col("to") + 1) & (F.col("hi") >= F.col("from")))
+    margin = F.sum(F.element_at("w2", i) - F.element_at("w2", -1))
+    start = F.element_at(F.array(*[F.lit(b) for b in intercepts]), i) - F.lit(intercepts[-1])
+    sure = inside.groupBy(*key, "family").agg(margin.alias("margin")).withColumn("probability", 1 / (1 + F.exp(-(F.lit(slope) * (F.col("margin") + start) + F.lit(shift)))))
+    named = covered.join(sure.where("probability >= 0.5").drop("margin"), [*key, "family"])
+    named = stash(named, "licence_named")
+
+    # a family needs a telling pair that no line of a better covered family of the same unit has
+    dull = F.array(*[F.lit(g) for g in _names(TEMPLATES)])
+    own = lines.groupBy("family").agg(F.collect_set("gram").alias("all"))
+    of = lines.where(~F.array_contains(dull, F.col("gram"))).select("template", "gram")
+    told = bounded(named).select(*key, "family", "template").join(F.broadcast(of), "template").join(met.select(*key, "gram"), [*key, "gram"])
+    told = told.groupBy(*key, "family").agg(F.collect_set("gram").alias("tells"))
+    rank = F.struct("coverage", "size", "probability", "family")
+    better = named.select(*key, F.col("family").alias("other"), rank.alias("above")).join(F.broadcast(own.withColumnRenamed("family", "other")), "other")
+    worse = named.withColumn("rank", rank).select(*key, "family", "rank").join(told, [*key, "family"], "left").join(better, key).where("above > rank")
+    worse = worse.where(F.size(F.array_except(F.coalesce("tells", F.array().cast("array<string>")), "all")) == 0).select(*key, "family").distinct()
+    left = stash(named.join(worse, [*key, "family"], "left_anti"), "licence_left")
+
+    # windows add what no line in their span has; windows that overlap see the same licence once
+    by_line = left.where("not w")
+    seen = by_line.select(F.col("row").alias("_row"), F.col("family").alias("_family"), F.col("n").alias("_n"))
+    more = left.where("w").join(seen, (F.col("row") == F.col("_row")) & (F.col("family") == F.col("_family")) & F.col("_n").between(F.col("top"), F.col("end")), "left_anti")
+    before = Window.partitionBy("row", "family").orderBy("lo", "hi", "n")
+    more = more.withColumn("reached", F.max("hi").over(before.rowsBetween(Window.unboundedPreceding, -1))).withColumn("new", F.when(F.col("lo") <= F.col("reached"), 0).otherwise(1))
+    more = more.withColumn("place", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    more = more.groupBy("row", "family", "place").agg(F.first("id").alias("id"), F.min("top").alias("paragraph"), F.max("probability").alias("probability"), F.max("coverage").alias("coverage"))
+    columns = ["id", "paragraph", "family", "probability", "coverage"]
+    out = by_line.withColumn("paragraph", F.col("n")).select(*columns).unionByName(more.select(*columns))
+    return out.select(F.col("id").alias(id_col), "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("coverage", 6).alias("coverage"))
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per row of docs: id_col, n_paragraphs (lines; 0 for a null or empty text), n_licences (licence paragraphs),
+    """One row per row of docs: id_col, n_paragraphs (lines; 0 for a null or empty text), n_licences (families found, by place),
     families (their names in order, joined by commas) and best_probability (0 without any). See find_licences."""
     found = stash(find_licences(docs, id_col=id_col, text_col=text_col, **options), "licences")
     per = found.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("n"), F.concat_ws(",", F.sort_array(F.collect_set("family"))).alias("f"), F.max("probability").alias("p"))

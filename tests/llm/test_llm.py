@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -387,6 +388,33 @@ def test_licences_in_documents(spark, sf):
     assert not re.search("Python|Pandas|InArrow", plan)
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."""
+GPL_TEXT = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+ISC_TEXT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+
+
+def test_licences_wrapped_and_several_in_a_line(spark):
+    wrap = lambda text, n: "\n".join(textwrap.fill(x, n) for x in text.split("\n"))
+    prose = "The river was low and the boats lay on the sand for most of the summer.\n" * 3
+    texts = [(MIT_TEXT, "MIT"), (BSD_TEXT, "BSD"), (GPL_TEXT.format(":", 3), "GPL-3.0"), (GPL_TEXT.format(";", 2), "GPL-2.0"), (ISC_TEXT, "ISC")]
+    want = {(i, n): (prose + wrap(t, n) + "\n" + prose, f) for i, (t, f) in enumerate(texts) for n in (40, 72, 80)}
+    lines = ["SPDX-License-Identifier: MIT OR Apache-2.0", "SPDX-License-Identifier: Apache-2.0 OR MIT", "Licensed under the MIT license or the Apache License, Version 2.0.", "x " * 300 + "Licensed under the MIT license. " + "y " * 300 + "All rights reserved. " + "z " * 300]
+    want |= {(9, i): (x, f) for i, (x, f) in enumerate(zip(lines, ["Apache-2.0,MIT"] * 3 + ["MIT,Proprietary"]))}
+    want |= {(10, 0): ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), (10, 1): ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"), (10, 2): (prose, "")}
+    keys = list(want)
+    got = {keys[r.doc_id]: r.families for r in licences.scan_licences(docs(spark, [(i, want[k][0], "s") for i, k in enumerate(keys)])).collect()}
+    assert got == {k: f for k, (_, f) in want.items()}
+
+
 # ---- 9: quality -------------------------------------------------------------------------------------------------------------------
 
 
