@@ -354,6 +354,20 @@ def test_pages_without_names_use_the_wrapper(spark):
         assert r.text == ("story %d " % r.page_id * 30).strip() + "\n" + ("more %d " % r.page_id * 20).strip()
 
 
+def test_boilerplate_words_around_articles(spark):
+    article = "<h1>Head</h1><p>The whole story of the day.</p>"
+    pages = [
+        f'<body class="has-sidebar"><article>{article}</article><div class=sidebar>Side</div></body>',
+        f'<body><div class="layout with-sidebar"><article>{article}</article><div class=sidebar>Side</div></div></body>',
+        f'<body><article class="post comments-open">{article}</article><section class=comments><article class=comment><p>Nice!</p></article></section></body>',
+        f'<body><main class="with-sidebar">{article}<div class=sidebar>Side</div></main></body>',
+        f'<body><div class="page with-sidebar">{article}<div class=sidebar>Side</div></div></body>',
+    ]
+    rows = [(i * 10 + k, f"http://h{i}-{n}/{k}", x) for i, x in enumerate(pages) for n in (1, 5) for k in range(n)]
+    got = [(r.page_id, r.text) for r in wrappers.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert len(got) == 30 and all(t == "Head\nThe whole story of the day." for _, t in got), got
+
+
 def test_pages_joined_by_salt(spark, sf, monkeypatch):
     d = spark.read.parquet(f"{sf}/pages.parquet")
     key = lambda df: sorted((r.page_id, r.text) for r in df.collect())
