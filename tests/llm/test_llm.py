@@ -354,6 +354,14 @@ def test_pages_without_names_use_the_wrapper(spark):
         assert r.text == ("story %d " % r.page_id * 30).strip() + "\n" + ("more %d " % r.page_id * 20).strip()
 
 
+def test_constant_places_go_by_themselves(spark):
+    """A constant paragraph takes no other of its kind with it, and copies of a page are no evidence."""
+    post = lambda i: f"<body><div>Menu of this site</div><div class=post><p>Our daily column</p><h2>Day {i}</h2><p>{'long text %d ' % i * 20}</p></div></body>"
+    rows = [(i, f"http://a/{i}", post(i)) for i in range(5)] + [(10 + i, f"http://b/{i}", "<body><h1>Title</h1><p>One short paragraph.</p></body>") for i in range(5)]
+    got = {r.page_id: r.text for r in wrappers.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Our daily column\nDay {i}\n" + ("long text %d " % i * 20).strip() for i in range(5)} | {10 + i: "Title\nOne short paragraph." for i in range(5)}
+
+
 def test_boilerplate_words_around_articles(spark):
     article = "<h1>Head</h1><p>The whole story of the day.</p>"
     pages = [
