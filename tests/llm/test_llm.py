@@ -437,6 +437,82 @@ def test_licences_wrapped_and_several_in_a_line(spark):
     assert got == {k: f for k, (_, f) in want.items()}
 
 
+# the beginnings and notices of whole public licence files, as they stand there
+WHOLE = {
+    "MIT": MIT_TEXT + """
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD": """Copyright (c) 2015, The Authors
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+* Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "Apache-2.0": """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   2. Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.""",
+    "GPL-3.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.
+
+  13. Use with the GNU Affero General Public License.
+
+  Notwithstanding any other provision of this License, you have permission to link or combine any covered work with a work licensed under version 3 of the GNU Affero General Public License into a single combined work, and to convey the resulting work.
+
+    This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.""",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0": GPL_TEXT.format(":", 3).replace("GNU General", "GNU Affero General"),
+    "ISC": "Copyright (c) 2011, Some Body\n\n" + ISC_TEXT + """
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.""",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+}
+# none of these is among the sentences that the fit sees
+NEWS = [
+    "Copyright law was reformed last year, with all rights reserved to the states.", "The senator wants a licence for every drone above the city.", "Under the deal the band keeps all rights to its first three albums.",
+    "He released a statement under the heading of public safety.", "The MIT lab asked for permission to use the copy of the map.", "Apache is the name of a people, a helicopter and a web server.",
+    "A judge ruled that the GNU General Public License is a contract.", "Permission is needed to copy, modify or sell the recordings, the union said.", "The software is provided by the city to every school free of charge.",
+    "She wrote a history of the BSD license and of the people behind it.", "The Mozilla Public License was discussed in version after version.", "Creative Commons attribution is often forgotten by newspapers.",
+    "The following conditions must be met before the bridge opens.", "Version 3 of the general plan is licensed to nobody.", "The notice and the list of conditions were pinned to the wall.",
+    "All seats are reserved, and all rights to refunds expire at noon.", "The public domain is where old films go when copyright ends.", "Distribution of the leaflet without prior permission of the mayor was fined.",
+    "The Free Software Foundation celebrated with cake.", "The licensed dealer sold cars under the terms of the new law.",
+]
+
+
+def test_licences_of_whole_files_and_news(spark):
+    wrap = lambda text, n: "\n".join(textwrap.fill(x, n) for x in text.split("\n"))
+    forms = [(f, t) for f, text in WHOLE.items() for t in (text, wrap(text, 72), wrap(text, 40), text.replace("\n", " "), "\n".join("# " + x for x in wrap(text, 72).split("\n")))]
+    texts = forms + [("", x) for x in NEWS] + [("", "\n".join(NEWS)), ("", " ".join(NEWS))]
+    got = {r.doc_id: r.families for r in licences.scan_licences(docs(spark, [(i, t, "s") for i, (_, t) in enumerate(texts)])).collect()}
+    assert [(got[i], f, t[:60]) for i, (f, t) in enumerate(texts) if got[i] != f] == []
+
+
+def test_every_confirmed_text_has_an_anchor():
+    known = licences.anchors(0.7)
+    for _, t in licences.TEMPLATES:
+        pairs = licences.plain_pairs(t)
+        bare = [p for p in pairs if not any(a in w.split() for w in [p] for a in known)]
+        assert len(bare) < 0.7 * len(pairs)
+
+
 # ---- 9: quality -------------------------------------------------------------------------------------------------------------------
 
 
