@@ -173,7 +173,8 @@ def test_near_vectors_awkward_rows(spark, monkeypatch):
 
 def test_near_vectors_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(covertree, "BLOCK", 16)
-    monkeypatch.setattr(covertree, "PER_LABEL", 3)
+    monkeypatch.setattr(covertree, "PIVOTS", 3)
+    monkeypatch.setattr(covertree, "LEAF", 4)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 6))
     x = np.concatenate([centres, centres[:15] + rng.normal(scale=0.2, size=(15, 6)), centres[0] + rng.normal(scale=0.02, size=(40, 6))])
@@ -186,6 +187,39 @@ def test_near_vectors_in_small_blocks(spark, monkeypatch):
     assert got == {i: (int(near[i].sum()), want[i]) for i in range(len(x))}
 
 
+def test_near_vectors_of_extreme_sizes_and_odd_labels(spark):
+    rows = [
+        (1, [1e-200, 1e-200], "x"), (2, [1.0, 1.0], "x"), (3, [1e200, 1e200], "x"), (4, [5e-324, 0.0], "x"), (5, [1e308, 0.0], "x"),
+        (10, [1.0, 2.0], "a"), (11, [2.0], "a,1.0"), (12, [2.0], "a|1"), (13, [4.0], "a|1"),
+        (20, [93.0, 36.0, 7.0, 2.0, 1.0, 1.0], "y"), (21, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], "y"),  # a cosine of 0.93 as exactly as can be
+        (30, [1.0, 1.0], "z"), (31, [3.0, 3.0], ""), (32, [1.0, 0.0], ""),
+    ]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    want = {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 10: (0, 10), 11: (0, 11), 12: (1, 12), 13: (1, 12), 20: (1, 20), 21: (1, 20), 30: (0, 30), 31: (0, 31), 32: (0, 32)}
+    assert got == want
+    with pytest.raises(ValueError):
+        covertree.CoverTree(np.array([[np.nan, 1.0]]))
+    # an id on two different vectors doesn't tie their groups together
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.001], 0), (3, [0.001, 1.0], 0)]
+    got = collections.Counter((r.vec_id, r.n_links, r.component_id) for r in covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == collections.Counter([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)])
+
+
+def test_cells_send_a_vector_only_where_links_may_be(spark, monkeypatch):
+    """Vectors in tight groups: cells are pruned, and the number of blocks that a vector is sent to doesn't grow with the table."""
+    monkeypatch.setattr(covertree, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    sent = []
+    for n in (400, 2000):
+        x = centres[np.arange(n) % 40] + rng.normal(scale=0.05, size=(n, 16))
+        reps = spark.createDataFrame([(i, "a", 16, v.tolist()) for i, v in enumerate(x)], "num long, label string, dim int, v array<double>")
+        dealt = covertree._deal(reps, float(np.sqrt(0.14)))
+        sent.append(dealt.count() / n)
+        assert dealt.select("num").distinct().count() == n
+    assert sent[1] <= 1.5 * sent[0] and sent[1] < 5, sent
+
+
 # ---- 3: archives ------------------------------------------------------------------------------------------------------------
 
 
