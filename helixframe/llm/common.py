@@ -15,13 +15,16 @@ from ..sources.lineage import fresh_path, shared_dir, stash
 
 __all__ = ["fresh_path", "shared_dir", "stash"]  # others take these from here
 
-#: Tables of one or two numbers a row are broadcast up to so many rows, some 30 MB; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Tables are broadcast up to so many rows and written bytes, some 30 MB and at most 100 in memory; larger ones are joined by a
+#: shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32_000_000
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for a broadcast if it has at most `rows` rows. df should be a written table, since it is counted."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """df, marked for a broadcast if it has at most `rows` rows and BROADCAST_BYTES bytes. df should be a written table, since it
+    is counted and its size is that of its files."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= rows else df
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
@@ -120,12 +123,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the column's bytes stay near SLICE_BYTES, and the rows at most `rows`."""
+def slices(batches: Iterable[pa.RecordBatch], column: str | tuple[str, ...], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the column's bytes (or those of several together) stay near SLICE_BYTES, and the rows at most
+    `rows`."""
+    columns = (column,) if isinstance(column, str) else column
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+        sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0), dtype=np.int64) for c in columns)
         piece = np.cumsum(sizes) // SLICE_BYTES
         cuts = sorted({*range(0, batch.num_rows, rows), *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows})
         for a, b in zip(cuts, cuts[1:]):

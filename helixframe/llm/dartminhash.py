@@ -10,15 +10,15 @@ Signatures are cut into bands; documents that share a band are candidates, whose
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded, components, mix64, slices, stash, text_bytes, token_hashes, windows
+from .common import bounded, components, mix64, slices, stash, token_hashes, windows
 
 #: Rank regions: [0, 1/64), then each four times as far: [1/64, 1/16), [1/16, 1/4), ...
 _FIRST = 1 / 64
@@ -103,13 +103,20 @@ def text_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.
     return weighted(*windows(*token_hashes(column), words))
 
 
+def _counted(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows' windows as row, a key of row and 64-bit window hash, and weight, in the order of the keys."""
+    h, at = windows(*token_hashes(column), words)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    with np.errstate(over="ignore"):
+        key, first, weight = np.unique(mix64(h ^ mix64(row.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
+    return row[first], key, weight
+
+
 def pair_similarity(a: pa.Array, b: pa.Array, words: int) -> np.ndarray:
     """Weighted Jaccard similarity of the texts in the same rows of a and b; 0 where either has no words."""
     n = len(a)
-    ra, ea, wa = text_sets(a, words)
-    rb, eb, wb = text_sets(b, words)
-    key_a = ra.astype(np.uint64) << np.uint64(_HASH_BITS) | ea
-    key_b = rb.astype(np.uint64) << np.uint64(_HASH_BITS) | eb
+    ra, key_a, wa = _counted(a, words)
+    rb, key_b, wb = _counted(b, words)
     _, ia, ib = np.intersect1d(key_a, key_b, assume_unique=True, return_indices=True)
     both = np.bincount(ra[ia], np.minimum(wa[ia], wb[ib]), n)
     either = np.bincount(ra, wa, n) + np.bincount(rb, wb, n) - both
@@ -126,56 +133,55 @@ def band_hashes(sig: np.ndarray, rows: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def _key(text_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def sketches(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     """id, key (a 128-bit hash of the whole text), n (its words) and bands (hashes) of each row. A null text counts as empty."""
-    thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    thin = docs.select(F.col(id_col).cast("long").alias("id"), _key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for b in slices(batches, "text", 300):
-            text = b.column("text")
-            data, offsets = text_bytes(text)
-            view = memoryview(np.ascontiguousarray(data))
-            keys = [xxhash.xxh3_128_hexdigest(view[s:e]) for s, e in zip(offsets.tolist(), offsets[1:].tolist())]
-            h, at = token_hashes(text)
+            h, at = token_hashes(b.column("text"))
             sig = dart_signatures(*weighted(*windows(h, at, words)), b.num_rows, bands * rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * bands), pa.array(band_hashes(sig, rows).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys), pa.array(np.diff(at)), lists], names=["id", "key", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(np.diff(at)), lists], names=["id", "key", "n", "bands"])
 
     return thin.mapInArrow(run, "id long, key string, n long, bands array<long>")
 
 
-def window_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id and set of each row: hashes, one for each occurrence of each window, so that the weighted similarity of
-    two texts is the plain Jaccard similarity of their sets."""
-    thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def window_sets(texts: DataFrame, words: int) -> DataFrame:
+    """rep and set of each row of texts (rep, text): hashes, one for each occurrence of each window, so that the weighted
+    similarity of two texts is the plain Jaccard similarity of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 300):
-            row, element, weight = text_sets(b.column("text"), words)
-            nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+            h, at = windows(*token_hashes(b.column("text")), words)
+            row = np.repeat(np.arange(b.num_rows), np.diff(at))
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
+            size = np.diff(np.concatenate([first, [len(h)]]))
+            nth = np.arange(len(h)) - np.repeat(first, size)
             with np.errstate(over="ignore"):
-                each = mix64(np.repeat(element, weight) + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            at = np.concatenate([[0], np.cumsum(np.bincount(row, weight, b.num_rows))]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_packed(each[s:e]) for s, e in zip(at, at[1:])], pa.binary())], names=["id", "set"])
+                each = mix64(h + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([_packed(each[s:e]) for s, e in zip(at, at[1:])], pa.binary())], names=["rep", "set"])
 
-    return thin.mapInArrow(run, "id long, set binary")
+    return texts.mapInArrow(run, "rep long, set binary")
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """40 bits of each number: enough to tell the windows of one block of members apart."""
-    return x.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return x.tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
+    return np.frombuffer(data, np.uint64)
 
 
-def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, part: np.ndarray, threshold: float) -> np.ndarray:
-    """For each member the least place that links between left and right, of members of different parts, join it with."""
+def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, part: np.ndarray, threshold: float, buckets: list | None = None) -> np.ndarray:
+    """For each member the least place that links between left and right, of members of different parts, join it with. buckets:
+    those of each member; members without a common one don't link."""
     root = np.arange(len(sets))
     size = np.array([len(x) for x in sets])
     every, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
@@ -193,6 +199,11 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, par
         both += m[left] @ m[right].T
     either = size[left][:, None] + size[right][None, :] - both
     linked = (both >= threshold * either) & (part[left][:, None] != part[right][None, :])
+    if buckets is not None:
+        _, code = np.unique(np.concatenate(buckets), return_inverse=True)
+        held = np.zeros((len(sets), int(code.max()) + 1), np.float32)
+        held[np.repeat(np.arange(len(sets)), [len(x) for x in buckets]), code] = 1
+        linked &= held[left] @ held[right].T > 0
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -208,8 +219,9 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, par
 
 #: Members of a bucket are compared in blocks of about so many, so that no task holds a whole bucket.
 BLOCK = 512
-#: Buckets that share members are compared as one group up to so many members, and each for itself beyond.
-CLUSTER = 4 * BLOCK
+#: Buckets that share members are sent as one group up to so many members, in smaller blocks, and each for itself beyond. Which
+#: members are compared is the same: those that share a bucket.
+CLUSTER, CLUSTER_BLOCK = 2048, 128
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 25, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,25 +229,32 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     near-duplicate group, itself included) and kept (the id is its group's smallest).
 
     A group is what links join; a link is a weighted Jaccard similarity of at least threshold between the five-word windows
-    of two texts, computed exactly for all candidates: documents that agree in one of the bands. Words are runs of letters,
+    of two texts that agree in one of the bands, computed from 64-bit hashes of all their windows. Words are runs of letters,
     digits and underscores, in lower case. A text of fewer than `words` words is one window; a text without words, null and
     empty included, is grouped with equal texts only (null counts as empty). Ids should be unique; rows with equal ids and
-    texts are alike. Rows without an id get null columns and are kept. Other columns are ignored; an empty table gives an
-    empty result.
-
-    Equal texts are collapsed first. Then each bucket compares its members with its smallest id only, so that a bucket of n
-    near copies costs n comparisons; buckets whose members are still apart do so once more with a member chosen by a hash.
-    In buckets that hold more than one component even then, all members are compared exactly, block by block, and only a forest
-    of the links found leaves a task. There is no cap on a bucket, and no candidate is dropped."""
+    texts are alike, and an id on different texts stands for each of them. Rows without an id get null columns and are kept.
+    Other columns are ignored; an empty table gives an empty result.
+
+    Equal texts are collapsed first, into numbered classes. Then each bucket compares its members with its first only, so that a
+    bucket of n near copies costs n comparisons; buckets whose members are still apart do so once more with a member chosen by
+    a hash. In buckets that hold more than one component even then, all members are compared, block by block, and only a
+    forest of the links found leaves a task. So all members of all buckets have been compared that links don't already join:
+    there is no cap on a bucket, no candidate is dropped, and what a link is doesn't depend on how many share a bucket."""
     all_rows = stash(sketches(docs, words, bands, rows, id_col, text_col), "sketches")
     some = all_rows.where("id is not null")
-    classes = stash(some.groupBy("key").agg(F.min("id").alias("rep")), "classes")
-    reps = some.where("n > 0").join(classes, "key").where("id = rep").dropDuplicates(["key"])
+    classes = stash(some.groupBy("key").agg(F.min("id").alias("low")).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = some.where("n > 0").join(classes, "key").where("id = low").dropDuplicates(["key"])
+
+    def texts_of(reps: DataFrame) -> DataFrame:
+        """rep and text of some classes: that of the row with the class's smallest id, once."""
+        wanted = classes.join(bounded(stash(reps.distinct(), "wanted")), "rep").select("rep", F.col("low").alias("__low"), F.col("key").alias("__key"))
+        found = docs.join(bounded(stash(wanted, "wanted")), (F.col(id_col).cast("long") == F.col("__low")) & (_key(text_col) == F.col("__key")))
+        return found.select("rep", F.col(text_col).cast("string").alias("text")).dropDuplicates(["rep"])
     banded = stash(reps.select("rep", "bands"), "reps").select("rep", F.explode("bands").alias("h"))
     chosen = banded.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("centre")).where("size > 1")
     inside = stash(banded.join(stash(chosen, "buckets"), "h"), "members")
     pair = [F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")]
-    tested = stash(_verified(inside.where("rep <> centre").select(*pair).distinct(), docs, words, id_col, text_col), "pairs")
+    tested = stash(_verified(inside.where("rep <> centre").select(*pair).distinct(), texts_of, words), "pairs")
     linked = F.col("similarity") >= threshold
     found = components(tested.where(linked).select("a", "b"))
 
@@ -243,42 +262,46 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     others = apart.where("rep <> centre")
     chosen = others.groupBy("h").agg(F.min_by("rep", F.xxhash64("rep", "h")).alias("second"), F.min_by("component", F.xxhash64("rep", "h")).alias("home"))
     again = apart.join(stash(chosen, "buckets"), "h").where("component <> home").select(F.least("rep", "second").alias("a"), F.greatest("rep", "second").alias("b")).distinct()
-    again = stash(_verified(again.join(tested.select("a", "b"), ["a", "b"], "left_anti"), docs, words, id_col, text_col), "pairs")
+    again = stash(_verified(again.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts_of, words), "pairs")
     tested = tested.unionByName(again)
     found = components(tested.where(linked).select("a", "b"))
 
     # All pairs of a bucket of three have been compared by now. Larger buckets that share members mostly hold the same few
-    # documents: as long as such a cluster is small it is compared as one group, so that a document's windows are sent once and
-    # not for every band; the buckets of larger clusters are compared each for itself.
+    # documents: as long as such a cluster is small it is sent as one group, so that a document's windows are sent once and
+    # not for every band; the buckets of larger clusters are sent each for itself.
     apart = _apart(apart.where("size > 3").select("h", "rep", "size", "centre"), found)
     lowest = apart.groupBy("h").agg(F.min("rep").alias("b"))
     clusters = components(apart.select("h", F.col("rep").alias("a")).join(lowest, "h"))
     clusters = clusters.join(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component")
     placed = apart.join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "n"), "rep")
     small = F.col("n") <= CLUSTER
-    grouped = placed.select(small.alias("whole"), F.when(small, F.col("cluster")).otherwise(F.col("h")).alias("g"), F.when(small, F.col("n")).otherwise(F.col("size")).alias("size"), "rep", "component").distinct()
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    grouped = placed.groupBy(small.alias("whole"), F.when(small, F.col("cluster")).otherwise(F.col("h")).alias("g"), F.when(small, F.col("n")).otherwise(F.col("size")).alias("size"), "rep", "component").agg(F.collect_set("h").alias("hs"))
+    blocks = F.ceil(F.col("size") / F.when(F.col("whole"), F.lit(min(CLUSTER_BLOCK, BLOCK))).otherwise(F.lit(BLOCK))).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit("block")), blocks).cast("int")
     dealt = grouped.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("whole", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
-    few = docs.join(bounded(apart.select(F.col("rep").alias("__rep")).distinct()), F.col(id_col).cast("long") == F.col("__rep"), "left_semi")
-    sets = window_sets(few, words, id_col, text_col).withColumnRenamed("id", "rep")
+    dealt = dealt.select("whole", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "hs")
+    sets = window_sets(texts_of(apart.select("rep")), words)
 
     def link(table: pa.Table) -> pa.Table:
         rep, comp, own, i, j = (table.column(c).to_numpy() for c in ("rep", "component", "own", "i", "j"))
-        members = [_unpacked(x) for x in table.column("set").to_pylist()]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        root = block_links(members, left, right, comp, threshold) if len(set(comp.tolist())) > 1 else np.arange(len(rep))
+        root = np.arange(len(rep))
+        if len(set(comp.tolist())) > 1:
+            members = [_unpacked(x) for x in table.column("set").to_pylist()]
+            buckets = [np.array(x, np.int64) for x in table.column("hs").to_pylist()]
+            root = block_links(members, left, right, comp, threshold, buckets)
         moved = np.flatnonzero(root != np.arange(len(rep)))
         return pa.table({"a": rep[moved].astype(np.int64), "b": rep[root[moved]].astype(np.int64)})
 
     late = dealt.join(sets.hint("merge"), "rep").groupBy("whole", "g", "i", "j").applyInArrow(link, "a long, b long")
     found = components(tested.where(linked).select("a", "b").unionByName(late))
 
-    labels = stash(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component_id")), "labels")
+    found = stash(found.withColumnRenamed("node", "rep"), "components")
+    lowest = found.join(classes.select("rep", "low"), "rep").groupBy("component").agg(F.min("low").alias("lowest"))
+    labels = stash(classes.join(found.join(lowest, "component"), "rep", "left").select("key", "low", F.coalesce("lowest", "low").alias("component_id")), "labels")
     with_id = F.col("id").isNotNull()
     out = all_rows.select("id", "key").join(labels, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.when(with_id, F.col("rep")).alias("class_id"), F.when(with_id, F.col("component_id")).alias("component_id"), (~with_id | (F.col("id") == F.col("component_id"))).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.when(with_id, F.col("low")).alias("class_id"), F.when(with_id, F.col("component_id")).alias("component_id"), (~with_id | (F.col("id") == F.col("component_id"))).alias("kept"))
 
 
 def _apart(inside: DataFrame, found: DataFrame) -> DataFrame:
@@ -288,18 +311,16 @@ def _apart(inside: DataFrame, found: DataFrame) -> DataFrame:
     return stash(held.join(stash(open_, "open"), "h", "left_semi"), "apart")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+def _verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int) -> DataFrame:
     """pairs (a, b) with the similarity of their texts."""
     pairs = stash(pairs, "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(ids) if 2 * pairs.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")))
     # sorted joins at every size: adaptive execution splits what a member of many pairs would pile up
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")
+    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+    both = both.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "ta", 300):
+        for b in slices(batches, ("ta", "tb"), 300):
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(pair_similarity(b.column("ta"), b.column("tb"), words))], names=["a", "b", "similarity"])
 
     return both.mapInArrow(run, "a long, b long, similarity double")
