@@ -252,12 +252,20 @@ def _grams(docs: DataFrame, confirm: float, id_col: str, text_col: str) -> DataF
     across line ends; a line end may also end a sentence, so the last word of a line has the pair with STOP too. An empty line
     is a STOP. In SPDX expressions each alternative is read with the tag before it."""
     text = F.col(text_col).cast("string")
+    known = anchors(confirm)
+    short = "|".join(a for a in known if len(a) <= 3)
+
+    def anchored(low: Column) -> Column:
+        some = F.lit(False)
+        for a in known:
+            some = some | low.contains(a) if len(a) > 3 else some
+        hit = F.lit(False)
+        for a in known:
+            hit = hit | low.contains(a) if len(a) <= 3 else hit
+        return some | (hit & low.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{short})(?![\p{{L}}\p{{N}}])")) if short else some
+
+    some = F.exists(F.array(F.lower(text)), anchored)  # an array of one, so that the text is lowered once and not for each anchor
     low = F.lower(text)
-    some = F.lit(False)
-    for a in (known := anchors(confirm)):
-        some = some | low.contains(a) if len(a) > 3 else some
-    if short := "|".join(a for a in known if len(a) <= 3):
-        some = some | low.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{short})(?![\p{{L}}\p{{N}}])")
     spdx = F.regexp_replace(text, r"(?i)[ \t]+(?:or|and)[ \t]+\(?(?<=spdx-license-identifier:[ \tA-Za-z0-9.+()-]{1,200})", " SPDX-License-Identifier: ")
     rows = docs.where(text.isNotNull() & some).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.when(low.contains("spdx-license-identifier"), spdx).otherwise(text).alias("text"))
     rows = rows.select("row", "id", F.transform(F.split("text", "\n"), lambda t: F.when(F.trim(t) == "", F.array(F.lit(STOP))).otherwise(words_of(t))).alias("lines"))
