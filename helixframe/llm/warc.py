@@ -30,6 +30,19 @@ ARCHIVE_BYTES = 1_000_000_000
 _DATE = "2024-01-01T00:00:00Z"
 
 
+def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary from records. Training wants more than a few small records hold: these are shown to it several times, and what
+    is too little even then is the dictionary's content as it stands. Every archive has one."""
+    shown = [x[:SAMPLE_RECORD] for x in records]
+    for size, times in ((DICTIONARY_BYTES, 1), (DICTIONARY_BYTES, 8), (DICTIONARY_BYTES // 4, 64)):
+        try:
+            return zstandard.train_dictionary(size, shown * times, k=256, d=8)
+        except zstandard.ZstdError:
+            if sum(map(len, shown)) * times >= SAMPLE_BYTES:
+                break
+    return zstandard.ZstdCompressionDict(b"".join(shown)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
 def _urn(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
@@ -38,18 +51,24 @@ def _b32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. refers_to: the page whose response holds the same payload, None for a response."""
+def _uri(url: str) -> str:
+    return "".join(c for c in url if c not in "\r\n")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """One WARC/1.1 record. refers_to: the page whose response holds the same payload, None for a response; refers_url: its url."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {_DATE}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + "".join(c for c in url if c not in "\r\n"))
+        head.append(f"WARC-Target-URI: {_uri(url)}")
     head += [f"WARC-Payload-Digest: sha1:{_b32(digest)}", f"X-Payload-Length: {len(payload)}"]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        if refers_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_uri(refers_url)}")
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -94,13 +113,10 @@ class ArchiveWriter:
     def _begin(self) -> None:
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.out = self.fs.open_output_stream(self.part, compression=None)
-        try:
-            made = zstandard.train_dictionary(DICTIONARY_BYTES, [x[:SAMPLE_RECORD] for x in self.held], k=256, d=8)
-            stored = zstandard.ZstdCompressor(level=19).compress(made.as_bytes())
-            self._put(struct.pack("<II", SKIPPABLE, len(stored)) + stored)
-            self.zstd = zstandard.ZstdCompressor(level=self.level, dict_data=made, write_checksum=True)
-        except zstandard.ZstdError:  # too few records for a dictionary: the format allows an archive without one
-            self.zstd = zstandard.ZstdCompressor(level=self.level, write_checksum=True)
+        made = dictionary(self.held)
+        stored = zstandard.ZstdCompressor(level=19).compress(made.as_bytes())
+        self._put(struct.pack("<II", SKIPPABLE, len(stored)) + stored)
+        self.zstd = zstandard.ZstdCompressor(level=self.level, dict_data=made, write_checksum=True)
         for x in self.held:
             self._put(self.zstd.compress(x))
         self.held = []
@@ -143,26 +159,28 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 1000, id_co
     The payload is the html in UTF-8, empty for null. Of rows with equal payloads of at least min_revisit bytes, that with the
     largest id is the response and the others revisit it; repeated rows with that id are all responses; a null id counts as
     the smallest. Payloads are never moved between executors unless there are more repeated payloads than a checked bound.
-    Each partition streams its records; a retried task replaces its own archives whole. An empty table writes nothing."""
+    Each partition streams its records; a retried task replaces its own archives whole. Every archive has its dictionary,
+    however few records it holds. An empty table writes nothing."""
     text = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(text, "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     long = F.octet_length("payload") >= min_revisit
-    again = rows.where(long).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null")
-    again = stash(again.select(F.col("digest").alias("_digest"), "keeper"), "payloads")
+    kept = F.max(F.struct("page_id", "url")).alias("kept")
+    again = rows.where(long).groupBy("digest").agg(kept, F.count(F.lit(1)).alias("n")).where("n > 1 and kept.page_id is not null")
+    again = stash(again.select(F.col("digest").alias("_digest"), F.col("kept.page_id").alias("keeper"), F.col("kept.url").alias("keeper_url")), "payloads")
     rows = rows.join(bounded(again, REPEATED), (F.col("digest") == F.col("_digest")) & long, "left")
     refers = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
-    rows = rows.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    rows = rows.select("page_id", "url", "payload", "digest", refers.alias("refers_to"), "keeper_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, n, writer, done = TaskContext.get().partitionId(), 0, None, []
         for b in batches:
-            for page_id, url, payload, digest, to in zip(*[b.column(i).to_pylist() for i in range(5)]):
+            for page_id, url, payload, digest, to, to_url in zip(*[b.column(i).to_pylist() for i in range(6)]):
                 if writer is None:
                     writer, n = ArchiveWriter(f"{folder}/part-{part:06d}-{n:04d}.warc.zst"), n + 1
-                writer.add(record(page_id, url, payload, digest, to))
+                writer.add(record(page_id, url, payload, digest, to, to_url))
                 if writer.written >= ARCHIVE_BYTES:
                     done.append(writer.close())
                     writer = None
