@@ -6,7 +6,6 @@ survives is counted: one token for a symbol of the vocabulary, one per UTF-8 byt
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -17,8 +16,11 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: A pre-token with more symbols is merged with a heap, whose work grows as n log n; arrays would need n steps of n.
+#: Pre-tokens of up to so many symbols are merged together, one pair of each in a step; a longer one is merged by itself, all places
+#: of a pair in a step.
 LONG = 512
+#: Texts on which a model with another normaliser, without byte fallback or without the dummy prefix gives other counts.
+_PROBES = ["a", " a", "a  b", "ﬁ Å é é Ａ", "\u200b\x00\x07", "😀中文", "a\tb\r\nc", "½ ™ ﷺ", "ＡＢＣ １２３", "The quick brown fox"]
 #: The counts of so many pre-tokens are remembered by a worker; then it forgets them. This only saves time.
 REMEMBERED = 600_000
 _SPACE = "▁"
@@ -56,7 +58,14 @@ class BpeCounter:
         self.free_newline = "\n" not in joined  # then no merge crosses a line end
         self.counts: dict[str, int] = {}
         self.newline = self._lone("\n")
+        self._check(sp)
+
+    def _check(self, sp) -> None:
+        """Refuse a model whose encoder works otherwise."""
         self.cut = re.compile(rf"\n|{_SPACE}+[^{_SPACE}\n]*|[^{_SPACE}\n]+" if self.free_newline else rf"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
+        wrong = [t for t, n in zip(_PROBES, self.count_all(_PROBES)) if n != len(sp.encode(t))]
+        if wrong:
+            raise ValueError(f"this model doesn't encode as the counter does: {wrong!r}")
 
     def _lone(self, c: str) -> int:
         return 1 if self.symbol.get(c, self.in_vocab) < self.in_vocab else len(c.encode())
@@ -108,34 +117,52 @@ class BpeCounter:
         return out
 
     def merge_long(self, word: str) -> int:
-        """Token count of one pre-token, with a heap of pairs."""
+        """Token count of one long pre-token: all places of its lowest-rank pair merge at once, as long as no pair that this
+        makes ranks as low; otherwise only the first of them does. The ranks stand in an array, in which a step changes those
+        beside its merges only."""
         n = len(word)
-        sym = [self.symbol.get(c, -1) for c in word]
-        extra = [0 if 0 <= s < self.in_vocab else len(c.encode()) for s, c in zip(sym, word)]
-        nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = nxt[i]
-            if j < n and sym[i] >= 0 and sym[j] >= 0 and (hit := self.table.get(sym[i] << 20 | sym[j])):
-                heapq.heappush(heap, (hit[0], i, sym[i], sym[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        live = [True] * n
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = nxt[i]
-            if not live[i] or j >= n or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], extra[i], live[j] = self.table[a << 20 | b][1], 0, False
-            nxt[i] = nxt[j]
-            if nxt[i] < n:
-                prev[nxt[i]] = i
-            offer(i)
-            if prev[i] >= 0:
-                offer(prev[i])
-        return sum(max(1, extra[i]) for i in range(n) if live[i])
+        get = self.symbol.get
+        sym = np.array([get(c, -1) for c in word], np.int64)
+        alone = np.array([0 if 0 <= get(c, -1) < self.in_vocab else len(c.encode()) for c in word], np.int64)
+        made, rank = np.zeros(n, np.int64), np.full(n, _FAR)
+        rank[:-1], made[:-1] = self._pairs(sym[:-1], sym[1:])
+        nxt, prev = np.arange(1, n + 1), np.arange(-1, n - 1)
+        live, dead = np.ones(n, bool), 0
+        while True:
+            low = rank.min()
+            if low == _FAR:
+                return int(np.where(alone[live] > 0, alone[live], 1).sum())
+            at = np.flatnonzero(rank == low)
+            # of places that overlap each second one merges, from the left
+            chain = np.concatenate([[False], nxt[at[:-1]] == at[1:]])
+            start = np.flatnonzero(~chain)
+            at = at[(np.arange(len(at)) - np.repeat(start, np.diff(np.concatenate([start, [len(at)]])))) % 2 == 0]
+            if len(at) > 1:
+                right = nxt[nxt[at]]  # what follows each, before its own merge
+                left = prev[at]
+                merged_left = np.concatenate([[False], nxt[nxt[at[:-1]]] == at[1:]])
+                before = np.where(left >= 0, sym[left], -1)
+                before[merged_left] = made[at[:-1]][merged_left[1:]]
+                after = np.where(right < n, sym[np.minimum(right, n - 1)], -1)
+                if min(self._pairs(before, made[at])[0].min(), self._pairs(made[at], after)[0].min()) <= low:
+                    at = at[:1]
+            gone = nxt[at]
+            sym[at], alone[at] = made[at], 0
+            live[gone], rank[gone] = False, _FAR
+            nxt[at] = nxt[gone]
+            inner = nxt[at] < n
+            prev[nxt[at[inner]]] = at[inner]
+            touched = np.concatenate([at, prev[at][prev[at] >= 0]])
+            ahead = nxt[touched]
+            ends = ahead >= n
+            rank[touched], made[touched] = self._pairs(sym[touched], np.where(ends, -1, sym[np.minimum(ahead, n - 1)]))
+            dead += len(at)
+            if 2 * dead > n:  # close the gaps
+                kept = np.flatnonzero(live)
+                sym, alone, made, rank = sym[kept], alone[kept], made[kept], rank[kept]
+                n, dead = len(kept), 0
+                live = np.ones(n, bool)
+                nxt, prev = np.arange(1, n + 1), np.arange(-1, n - 1)
 
     def count_all(self, texts: Iterable[str]) -> list[int]:
         cut = [self.pre_tokens(t or "") for t in texts]
