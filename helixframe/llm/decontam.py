@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items that share a seed, a run of min_match words, are joined by the seed's rolling hash. For each
+Documents and benchmark items that share a seed, a run of min_match words, are joined by the seed's hash. For each
 such pair the longest common runs of unmarked words are marked as tiles again and again, down to min_match words, so that a
 passage is found whatever the order of its parts. A document is contaminated if tiles cover enough of an item."""
 
@@ -20,29 +20,99 @@ BLOCK_BYTES = 16_000_000
 _FLAG_BITS = 22
 
 
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INV = pow(_BASE, -1, 2**64)
+
+
+class Rolling:
+    """Karp-Rabin hashes of all windows of an array of word hashes, for any length, from sums of powers."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        with np.errstate(over="ignore"):
+            up = np.full(len(words), _BASE, np.uint64)
+            up[:1] = 1
+            self.down = np.full(len(words) + 1, _BASE_INV, np.uint64)
+            self.down[0] = 1
+            self.down = np.multiply.accumulate(self.down)
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.multiply.accumulate(up), dtype=np.uint64)])
+
+    def windows(self, starts: np.ndarray, n: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.sums[starts + n] - self.sums[starts]) * self.down[starts]
+
+
+def _free(marked: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Those starts whose n words are there and bear no mark."""
+    used = np.concatenate([[0], np.cumsum(marked)])
+    starts = starts[starts + n <= len(marked)]
+    return starts[used[starts + n] == used[starts]]
+
+
+def _longest_run(places: np.ndarray) -> int:
+    """How many neighbours follow each other at most in a sorted array of places."""
+    if not len(places):
+        return 0
+    cuts = np.flatnonzero(np.diff(places) != 1)
+    return int(np.diff(np.concatenate([[-1], cuts, [len(places) - 1]])).max())
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, at_doc: np.ndarray, at_item: np.ndarray, m: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two word-hash arrays, given where their m-word windows have equal rolling hashes. Gives
-    (start in doc, start in item, words), the longest first; on a tie the first in doc, then in item."""
+    """Greedy string tiling of two word-hash arrays, given in order the places where the doc's m-word windows occur in the item
+    and where the item's occur in the doc. Gives (start in doc, start in item, words), the longest first; on a tie the first in
+    doc, then in item.
+
+    The longest common run of unmarked words is found by halving over its length, comparing the sets of Karp-Rabin hashes of
+    that length; then it is tiled wherever it stands. Pairs of places are never listed, so memory follows the two texts, however
+    repetitive they are."""
     found: list[tuple[int, int, int]] = []
-    marked_doc, marked_item = np.zeros(len(doc) + 1, bool), np.zeros(len(item) + 1, bool)
-    same = (doc[at_doc[:, None] + np.arange(m)] == item[at_item[:, None] + np.arange(m)]).all(1)  # a hash is only a hint
-    at_doc, at_item = at_doc[same], at_item[same]
-    order = np.lexsort((at_doc, at_doc - at_item))
-    at_doc, at_item = at_doc[order], at_item[order]
-    while len(at_doc):
-        new = np.concatenate([[True], (np.diff(at_doc - at_item) != 0) | (np.diff(at_doc) != 1)])
-        start = np.flatnonzero(new)
-        length = np.diff(np.concatenate([start, [len(at_doc)]])) + m - 1
-        longest = int(length.max())
-        runs = sorted((int(at_doc[s]), int(at_item[s])) for s in start[length == longest])
-        for d, i in runs:
-            if not (marked_doc[d : d + longest].any() or marked_item[i : i + longest].any()):
-                marked_doc[d : d + longest] = marked_item[i : i + longest] = True
-                found.append((d, i, longest))
-        used_doc, used_item = np.concatenate([[0], np.cumsum(marked_doc)]), np.concatenate([[0], np.cumsum(marked_item)])
-        free = (used_doc[at_doc + m] == used_doc[at_doc]) & (used_item[at_item + m] == used_item[at_item])
-        at_doc, at_item = at_doc[free], at_item[free]
-    return found
+    marked_doc, marked_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
+    a, b = Rolling(doc), Rolling(item)
+    most = len(item)
+    while True:
+        at_doc, at_item = _free(marked_doc, at_doc, m), _free(marked_item, at_item, m)
+        most = min(most, _longest_run(at_doc) + m - 1, _longest_run(at_item) + m - 1)
+        if not len(at_doc) or not len(at_item) or most < m:
+            return found
+
+        def common(n: int) -> np.ndarray:
+            """Starts in doc of runs of n words that are also in the item, all unmarked."""
+            s, t = _free(marked_doc, at_doc, n), _free(marked_item, at_item, n)
+            return s[np.isin(a.windows(s, n), b.windows(t, n))]
+
+        low, high = m - 1, most  # a common run of low words exists (or none of m), none longer than high
+        at = common(high)
+        if len(at):
+            low = high
+        while low < high - 1:
+            middle = (low + high) // 2
+            if len(now := common(middle)):
+                low, at = middle, now
+            else:
+                high = middle
+        n = low
+        if n < m:
+            return found
+        t = _free(marked_item, at_item, n)
+        h = b.windows(t, n)
+        order = np.argsort(h, kind="stable")
+        t, h = t[order], h[order]
+        first = dict(zip(*(x.tolist() for x in np.unique(h, return_index=True))))  # where each hash's places begin
+        for d, x in zip(at.tolist(), a.windows(at, n).tolist()):
+            if marked_doc[d : d + n].any():
+                continue
+            k = first.get(x, len(h))
+            while k < len(h) and h[k] == x:
+                i = int(t[k])
+                k += 1
+                if not marked_item[i : i + n].any():
+                    if np.array_equal(doc[d : d + n], item[i : i + n]):  # a hash is only a hint
+                        marked_doc[d : d + n] = marked_item[i : i + n] = True
+                        found.append((d, i, n))
+                        break
+                elif h[k - 1] == x:
+                    first[x] = k  # marked for good: the next one begins behind it
+        most = n - 1
 
 
 class Block:
@@ -53,12 +123,10 @@ class Block:
         self.words, self.at = token_hashes(pa.array(texts, pa.string()))
         self.ids = np.array(ids, np.int64)
         h, at = windows(self.words, self.at, m)
-        long = np.diff(self.at) >= m
         item = np.repeat(np.arange(len(ids)), np.diff(at))
         pos = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
-        keep = long[item]
-        order = np.argsort(h[keep], kind="stable")
-        h, self.item, self.pos = h[keep][order], item[keep][order], pos[keep][order]
+        order = np.argsort(h, kind="stable")
+        h, self.item, self.pos = h[order], item[order], pos[order]
         self.seeds, self.first = np.unique(h, return_index=True)
         self.last = np.concatenate([self.first[1:], [len(h)]])
         self.flags = np.zeros(1 << _FLAG_BITS, bool)
@@ -74,26 +142,33 @@ class Block:
         good = self.seeds[seed] == h[hit]
         hit, seed = hit[good], seed[good]
         rows = np.searchsorted(w_at, hit, side="right") - 1
-        good = np.diff(at)[rows] >= self.m
-        hit, seed, rows = hit[good], seed[good], rows[good]
         size = np.diff(self.at)
+        words_in = np.diff(at)
         cuts = np.flatnonzero(np.diff(rows)) + 1
         for of in np.split(np.arange(len(rows)), cuts) if len(rows) else []:
             row = int(rows[of[0]])
-            n = self.last[seed[of]] - self.first[seed[of]]
-            which = np.repeat(self.first[seed[of]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            d, item, pos = np.repeat(hit[of] - w_at[row], n), self.item[which], self.pos[which]
+            text = words[at[row] : at[row + 1]]
+            mine, place = seed[of], hit[of] - w_at[row]
+            # the entries of this text's different seeds: as many as the block has at most
+            own = np.unique(mine)
+            n = self.last[own] - self.first[own]
+            which = np.repeat(self.first[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            of_seed, item, pos = np.repeat(own, n), self.item[which], self.pos[which]
+            order = np.lexsort((pos, item))
+            of_seed, item, pos = of_seed[order], item[order], pos[order]
             # seeds that can't cover enough of an item even together need no tiling
-            both = np.unique(item * (1 << 32) + pos)
-            u_item, u_pos = both >> 32, both & 0xFFFFFFFF
-            step = np.full(len(both), self.m)
-            near = np.flatnonzero(u_item[1:] == u_item[:-1])
-            step[near] = np.minimum(self.m, u_pos[near + 1] - u_pos[near])
-            most = np.bincount(u_item, step, len(size))
+            step = np.full(len(pos), self.m)
+            near = np.flatnonzero(item[1:] == item[:-1])
+            step[near] = np.minimum(self.m, pos[near + 1] - pos[near])
+            most = np.bincount(item, step, len(size))
             for x in np.flatnonzero((most > 0) & (most >= coverage * size)).tolist():
-                mine = item == x
-                text, other = words[at[row] : at[row + 1]], self.words[self.at[x] : self.at[x + 1]]
-                found = tiles(text, other, d[mine], pos[mine], self.m)
+                other = self.words[self.at[x] : self.at[x + 1]]
+                if len(other) < self.m or words_in[row] < self.m:  # too short to tile: the whole of one is the whole of the other
+                    if len(other) == len(text) and (other == text).all():
+                        yield row, int(self.ids[x]), 1.0, [(0, 0, len(text))]
+                    continue
+                s, e = np.searchsorted(item, [x, x + 1])
+                found = tiles(text, other, place[np.isin(mine, of_seed[s:e])], pos[s:e], self.m)
                 share = sum(t[2] for t in found) / len(other)
                 if share >= coverage:
                     yield row, int(self.ids[x]), share, found
@@ -103,11 +178,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = 4
     """A row per document and item of which tiles cover at least `coverage`: id_col, item_id, coverage, tiles (doc_start,
     item_start, words; counted in words).
 
-    Words are runs of letters, digits and underscores in lower case. Null and empty texts match nothing; an item of fewer
-    than min_match words, or without an id, can't be tiled and matches nothing. Repeated rows are judged each for itself.
-    The whole text is searched, however long. Other columns are ignored; an empty table on either side gives no rows.
+    Words are runs of letters, digits and underscores in lower case. Null and empty texts match nothing, nor does an item
+    without an id. An item of fewer than min_match words can't be tiled: it matches a text of exactly its words. Repeated rows
+    are judged each for itself. The whole text is searched, however long and repetitive, in memory that follows its length.
+    Other columns are ignored; an empty table on either side gives no rows.
 
-    Documents are read once per block of the benchmark and never move between executors."""
+    Documents never move between executors, but they are read once for each BLOCK_BYTES of benchmark text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
