@@ -7,6 +7,8 @@ import html
 import random
 import re
 import textwrap
+import tracemalloc
+import unicodedata
 import zlib
 
 import duckdb
@@ -117,6 +119,31 @@ def test_tiles_equal_the_published_algorithm():
         assert sorted(got[0][3] if got else []) == sorted(want)
 
 
+def test_tiles_of_repetitive_texts():
+    rng = random.Random(8)
+    for n, k, letters in [(30, 12, "ab"), (40, 25, "a"), (35, 30, "aab"), (50, 20, "abc")] * 12:
+        doc, item = [rng.choice(letters) for _ in range(rng.randrange(3, n))], [rng.choice(letters) for _ in range(rng.randrange(3, k))]
+        got = list(decontam.Block([1], [" ".join(item)], 3).matches(*token_hashes(pa.array([" ".join(doc)])), 0.01))
+        assert sorted(got[0][3] if got else []) == sorted(brute_tiles(doc, item, 3)), (doc, item)
+
+
+def test_tiling_needs_no_memory_for_repetition():
+    block = decontam.Block([1, 2], ["pad " * 1000, "pad word " * 300], 4)
+    h, at = token_hashes(pa.array(["pad " * 20_000, "pad word " * 10_000]))
+    tracemalloc.start()
+    got = [(row, item, round(share, 3)) for row, item, share, _ in block.matches(h, at, 0.5)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(0, 1, 1.0), (1, 2, 1.0)] and peak < 100_000_000, (got, peak)
+
+
+def test_short_items_match_whole_texts_only(spark):
+    bench = spark.createDataFrame([(1, "yes"), (2, "to be or"), (3, "")], "item_id long, text string")
+    rows = [(1, "Yes.", "s"), (2, "yes it is", "s"), (3, "to be, or", "s"), (4, "to be or not to be", "s"), (5, "...", "s")]
+    got = {r.doc_id: r.item_ids for r in decontam.decontaminate(docs(spark, rows), bench).collect()}
+    assert got == {1: [1], 2: [], 3: [2], 4: [], 5: []}
+
+
 def test_decontamination_finds_reordered_passages(spark):
     item = "one two three four five six seven eight nine ten eleven twelve"
     w = item.split()
@@ -242,6 +269,21 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0), fresh_path(spark, "test"))).count() == 0
 
 
+def test_every_archive_has_a_dictionary(spark, tmp_path):
+    for n in (1, 2, 4, 9, 40):
+        w = warc.ArchiveWriter(f"file://{tmp_path}/{n}.warc.zst")
+        rows = [warc.record(i, f"http://h/{i}", b"<p>%d</p>" % i * i, hashlib.sha1(b"<p>%d</p>" % i * i).hexdigest(), None) for i in range(n)]
+        for r in rows:
+            w.add(r)
+        w.close()
+        assert open(tmp_path / f"{n}.warc.zst", "rb").read(4) == b"\x5d\x2a\x4d\x18"
+        assert list(warc.read_records(f"file://{tmp_path}/{n}.warc.zst")) == rows
+    df = spark.createDataFrame([(1, "http://h/1", "x" * 2000), (2, "http://h/2", "x" * 2000)], "page_id long, url string, html string").repartition(1)
+    path = warc.write_archives(df, fresh_path(spark, "test")).first().path
+    text = b"".join(warc.read_records(path)).decode()
+    assert "WARC-Refers-To-Target-URI: http://h/2" in text and text.count("WARC-Type: revisit") == 1
+
+
 def test_a_broken_archive_is_noticed(tmp_path):
     w = warc.ArchiveWriter(f"file://{tmp_path}/a.warc.zst")
     for i in range(50):
@@ -318,6 +360,25 @@ def test_token_counts_equal_the_library(piece):
     assert tokens.BpeCounter(piece[0]).count_all(texts) == want
 
 
+def test_long_pre_tokens_equal_the_library(piece):
+    rng = random.Random(2)
+    bpe = tokens.BpeCounter(piece[0])
+    kinds = ["abcdefghij", "=-", "ab", "aab", ["th", "e", "in", "g", "ing", "a"], "中文字符的一是不了人", "ABCabc0123456789+/", ["a", "b", "é", "😀"]]
+    texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randrange(1, 700))) for _ in range(60)]
+    texts += ["".join(rng.choice(k) for _ in range(rng.randrange(1, 700))) for k in kinds for _ in range(20)]
+    texts.append("".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(200_000)))
+    assert [bpe.merge_long("▁" + t) for t in texts] == [len(x) for x in piece[1].encode(texts)]
+
+
+def test_a_model_of_another_kind_is_refused(piece):
+    class Normalises:
+        def encode(self, text):
+            return piece[1].encode(unicodedata.normalize("NFKC", text))
+
+    with pytest.raises(ValueError):
+        tokens.BpeCounter(piece[0])._check(Normalises())
+
+
 def test_token_counts_of_tables(spark, sf, piece):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.count_tokens(d, piece[0]).collect()}
