@@ -1,14 +1,15 @@
 """A quality classifier by co-training.
 
 Two logistic regressions see a document from two sides: one its text (byte-pair frequencies and a few counts), one its
-metadata (language, source, stated length). Over some rounds each gives the documents that it is most sure of to the other
-as further training rows. Both are calibrated on labelled rows that neither has trained on, and their calibrated odds are
-combined into one score for every document."""
+metadata (language, source, stated length). Over some rounds each gives the documents that it is most sure of, out of all that
+have no label, to the other as further training rows, with its calibrated probability as their label: so a view that knows
+little teaches little. Both are calibrated on labelled rows that neither has trained on, and their calibrated odds are combined
+into one score for every document."""
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, slices, text_bytes, token_hashes
+from .common import WORD_BYTES, slices, stash, text_bytes, token_hashes
 
-#: The fit is made on at most so many labelled and so many other documents, those with the lowest hashes of their ids.
-LABELLED, UNLABELLED = 6000, 4000
+#: The fit is made on at most so many labelled documents, those with the lowest hashes of their ids. The documents without label
+#: that the views teach each other with are the surest of all there are, so many a round from each view.
+LABELLED, EXCHANGED = 6000, 400
 PAIRS = 256
 _pair_bucket = ((np.arange(65536, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.int32)
 _CLASSES = ["upper", "lower", "digit", "space", "newline", "stop", "mark", "other"]
@@ -138,41 +140,65 @@ class CoTrained:
         return _sigmoid(a + b - self.prior), _sigmoid(a), _sigmoid(b)
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, ut: np.ndarray, um: np.ndarray, rounds: int = 3, sure: float = 0.97, share: float = 0.1) -> CoTrained:
-    """xt, xm, y: the labelled rows' two views and labels; held: the rows kept for calibration and the report; ut, um: the
-    views of rows without label. In each round a view passes on at most `share` of those rows, the surest first, all with a
-    calibrated probability of at least `sure` for their class and in the classes' own proportion."""
+#: picks the surest rows for a class: (name of the view that is sure, that view, class, how many) -> text rows, metadata rows
+Pick = Callable[[str, "View", int, int], tuple[np.ndarray, np.ndarray]]
+
+
+def pool(ut: np.ndarray, um: np.ndarray) -> Pick:
+    """Picks from rows in memory; a view gives a row once."""
+    given = {"text": np.zeros(len(ut), bool), "meta": np.zeros(len(ut), bool)}
+    views = {"text": ut, "meta": um}
+
+    def pick(name: str, view: View, label: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        odds = view.raw(views[name]) * (1 if label else -1)
+        free = np.flatnonzero(~given[name])
+        best = free[np.argsort(-odds[free], kind="stable")][:n]
+        given[name][best] = True
+        return ut[best], um[best]
+
+    return pick
+
+
+def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, pick: Pick, rounds: int = 3, exchanged: int = EXCHANGED) -> CoTrained:
+    """xt, xm, y: the labelled rows' two views and labels; held: 0 for the rows to fit on, 1 for calibration, 2 for the report.
+
+    In each round a view hands `exchanged` of the rows without label to the other: those that it is surest of, by its own order,
+    of either class and in the classes' proportion. They count half as much as a given label, with the calibrated probability
+    as their label."""
     base = float(np.clip((y.sum() + 1) / (len(y) + 2), 1e-3, 1 - 1e-3)) if len(y) else 0.5
     model = CoTrained(prior=float(np.log(base / (1 - base))))
-    fit = ~held
-    if len(set(y[fit])) < 2 or len(set(y[held])) < 2:
+    fit, hold, test = held == 0, held == 1, held == 2
+    if len(set(y[fit])) < 2 or len(set(y[hold])) < 2:
         return model
-    given = {"text": np.full(len(ut), -1.0), "meta": np.full(len(ut), -1.0)}  # pseudo-labels that a view has received
-    views = {"text": (xt, ut, 1.0), "meta": (xm, um, 5.0)}
+    views = {"text": (xt, 1.0), "meta": (xm, 5.0)}
+    got: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {"text": [], "meta": []}  # rows and their labels that a view received
     fitted: dict[str, View] = {}
+    alone = None
     for r in range(rounds + 1):
-        for name, (x, u, ridge) in views.items():
-            got = given[name]
-            more = got >= 0
-            rows = np.concatenate([x[fit], u[more]])
-            labels = np.concatenate([y[fit], got[more]])
-            weight = np.concatenate([np.ones(fit.sum()), np.full(more.sum(), 0.5)])
+        for name, (x, ridge) in views.items():
+            rows = np.concatenate([x[fit], *[g[0] for g in got[name]]])
+            labels = np.concatenate([y[fit], *[g[1] for g in got[name]]])
+            weight = np.concatenate([np.ones(fit.sum()), np.full(len(labels) - fit.sum(), 0.5)])
             view = View(fit_logistic(rows, labels, weight, ridge))
-            _calibrate(view, x[held], y[held])
+            _calibrate(view, x[hold], y[hold])
             fitted[name] = view
-        if r == rounds or not len(ut):
+        alone = alone or fitted["text"]
+        if r == rounds:
             break
-        for name, other in (("text", "meta"), ("meta", "text")):
-            p = _sigmoid(fitted[name].odds(views[name][1]))
-            for label, sureness, part in ((1.0, p, base), (0.0, 1 - p, 1 - base)):
-                free = np.flatnonzero((sureness >= sure) & (given[other] < 0))
-                best = free[np.argsort(-sureness[free], kind="stable")][: int(share * len(ut) * part) + 1]
-                given[other][best] = label
+        for k, (name, other) in enumerate((("text", "meta"), ("meta", "text"))):
+            for label, part in ((1, base), (0, 1 - base)):
+                ut, um = pick(name, fitted[name], label, max(1, round(exchanged * part)))
+                if len(ut):
+                    got[other].append(((um, ut)[k], _sigmoid(fitted[name].odds((ut, um)[k]))))
     model.text, model.meta = fitted["text"], fitted["meta"]
-    p = model.scores(xt[held], xm[held])
-    model.report = {"held_out": int(held.sum()), "pseudo_text": int((given["text"] >= 0).sum()), "pseudo_meta": int((given["meta"] >= 0).sum())}
-    model.report |= {k: float(((v >= 0.5) == (y[held] > 0)).mean()) for k, v in zip(("accuracy", "accuracy_text", "accuracy_meta"), p)}
-    model.report["clean_lost"] = float(((p[0] < 0.5) & (y[held] > 0)).sum() / max(1, (y[held] > 0).sum()))
+    some = test if len(set(y[test])) == 2 else hold
+    p = [*model.scores(xt[some], xm[some]), _sigmoid(alone.odds(xt[some]))]
+    good = y[some] > 0
+    model.report = {"fitted": int(fit.sum()), "calibrated": int(hold.sum()), "unseen": int(test.sum()), "from_meta": sum(len(g[1]) for g in got["text"]), "from_text": sum(len(g[1]) for g in got["meta"])}
+    model.report |= {k: float(((v >= 0.5) == good).mean()) for k, v in zip(("accuracy", "accuracy_text", "accuracy_meta", "accuracy_text_alone"), p)}
+    loss = lambda v: float(-np.log(np.clip(np.where(good, v, 1 - v), 1e-9, 1)).mean())
+    model.report |= {k: loss(v) for k, v in zip(("loss", "loss_text", "loss_meta", "loss_text_alone"), p)}
+    model.report["clean_lost"] = float(((p[0] < 0.5) & good).sum() / max(1, good.sum()))
     return model
 
 
@@ -183,38 +209,90 @@ def _views(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return text_features(b.column("text")), meta_features(*[b.column(c).to_pylist() for c in ("lang", "source", "n_chars")])
+    """The two views of a batch, in half precision wherever they are used, so that a model scores what it was fitted on."""
+    xt, xm = text_features(b.column("text")), meta_features(*[b.column(c).to_pylist() for c in ("lang", "source", "n_chars")])
+    return xt.astype(np.float16).astype(np.float64), xm.astype(np.float16).astype(np.float64)
+
+
+def _unpack(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    f = np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, TEXT_DIM + META_DIM).astype(np.float64)
+    return f[:, :TEXT_DIM], f[:, TEXT_DIM:]
+
+
+def _lowest(df: DataFrame, by: str, n: int) -> DataFrame:
+    """The n rows of the lowest `by`, a hash: what is far above is left out first, so that no partition sends many."""
+    total = df.count()
+    cut = int(-(2**63) + 2**64 * min(1.0, (2 * n + 100) / max(total, 1)))
+    return df.where(F.col(by) <= F.lit(min(cut, 2**63 - 1))).orderBy(by).limit(n)
+
+
+#: Odds are counted in steps of 1 / STEPS to find how sure the surest rows are.
+STEPS = 64
+
+
+def _distributed(features: DataFrame) -> Pick:
+    """Picks from a table (row, f) of any size: its rows' odds are counted in bins, which say how high a row must be; only rows
+    above that, and as many from the last bin as are missing, come to the driver."""
+    given: dict[str, DataFrame | None] = {"text": None, "meta": None}
+    scored: dict[str, tuple[View, DataFrame]] = {}
+
+    def pick(name: str, view: View, label: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                odds = view.raw(_unpack(b.column("f"))[0 if name == "text" else 1])
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.clip(np.floor(odds * STEPS), -100 * STEPS, 100 * STEPS).astype(np.int32))], names=["row", "bin"])
+
+        if name not in scored or scored[name][0] is not view:
+            scored[name] = view, stash(features.select("row", "f").mapInArrow(run, "row long, bin int"), "odds")
+        rows = scored[name][1].select("row", F.xxhash64("row", F.lit("tie")).alias("tie"), F.col("bin") if label else (-F.col("bin")).alias("bin"))
+        if given[name] is not None:
+            rows = rows.join(F.broadcast(given[name]), "row", "left_anti")  # rounds * EXCHANGED rows at most
+        left, taken = n, []
+        for r in sorted(rows.groupBy("bin").count().collect(), key=lambda r: -r["bin"]):  # 200 * STEPS bins at most
+            taken.append((r["bin"], min(left, r["count"]), r["count"]))
+            left -= min(left, r["count"])
+            if not left:
+                break
+        if not taken:
+            return np.zeros((0, TEXT_DIM)), np.zeros((0, META_DIM))
+        edge, few, _ = taken[-1]
+        best = rows.where(F.col("bin") > edge).select("row").unionByName(_lowest(rows.where(F.col("bin") == edge), "tie", few).select("row"))
+        best = stash(best, "surest")
+        given[name] = best if given[name] is None else given[name].unionByName(best)
+        found = features.join(F.broadcast(best), "row", "left_semi").select("row", "f").toArrow().sort_by("row")  # n rows
+        return _unpack(found.column("f"))
+
+    return pick
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> CoTrained:
-    """Fit on bounded samples (LABELLED, UNLABELLED) chosen by hash. Several labels of an id count by their mean, a mean of
-    one half and null labels not at all; labels are 0 or 1."""
+    """Fit on a bounded sample of the labelled documents (LABELLED, chosen by hash), and in rounds on the surest of all others.
+    Several labels of an id count by their mean, a mean of one half and null labels not at all; labels are 0 or 1. Of the sample
+    three fifths are fitted on, a fifth calibrates and a fifth is for the report alone.
+
+    The documents' features are written once (some 700 bytes each); the rounds read these and no text."""
     spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("y")).where("y <> 0.5")
     known = known.select("id", (F.col("y") > 0.5).cast("int").alias("y"))
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
-    by = F.xxhash64("id", F.lit("sample"))
-    some = known.join(ids, "id", "left_semi").orderBy(by, "id").limit(LABELLED).collect()
-    rest = ids.join(known, "id", "left_anti").orderBy(by, "id").limit(UNLABELLED).collect()
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"))
+    known = stash(known.join(ids, "id", "left_semi").withColumn("h", F.xxhash64("id", F.lit("sample"))), "labelled")
+    some = _lowest(known, "h", LABELLED).collect()
     if not some:
         return CoTrained()
     kind = docs.schema[id_col].dataType.simpleString()
-    chosen = spark.createDataFrame([(r.id, r.y) for r in some] + [(r.id, -1) for r in rest], f"id {kind}, y int")
-    rows = _views(docs, id_col, text_col).join(F.broadcast(chosen), "id")  # LABELLED + UNLABELLED ids at most
+    chosen = spark.createDataFrame([(r.id, r.y) for r in some], f"id {kind}, y int")
+    rows = _views(docs, id_col, text_col).join(F.broadcast(chosen), "id", "left")  # LABELLED ids at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            xt, xm = _features(b)
-            f = np.concatenate([xt, xm], 1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(list(f))], names=["id", "y", "f"])
-
-    got = rows.mapInArrow(run, f"id {kind}, y int, f array<float>").toArrow().sort_by("id")
-    f = got.column("f").combine_chunks().flatten().to_numpy().reshape(got.num_rows, TEXT_DIM + META_DIM).astype(np.float64)
-    y = got.column("y").to_numpy()
-    held = np.array([zlib.crc32(f"held:{i}".encode()) % 4 == 0 for i in got.column("id").to_pylist()])
-    k = y >= 0
-    xt, xm = f[:, :TEXT_DIM], f[:, TEXT_DIM:]
-    return co_train(xt[k], xm[k], y[k].astype(float), held[k], xt[~k], xm[~k], **options)
+            f = np.concatenate(_features(b), 1).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([x.tobytes() for x in f], pa.binary())], names=["id", "y", "f"])
+
+    features = stash(rows.mapInArrow(run, f"id {kind}, y int, f binary").withColumn("row", F.monotonically_increasing_id()), "features")
+    got = features.where("y is not null").select("id", "y", "f").toArrow().sort_by("id")  # LABELLED documents, or more if their rows repeat
+    xt, xm = _unpack(got.column("f"))
+    part = np.array([zlib.crc32(f"held:{i}".encode()) % 5 for i in got.column("id").to_pylist()])
+    return co_train(xt, xm, got.column("y").to_numpy().astype(float), np.where(part < 3, 0, part - 2), _distributed(features.where("y is null")), **options)
 
 
 def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, keep_columns: bool = False) -> DataFrame:

@@ -640,13 +640,51 @@ def test_views_exchange_labels():
     view = lambda: np.stack([y * 4 - 2 + rng.normal(size=1200), rng.normal(size=1200)], 1)
     a, b = view(), view()
     k = np.arange(1200) < 200
-    model = quality.co_train(a[k], b[k], y[k], np.arange(200) % 4 == 0, a[~k], b[~k])
-    assert model.report["pseudo_text"] > 50 and model.report["pseudo_meta"] > 50
+    model = quality.co_train(a[k], b[k], y[k], np.arange(200) % 5 - 2 * (np.arange(200) % 5 > 2), quality.pool(a[~k], b[~k]), exchanged=100)
+    assert model.report["from_meta"] >= 300 and model.report["from_text"] >= 300
     p, pa_, pb = model.scores(a[~k], b[~k])
     acc = [((v >= 0.5) == (y[~k] > 0)).mean() for v in (p, pa_, pb)]
     assert acc[0] >= max(acc[1:]) and acc[0] > 0.97
 
 
+def test_exchange_helps_a_weak_view():
+    """A text view with few labels and a telling second view: what the second hands over makes the first better."""
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 4000).astype(float)
+    a = np.concatenate([rng.normal(size=(4000, 40)) * 1.5 + (y * 2 - 1)[:, None] * 0.35, rng.normal(size=(4000, 20))], 1)
+    b = np.stack([y * 5 - 2.5 + rng.normal(size=4000)], 1)
+    k = np.arange(4000) < 80
+    held = np.where(np.arange(80) % 3 == 2, 1, 0)
+    model = quality.co_train(a[k], b[k], y[k], held, quality.pool(a[~k][:2000], b[~k][:2000]), exchanged=300)
+    alone = quality.co_train(a[k], b[k], y[k], held, quality.pool(a[:0], b[:0]))
+    unseen = lambda m: ((m.text.raw(a[2100:]) > 0) == (y[2100:] > 0)).mean()
+    assert unseen(model) > unseen(alone) + 0.03
+
+
+def test_distributed_picks_equal_those_in_memory(spark):
+    rng = np.random.default_rng(6)
+    n = 900
+    f = np.zeros((n, quality.TEXT_DIM + quality.META_DIM), np.float16)
+    f[:, :3] = rng.normal(size=(n, 3))
+    f[:, quality.TEXT_DIM] = rng.integers(0, 3, n)  # many ties
+    df = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(f)], "row long, f binary").repartition(5)
+    pick = quality._distributed(df)
+    w = np.zeros(quality.TEXT_DIM + 1)
+    w[:3] = 1, -2, 0.5
+    text = quality.View(w)
+    wide = f.astype(float)
+    odds = np.floor(text.raw(wide[:, : quality.TEXT_DIM]) * quality.STEPS)
+    first, more = (pick("text", text, 1, 50)[0] for _ in range(2))
+    got = np.floor(text.raw(np.concatenate([first, more])) * quality.STEPS)
+    assert sorted(got) == sorted(np.sort(odds)[-100:]) and len(first) == 50 and got[:50].min() >= got[50:].max()
+    low = pick("text", text, 0, 30)[0]
+    assert sorted(np.floor(text.raw(low) * quality.STEPS)) == sorted(np.sort(odds)[:30])
+    wm = np.zeros(quality.META_DIM + 1)
+    wm[0] = 1.0
+    meta = quality.View(wm)
+    assert len(pick("meta", meta, 1, 20)[1]) == 20 and len(pick("meta", meta, 1, 2000)[1]) == n - 20 and len(pick("meta", meta, 1, 5)[1]) == 0
+
+
 # ---- 10: near duplicates -------------------------------------------------------------------------------------------------------------
 
 
