@@ -139,6 +139,8 @@ def dual_links(a: CoverTree, b: CoverTree, cosine: float, weight_a: np.ndarray,
     ra, rb = np.array(a.radius), np.array(b.radius)
     ca, cb = np.array(a.centre), np.array(b.centre)
     size_a, size_b = (np.array([e - s for s, e in t.span]) for t in (a, b))
+    begin_a, begin_b = (np.array([s for s, _ in t.span]) for t in (a, b))
+    leaf_a, leaf_b = (np.array([not k for k in t.children]) for t in (a, b))
 
     def whole(p: int, q: int) -> None:
         (s, e), (t, f) = a.span[p], b.span[q]
@@ -171,6 +173,19 @@ def dual_links(a: CoverTree, b: CoverTree, cosine: float, weight_a: np.ndarray,
         i, j = np.nonzero(near)
         singles(u[i], v[j], cos[i, j])
 
+    def small(p: np.ndarray, q: np.ndarray) -> None:
+        """All vectors of many pairs of small nodes at once."""
+        per = size_a[p] * size_b[q]
+        for some in np.split(np.arange(len(p)), np.flatnonzero(np.diff(np.cumsum(per) // 50_000)) + 1):
+            n = per[some]
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            wide = np.repeat(size_b[q[some]], n)
+            u = a.order[np.repeat(begin_a[p[some]], n) + k // wide]
+            v = b.order[np.repeat(begin_b[q[some]], n) + k % wide]
+            cos = np.einsum("ij,ij->i", a.x[u], b.x[v])
+            near = cos >= cosine - _CLOSE
+            singles(u[near], v[near], cos[near])
+
     stack: list[tuple[int, int]] = [(0, 0)]
     while stack:
         p, q = stack.pop()
@@ -205,6 +220,10 @@ def dual_links(a: CoverTree, b: CoverTree, cosine: float, weight_a: np.ndarray,
                 for x, y in zip(kp[i[inside]].tolist(), kq[j[inside]].tolist()):
                     whole(x, y)
                 open_ = ~inside & ~alone
+                few = open_ & ~own & leaf_a[kp[i]] & leaf_b[kq[j]]
+                if few.any():
+                    small(kp[i[few]], kq[j[few]])
+                open_ &= ~few
                 stack.extend(zip(kp[i[open_]].tolist(), kq[j[open_]].tolist()))
     got_a, got_b = one_a.copy(), one_b.copy()
     got_a[a.order] += np.cumsum(add_a)[:-1]
