@@ -27,6 +27,21 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= rows else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores before it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame, kind: str = "rows") -> tuple[DataFrame, str]:
+    """df as a written table in which each row has a number of its own, and the name of that column. Whatever is decided by this
+    number is decided row by row, be ids null or repeated."""
+    name = unused(df, "_row")
+    return stash(df.withColumn(name, F.monotonically_increasing_id()), kind), name
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """Add the 0-based rank of each row in its group by `order`, whatever a group's size.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, slices, stash, token_hashes, windows
+from .common import bounded, slices, stash, token_hashes, unused, windows
 
 #: The benchmark is the query set; it is held in blocks of about so many bytes of text, and each block meets all documents.
 BLOCK_BYTES = 16_000_000
@@ -227,5 +227,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, all columns, that no benchmark item contaminates."""
     found = find_contamination(docs, benchmark, id_col=id_col, **options)
-    bad = stash(found.select(F.col(id_col).alias("__bad")).distinct(), "contaminated")
-    return docs.join(bounded(bad), F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    name = unused(docs, "_bad")
+    bad = stash(found.select(F.col(id_col).alias(name)).distinct(), "contaminated")
+    return docs.join(bounded(bad), F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

@@ -801,3 +801,36 @@ def test_pipeline_stages(spark, sf):
     copies = {r.doc_id: r.copies for r in mixing.mix(left, [5.0, 2.0, 1.0]).collect()}
     out = p.run(spark, sf).collect()
     assert collections.Counter(r.doc_id for r in out) == collections.Counter({i: n for i, n in copies.items() if n})
+
+
+def test_pipeline_on_awkward_rows(spark, sf, tmp_path):
+    import corpus_pipeline as p
+
+    real = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    texts = [r.text for r in real.collect()]
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    odd = [(1, texts[0], "a"), (1, texts[0], "a"), (1, texts[1], "a"), (None, texts[2], "b"), (None, texts[2], "b"), (None, texts[3], None), (None, item, "a"), (None, texts[4], "b"), (7, None, "a"), (8, "", "a"), (9, texts[2], "b")]
+    rows = docs(spark, odd)
+    assert p.without_near_copies(spark, rows, sf).columns == rows.columns
+    got = collections.Counter((r.doc_id, r.text) for r in p.without_near_copies(spark, rows.where("text <> ''"), sf).collect())
+    groups = brute_groups([(i, t, "s") for i, (_, t, _) in enumerate(odd) if t])
+    first = {}
+    for i, g in sorted(groups.items(), key=lambda x: (odd[x[0]][0] is None, odd[x[0]][0] or 0, x[0])):
+        first.setdefault(g, odd[i][:2])
+    assert got == collections.Counter(first.values())
+    clean = collections.Counter((r.doc_id, r.text) for r in p.without_benchmark(spark, rows, sf).collect())
+    assert clean == collections.Counter(x[:2] for x in odd if x[1] != item)
+    copies = {(r.doc_id, r.size, r.source): r.copies for r in mixing.mix(rows.dropDuplicates(["doc_id", "text"]), [5.0, 2.0, 1.0]).collect()}
+    mixed = p.mix_sources(spark, rows, sf)
+    counts = collections.Counter((r.doc_id, r.text) for r in mixed.collect())
+    assert mixed.columns == rows.columns and len(copies) == 9
+    assert all(n <= 2 * odd_count for (k, n) in counts.items() for odd_count in [sum(x[:2] == k for x in odd)])
+    # the whole pipeline over such a table, and over an empty one
+    for name, df in (("odd", rows), ("none", rows.limit(0))):
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{name}/{t}.parquet")
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = p.run(spark, f"{tmp_path}/{name}").collect()
+        if name == "none":
+            assert out == []
+        assert all(r.shard in range(24) for r in out)
