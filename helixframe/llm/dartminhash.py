@@ -245,12 +245,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     classes = stash(some.groupBy("key").agg(F.min("id").alias("low")).withColumn("rep", F.monotonically_increasing_id()), "classes")
     reps = some.where("n > 0").join(classes, "key").where("id = low").dropDuplicates(["key"])
 
+    once = some.count() == some.select("id").distinct().count()
+
     def texts_of(reps: DataFrame) -> DataFrame:
         """rep and text of some classes: that of the row with the class's smallest id, once."""
         wanted = classes.join(bounded(stash(reps.distinct(), "wanted")), "rep").select("rep", F.col("low").alias("__low"), F.col("key").alias("__key"))
         thin = docs.select(F.col(id_col).cast("long").alias("__id"), _key(text_col).alias("__own"), F.col(text_col).cast("string").alias("text"))
         found = thin.join(bounded(stash(wanted, "wanted")), (F.col("__id") == F.col("__low")) & (F.col("__own") == F.col("__key")))
-        return found.select("rep", "text").dropDuplicates(["rep"])
+        found = found.select("rep", "text")
+        return found if once else found.dropDuplicates(["rep"])  # where no row repeats, joins stay free to split a member of many pairs
     banded = stash(reps.select("rep", "bands"), "reps").select("rep", F.explode("bands").alias("h"))
     chosen = banded.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("centre")).where("size > 1")
     inside = stash(banded.join(stash(chosen, "buckets"), "h"), "members")
