@@ -396,10 +396,10 @@ def test_token_counts_of_tables(spark, sf, piece):
 
 def test_wrapper_finds_groups_and_options():
     page = lambda items, extra: wrappers.expression(wrappers.parse("<body><ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" + extra + "<div>fix</div></body>"))
-    w = wrappers.align(page("ab", "<p>one</p>"), page("abc", ""))
+    w = wrappers.combine([page("ab", "<p>one</p>"), page("abc", "")])
     body = w[0][5]
     assert [x[0] for x in body] == ["ul", "p", "div()"] and "?" in body[1][1] and "+" in body[0][5][0][1]
-    assert "=" in body[2][5][0][1] and body[2][5][0][5] == "fix" and "=" not in body[0][5][0][5][0][1]
+    assert "=" in body[2][5][0][1] and body[2][5][0][5] == wrappers._crc("fix") and "=" not in body[0][5][0][5][0][1]
 
 
 def brute_article(page):
@@ -476,10 +476,72 @@ def test_pages_joined_by_salt(spark, sf, monkeypatch):
     key = lambda df: sorted((r.page_id, r.text) for r in df.collect())
     one = key(wrappers.extract_text(d))
     monkeypatch.setattr(wrappers, "HOSTS", 0)
-    monkeypatch.setattr(wrappers, "HOSTS_HELD", 3)
+    monkeypatch.setattr(wrappers, "HELD", 3)
     assert key(wrappers.extract_text(d.repartition(9))) == one
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in wrappers.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("n", [1, 6])
+def test_names_that_mislead(spark, n):
+    """On a host of one page and on one of several: names inside an article take nothing from it that isn't boilerplate."""
+    story = lambda i: f"<p>{'word%d ' % i * 30}</p>"
+    pages = [
+        (lambda i: f"<body><article><h1 class=header>Head {i}</h1><div class=legal><p>The law says {i}.</p></div><div class='social-science'>{story(i)}</div></article></body>", lambda i: f"Head {i}\nThe law says {i}.\n" + ("word%d " % i * 30).strip()),
+        (lambda i: f"<body><div class=post>{story(i)}<p class='tags-of-war'>War {i}</p></div><div class=footer>x {i}</div></body>", lambda i: ("word%d " % i * 30).strip() + f"\nWar {i}"),
+        (lambda i: f"<body><article><h2 class=menu>Menu of day {i}</h2>{story(i)}<div class=ad>Buy {i}</div><div class=comments><div class=comment>nice {i}</div><div class=comment>good {i}</div></div></article></body>", lambda i: f"Menu of day {i}\n" + ("word%d " % i * 30).strip()),
+        (lambda i: f"<body><article><p>The sum is <math><mi>a</mi><mo>+</mo><mn>{i}</mn></math>.</p><object>plain {i}</object></article></body>", lambda i: f"The sum is a+{i}.\nplain {i}"),
+        (lambda i: f"<body><article><p>One <span style='display: none'>secret</span><span class=ad>Buy</span> two {i}</p><p style='display:none'>no</p><p>three</p></article></body>", lambda i: f"One two {i}\nthree"),
+    ]
+    rows = [(100 * k + i, f"http://h{k}/{i}", page(i)) for k, (page, _) in enumerate(pages) for i in range(n)]
+    got = extracted(spark, rows)
+    assert got == {100 * k + i: want(i) for k, (_, want) in enumerate(pages) for i in range(n)}
+
+
+def test_the_wrapper_decides_against_names(spark):
+    """Teasers in article elements are little beside the story that no name tells of."""
+    page = lambda i: f"<body><div><article><a href=x>See {i}</a></article><article><a href=y>And {i}</a></article></div><div id=x><p>{'story %d ' % i * 40}</p><p>{'more %d ' % i * 30}</p></div><div><p>{'The same legal words on all pages. ' * 20}</p></div></body>"
+    got = extracted(spark, [(i, f"http://h/{i}", page(i)) for i in range(6)])
+    assert got == {i: ("story %d " % i * 40).strip() + "\n" + ("more %d " % i * 30).strip() for i in range(6)}
+
+
+def test_deep_pages(spark):
+    """However deep, levels count: a menu below 205 or 5000 others is none of the article."""
+    deep = lambda n, x: "<div>" * n + x + "</div>" * n
+    article = "<article><h1>Head</h1><p>Text of the article.</p></article>"
+    rows = [(n, f"http://h{n}/", "<body>" + deep(n, "<nav><ul><li>menu item</li></ul></nav>" + article + "<footer>end</footer>") + "</body>") for n in (1, 99, 101, 205, 500, 5000)]
+    assert extracted(spark, rows) == {r[0]: "Head\nText of the article." for r in rows}
+    rows = [(i, "http://deep/", "<body>" + deep(500, f"<p>{'tale %d ' % i * 20}</p>") + "<div>Always the same</div></body>") for i in range(5)]
+    assert extracted(spark, rows) == {i: ("tale %d " % i * 20).strip() for i in range(5)}
+
+
+def test_constant_texts_are_compared_whole():
+    same = "We use all of these words on every page. " * 8
+    page = lambda i: f"<body><div class=a>{same}</div><div class=b>{same}{i}</div><div><p>{'story %d ' % i * 90}</p></div></body>"
+    rule = wrappers.rules(wrappers.combine([wrappers.expression(wrappers.parse(page(i))) for i in range(5)]), 5)
+    body = wrappers._path(0, "body")
+    assert rule["constant"] == [[wrappers._path(body, "div.a"), [wrappers._crc(same.strip())]]]
+
+
+def test_runs_of_any_length_fold():
+    run = "".join(f"<{t}>x</{t}>" for t in ("h2", "p", "ul", "h3", "pre", "blockquote", "h4"))
+    e = wrappers.expression(wrappers.parse("<body>" + run * 5 + "</body>"))
+    assert [x[0] for x in e[0][5]] == ["h2", "p", "ul", "h3", "pre", "blockquote", "h4"] and all("+" in x[1] for x in e[0][5])
+    assert wrappers._matches(list("abcxde"), list("abyde")) == [(0, 0), (1, 1), (4, 3), (5, 4)]
+
+
+def test_wrappers_do_not_depend_on_the_layout(spark, sf):
+    rng = random.Random(3)
+    block = lambda: rng.choice(["<p>a b c</p>", "<ul><li>x</li><li>y</li></ul>", "<div class=box><p>t</p></div>", "<h2>h</h2>", "<table><tr><td>1</td></tr></table>"])
+    rows = [(i, f"http://h{i % 3}/", "<body><div>Top</div><div id=main>" + "".join(block() for _ in range(rng.randrange(1, 9))) + f"<p>{'text %d ' % i * rng.randrange(1, 30)}</p></div></body>") for i in range(150)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    key = lambda df: sorted((r.host, r.shape, r.numbers, r.kinds) for r in wrappers.infer_wrappers(df).collect())
+    one = key(df.repartition(1))
+    assert key(df.orderBy(F.desc("page_id")).repartition(7)) == one and key(df.repartition(4, "html")) == one and len(one) == 3
+
+
 # ---- 8: licences ------------------------------------------------------------------------------------------------------------------
 
 
