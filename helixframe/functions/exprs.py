@@ -23,10 +23,18 @@ def revcomp(word: Column) -> Column:
 
 
 def lookup(letter: Column, table: dict) -> Column:
-    """The value of a small fixed table, null for a letter that it doesn't have. Values: numbers, strings or tuples."""
+    """The value of a small fixed table, null for a letter that it doesn't have. Values: numbers, strings or tuples. Single letters
+    are places in a constant array; words are looked for in a constant map."""
+    value = lambda v: F.array(*[F.lit(float(x)) for x in v]) if isinstance(v, (tuple, list)) else F.lit(v)
+    if all(len(k) == 1 and k.isascii() for k in table):
+        kind = next(iter(table.values()))
+        empty = F.lit(None).cast("array<double>" if isinstance(kind, (tuple, list)) else "string" if isinstance(kind, str) else "int" if isinstance(kind, int) else "double")
+        first, last = min(map(ord, table)), max(map(ord, table))
+        held = F.array(*[value(table[chr(c)]) if chr(c) in table else empty for c in range(first, last + 1)])
+        return F.when(F.length(letter) == 1, F.get(held, F.ascii(letter) - first))
     pairs = []
     for k, v in table.items():
-        pairs += [F.lit(k), F.array(*[F.lit(float(x)) for x in v]) if isinstance(v, (tuple, list)) else F.lit(v)]
+        pairs += [F.lit(k), value(v)]
     return F.element_at(F.create_map(*pairs), letter)
 
 

@@ -1,96 +1,160 @@
-"""Bags of words. Results are long: seq_id, word, value; dense ones have a row for every word of the universe."""
+"""Bags of words. Results are long: seq_id, word, value; dense ones have a row for every word of the universe. A sequence is counted
+where its row stands, so nothing is shuffled, and rows with the same id are counted each for itself."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import revcomp, rounded
+from ..functions import arrays as A
+from ..functions.exprs import rounded
 from ..functions.tables import PROTEIN, universe
-from .words import dr_words, dt_words, kmer_words, mismatch_words, tng_words, word_counts
-
-
-def _dense(seqs: DataFrame, words: list[str], counts: DataFrame, value: str) -> DataFrame:
-    """A row for every sequence and word; 0 where counts has none."""
-    every = seqs.select("seq_id", F.explode(F.array(*[F.lit(w) for w in words])).alias("word"))
-    return every.join(counts, ["seq_id", "word"], "left").withColumn(value, F.coalesce(value, F.lit(0).cast(counts.schema[value].dataType)))
+from .words import dt_words, top_n_gram, word_counts
 
 
 def kmer_bow(seqs: DataFrame, k: int, alphabet: str, reverse: bool = False) -> DataFrame:
     """Shares of all words among a sequence's windows, eight decimals; with reverse, a word and its reverse complement are one.
     A sequence shorter than k has value 0 everywhere."""
-    words = kmer_words(seqs, k)
     names = universe(k, alphabet)
+    kept, to = names, np.arange(len(names))
     if reverse:
-        words = words.withColumn("word", F.least("word", revcomp(F.col("word"))))
         flip = str.maketrans("ACGT", "TGCA")
-        names = [w for w in names if w <= w.translate(flip)[::-1]]
-    counts = word_counts(words).join(seqs.select("seq_id", (F.length("seq") - (k - 1)).alias("total")), "seq_id")
-    counts = counts.select("seq_id", "word", rounded(F.col("n") / F.col("total"), 8).alias("value"))
-    return _dense(seqs, names, counts, "value")
+        least = [min(w, w.translate(flip)[::-1]) for w in names]
+        kept = [w for w, x in zip(names, least) if w == x]
+        to = np.array([kept.index(x) for x in least])
+
+    def made(column: pa.Array):
+        codes, at = A.letter_codes(column, alphabet)
+        row, _, code = A.word_codes(codes, at, k, len(alphabet))
+        counts = A.count_codes(row, np.where(code >= 0, to[code], -1), len(column), len(kept))
+        total = np.maximum(np.diff(at) - (k - 1), 1)
+        return A.dense(A.half_up(counts / total[:, None], 8), kept, pa.float64())
+
+    return A.by_row(seqs, len(kept), made, "word string, value double")
 
 
 def mismatch_bow(seqs: DataFrame, k: int, alphabet: str, m: int = 1) -> DataFrame:
-    """Counts of words where each window also counts for all its one-letter variants."""
-    return _dense(seqs, universe(k, alphabet), word_counts(mismatch_words(seqs, k, alphabet, m)).withColumnRenamed("n", "value"), "value")
+    """Counts of words where each window also counts for all its one-letter variants. Windows are counted first, and the counts
+    then spread over the words beside them."""
+    names = universe(k, alphabet)
+    size = len(alphabet)
+    places = np.stack(np.unravel_index(np.arange(len(names)), (size,) * k), 1)
+
+    def made(column: pa.Array):
+        codes, at = A.letter_codes(column, alphabet)
+        row, _, code = A.word_codes(codes, at, k, size)
+        counts = A.count_codes(row, code, len(column), len(names))
+        if m == 0:
+            return A.dense(counts, names, pa.int64())
+        grid = counts.reshape(len(column), *(size,) * k)
+        spread = (1 - k) * grid  # each word is in the sum of its own line once for each place
+        for axis in range(1, k + 1):
+            spread = spread + grid.sum(axis, keepdims=True)
+        return A.dense(spread.reshape(len(column), -1), names, pa.int64())
+
+    return A.by_row(seqs, len(names), made, "word string, value long")
+
+
+def _faded(amounts: np.ndarray, row: np.ndarray, delta: float) -> np.ndarray:
+    """For each place the sum over the places before it in its row of their amounts, times delta for each step between: runs of
+    1, 2, 4, ... places are put together until delta has faded to nothing."""
+    out = np.zeros_like(amounts)
+    if len(row) > 1:
+        before = row[1:] == row[:-1]
+        out[1:][before] = amounts[:-1][before] * delta
+    step, fade = 1, delta
+    longest = int(np.bincount(row).max()) if len(row) else 0
+    while step < longest and fade > 0.0:
+        same = np.flatnonzero(row[step:] == row[:-step])
+        more = out[same] * fade
+        out[same + step] += more
+        step, fade = 2 * step, fade * fade
+    return out
 
 
 def subsequence_bow(seqs: DataFrame, k: int, alphabet: str, delta: float) -> DataFrame:
-    """The weights of all C(n, k) ordered choices of letters: 1 for neighbours, delta ** (last - first + 1) for others. A dynamic
-    programme over each sequence, exact and linear in its length; letters outside the alphabet are gaps."""
-    index = {a: i for i, a in enumerate(alphabet)}
+    """The weights of all C(n, k) ordered choices of letters: 1 for neighbours, delta ** (last - first + 1) for others. For each
+    place the faded weights of the choices that end before it come from sums of doubling length, one letter of the word after the
+    other; exact, and linear in a sequence's length but for the logarithm. Letters outside the alphabet are gaps."""
     names = universe(k, alphabet)
     size = len(alphabet)
 
-    def one(seq: str | None) -> np.ndarray:
-        # sums[j]: for each word of j + 1 letters the weight of its choices so far, faded by delta for each letter since
-        sums = [np.zeros(size ** (j + 1)) for j in range(k - 1)]
-        total = np.zeros(size**k)
-        codes = [index.get(c, -1) for c in seq or ""]
-        for at, c in enumerate(codes):
-            grown = []
-            if c >= 0:
-                if k == 1:
-                    total[c] += 1
-                else:
-                    total.reshape(-1, size)[:, c] += delta * sums[k - 2]
-                    grown = [delta * sums[j] for j in range(k - 2)]
-            for s in sums:
-                s *= delta
-            if c >= 0 and k > 1:
-                sums[0][c] += delta
-                for j, g in enumerate(grown):
-                    sums[j + 1].reshape(-1, size)[:, c] += g
-                if at >= k - 1 and min(codes[at - k + 1 : at + 1]) >= 0:
-                    place = 0
-                    for x in codes[at - k + 1 : at + 1]:
-                        place = place * size + x
-                    total[place] += 1 - delta**k
-        return total
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(names), pa.int64()), pa.array(names), pa.array(one(seq))], names=["seq_id", "word", "value"])
-
-    return seqs.select(F.col("seq_id").cast("long"), "seq").mapInArrow(run, "seq_id long, word string, value double")
+    def made(column: pa.Array):
+        codes, at = A.letter_codes(column, alphabet)
+        row = A.row_of(at)
+        totals = np.zeros((len(column), len(names)))
+        ends = np.zeros((len(codes), size))  # weight of choices of j letters whose last is this one
+        known = codes >= 0
+        ends[np.flatnonzero(known), codes[known]] = 1.0 if k == 1 else delta
+        for _ in range(k - 1):
+            so_far = _faded(ends, row, delta)  # that of those that end before, faded up to here
+            grown = np.zeros((len(codes), so_far.shape[1], size))
+            grown[np.flatnonzero(known), :, codes[known]] = so_far[known]
+            ends = grown.reshape(len(codes), -1)
+        if len(row):
+            starts = np.flatnonzero(np.diff(at) > 0)
+            totals[starts] = np.add.reduceat(ends, at[:-1][starts], 0)
+        if k > 1:  # a run of neighbours has weight 1
+            run_row, _, code = A.word_codes(codes, at, k, size)
+            totals += (1 - delta**k) * A.count_codes(run_row, code, len(column), len(names))
+        return A.dense(totals, names, pa.float64())
+
+    return A.by_row(seqs, len(names) * 8, made, "word string, value double")
 
 
 def top_n_gram_bow(seqs: DataFrame, n: int, profile: DataFrame | None = None) -> DataFrame:
     """Shares of the residues' top n-grams among all residues, four decimals; the 20^n words are the universe."""
-    grams = tng_words(seqs, n, n, profile).where(F.col("pos") % n == 0)
-    counts = word_counts(grams).join(seqs.select("seq_id", F.length("seq").alias("total")), "seq_id")
-    return _dense(seqs, universe(n, PROTEIN), counts.select("seq_id", "word", rounded(F.col("n") / F.col("total"), 4).alias("value")), "value")
+    grams = top_n_gram(seqs.withColumn("_n", F.length("seq")), n, profile)
+    names = universe(n, PROTEIN)
+
+    def made(column: pa.Array):
+        codes, at = A.letter_codes(column, PROTEIN)
+        row, pos, code = A.word_codes(codes, at, n, len(PROTEIN))
+        counts = A.count_codes(row, np.where(pos % n == 0, code, -1), len(column), len(names))
+        return A.dense(A.half_up(counts / np.maximum(np.diff(at) // n, 1)[:, None], 4), names, pa.float64())
+
+    return A.by_row(grams, len(names), made, "word string, value double")
+
+
+def _pairs(seqs: DataFrame, max_distance: int) -> DataFrame:
+    def made(column: pa.Array):
+        codes, at = A.letter_codes(column, PROTEIN)
+        size = len(PROTEIN)
+        row, dist, word, n = [], [], [], []
+        for d in range(max_distance + 1):
+            of = A.row_of(at)
+            if d == 0:
+                counts, names = A.count_codes(of, codes, len(column), size), list(PROTEIN)
+            else:
+                here = np.flatnonzero(of[d:] == of[:-d]) if len(of) > d else np.zeros(0, np.int64)
+                a, b = codes[here], codes[here + d]
+                counts, names = A.count_codes(of[here], np.where((a >= 0) & (b >= 0), a * size + b, -1), len(column), size * size), universe(2, PROTEIN)
+            i, j = np.nonzero(counts)
+            row.append(i)
+            dist.append(np.full(len(i), d, np.int32))
+            word.append(A.strings(names, j))
+            n.append(counts[i, j])
+        return np.concatenate(row), {"dist": pa.array(np.concatenate(dist)), "word": pa.concat_arrays(word), "n": pa.array(np.concatenate(n), pa.int64())}
+
+    return A.by_row(seqs, 400 * (max_distance + 1), made, "dist int, word string, n long")
 
 
 def dr_bow(seqs: DataFrame, max_distance: int) -> DataFrame:
-    """Counts of letters (dist 0) and of pairs at each distance; sparse: seq_id, dist, word, n."""
-    return word_counts(dr_words(seqs, max_distance), "dist")
+    """Counts of letters (dist 0) and of pairs at each distance; sparse: seq_id, dist, word, n. dense_bow() adds the zeros."""
+    return _pairs(seqs, max_distance)
 
 
 def dt_bow(seqs: DataFrame, max_distance: int, profile: DataFrame | None = None) -> DataFrame:
-    return word_counts(dt_words(seqs, max_distance, profile), "dist")
+    return _pairs(top_n_gram(seqs, 1, profile), max_distance) if profile is None else word_counts(dt_words(seqs, max_distance, profile), "dist")
+
+
+def dense_bow(seqs: DataFrame, sparse: DataFrame, max_distance: int, share: bool = False) -> DataFrame:
+    """seq_id, dist, word, n of dr_bow or dt_bow with a row for each letter, each pair at each distance and each row of seqs, 0
+    where there is none; with share, n is divided by the sequence's length. The ids of seqs must be unique."""
+    one = F.array(*[F.struct(F.lit(0).alias("dist"), F.lit(a).alias("word")) for a in PROTEIN])
+    two = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_distance)), lambda d: F.transform(F.array(*[F.lit(w) for w in universe(2, PROTEIN)]), lambda w: F.struct(d.alias("dist"), w.alias("word")))))
+    every = seqs.select("seq_id", F.length("seq").alias("_n"), F.explode(F.concat(one, two) if max_distance else one).alias("c")).select("seq_id", "_n", "c.dist", "c.word")
+    rows = every.join(sparse, ["seq_id", "dist", "word"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.withColumn("n", rounded(F.col("n") / F.greatest("_n", F.lit(1)), 8)).drop("_n") if share else rows.drop("_n")

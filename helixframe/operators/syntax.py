@@ -3,9 +3,12 @@ own arrays, without a shuffle. Results are long: seq_id, feature, value. Sequenc
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import tables as T
 from ..functions.exprs import kmers, letters, lookup, rounded
 
@@ -168,16 +171,33 @@ def pssm_dt(rows: DataFrame, lags: int = 4, digits: int = 6) -> DataFrame:
 
 
 def letter_pair_dt(seqs: DataFrame, lags: int = 4, digits: int = 6) -> DataFrame:
-    """pssm_dt() for the BLOSUM62 rows: a pair of rows depends on its two letters alone, so that letter pairs are counted first
-    and the 400 products are made once for each of these, not for each residue."""
-    from .words import dr_words, word_counts
-
-    pairs = word_counts(dr_words(seqs, lags).where("dist > 0"), "dist").select("seq_id", "dist", "n", F.substring("word", 1, 1).alias("a"), lookup(F.substring("word", 2, 1), T.BLOSUM62).alias("b"))
-    # one letter after the other: 20 sums for each first letter, then 20 for each of these
-    half = pairs.select("seq_id", "dist", "n", "a", F.posexplode("b").alias("j", "y")).groupBy("seq_id", "dist", "a", "j").agg(F.sum(F.col("n") * F.col("y")).alias("s"), F.sum("n").alias("n"))
-    rows = half.withColumn("x", lookup(F.col("a"), T.BLOSUM62)).select("seq_id", "dist", "j", "s", "n", F.posexplode("x").alias("i", "x"))
-    mean = F.sum(F.col("s") * F.col("x")) / F.sum("n")
-    return rows.groupBy("seq_id", F.col("dist").alias("lag"), "i", "j").agg(rounded(mean + 1e-9, digits).alias("value"))  # exact halves round up
+    """pssm_dt() for the BLOSUM62 rows: a pair of rows depends on its two letters alone, so that a sequence's 20 x 20 letter pairs
+    are counted where it stands and the counts multiplied by the matrix from both sides. Letters that the matrix doesn't have
+    are in no pair."""
+    letters_, size = "".join(T.BLOSUM62), len(T.BLOSUM62)
+    matrix = np.array([T.BLOSUM62[a] for a in letters_], float)
+    cells = np.arange(matrix.shape[1] ** 2)
+    i, j = np.divmod(cells, matrix.shape[1])
+
+    def made(column: pa.Array):
+        codes, at = A.letter_codes(column, letters_)
+        of = A.row_of(at)
+        row, lag, value = [], [], []
+        for d in range(1, lags + 1):
+            here = np.flatnonzero(of[d:] == of[:-d]) if len(of) > d else np.zeros(0, np.int64)
+            x, y = codes[here], codes[here + d]
+            counts = A.count_codes(of[here], np.where((x >= 0) & (y >= 0), x * size + y, -1), len(column), size * size)
+            some = np.flatnonzero(counts.any(1))
+            sums = matrix.T @ counts[some].reshape(-1, size, size) @ matrix
+            row.append(some)
+            lag.append(np.full(len(some), d, np.int32))
+            value.append(sums.reshape(len(some), len(cells)) / counts[some].sum(1)[:, None])
+        row, lag, value = np.concatenate(row), np.concatenate(lag), np.concatenate(value)
+        value = A.half_up(value + 1e-9, digits)  # exact halves round up
+        n = len(row)
+        return np.repeat(row, len(cells)), {"lag": pa.array(np.repeat(lag, len(cells))), "i": pa.array(np.tile(i, n).astype(np.int32)), "j": pa.array(np.tile(j, n).astype(np.int32)), "value": pa.array(value.ravel())}
+
+    return A.by_row(seqs, len(cells) * lags * 2, made, "lag int, i int, j int, value double")
 
 
 def ac_pssm(rows: DataFrame, lags: int, digits: int = 3) -> DataFrame:

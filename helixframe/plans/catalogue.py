@@ -338,8 +338,8 @@ query("ohe_dpc", _columns_sql("dna", _DPC, 2))(lambda s, d: _columns(residue.dpc
 query("ohe_tpc", _columns_sql("dna", _TPC, 3))(lambda s, d: _columns(residue.tpc(dna(s, d)), 2))
 query("ohe_pp", _columns_sql("protein", _PP, 1))(lambda s, d: _columns(residue.physical(protein(s, d)), 3))
 query("ohe_blast", _code_sql("dna", T.BLAST))(lambda s, d: _vec_text()(residue.blast_scores(dna(s, d))))
-query("ohe_pam250", _code_sql("protein", T.PAM250))(lambda s, d: _vec_text()(residue.matrix_rows(protein(s, d), T.PAM250)))
-query("ohe_blosum62", _code_sql("protein", T.BLOSUM62))(lambda s, d: _vec_text()(residue.matrix_rows(protein(s, d), T.BLOSUM62)))
+query("ohe_pam250", _columns_sql("protein", T.PAM250, 1))(lambda s, d: _columns(residue.matrix_rows(protein(s, d), T.PAM250), 20))
+query("ohe_blosum62", _columns_sql("protein", T.BLOSUM62, 1))(lambda s, d: _columns(residue.matrix_rows(protein(s, d), T.BLOSUM62), 20))
 
 
 @query(
