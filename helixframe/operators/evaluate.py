@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.lineage import stash
+from .scale import bounded, ranked, running
+
 
 def folds(rows: DataFrame, k: int, id_col: str = "id", label_col: str | None = "y") -> DataFrame:
-    """rows with a fold from 0 to k - 1, even within each class when a label is given. The order is that of the id's MD5."""
-    by = F.md5(F.col(id_col).cast("string"))
-    w = Window.partitionBy(*([label_col] if label_col else [])).orderBy(by, id_col)
-    return rows.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    """rows with a fold from 0 to k - 1, even within each class when a label is given. The order is that of the id's MD5. k of 0
+    leaves one row out at a time: each row is a fold of its own. No class is sorted in one task."""
+    rows = rows.withColumn("_md5", F.md5(F.col(id_col).cast("string")))
+    at = ranked(rows, [label_col] if label_col and k else [], ["_md5", id_col], "_place")
+    return at.withColumn("fold", (F.col("_place") % k if k else F.col("_place")).cast("int")).drop("_md5", "_place")
 
 
 def grid(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
@@ -31,6 +35,12 @@ def number_range(spec: list) -> list:
     return [float(a + i * step) if "." in str(step) + str(a) else int(a + i * step) for i in range(int((b - a) / step) + 1)]
 
 
+def top_auc(rows: DataFrame, by: str, n: int = 10) -> DataFrame:
+    """by, rows and AUC of the n best runs (groups of `by`) that have both classes, the first on a tie."""
+    both = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo < hi").select(by, "n")
+    return binary_metrics(rows, by).join(both, by).orderBy(F.desc("AUC"), by).limit(n).select(by, "n", F.col("AUC").alias("auc"))
+
+
 def pick(results: DataFrame, metric: str) -> DataFrame:
     """The row of the best metric, the first on a tie."""
     return results.orderBy(F.desc(metric), "idx").limit(1)
@@ -43,8 +53,7 @@ def binary_metrics(rows: DataFrame, *by: str) -> DataFrame:
     pos, said = F.col("y") == 1, F.col("p") == 1
     count = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
     per = rows.groupBy(*by, "score").agg(count(pos & said).alias("tp"), count(~pos & said).alias("fp"), count(pos & ~said).alias("fn"), count(~pos & ~said).alias("tn"))
-    w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.withColumn("neg", F.col("fp") + F.col("tn")).withColumn("below", F.sum("neg").over(w) - F.col("neg") / 2)
+    per = running(per.withColumn("neg", F.col("fp") + F.col("tn")), [F.asc("score")], {"upto": "neg"}, by).withColumn("below", F.col("upto") - F.col("neg") / 2)
     t = per.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")], F.sum((F.col("tp") + F.col("fn")) * F.col("below")).alias("u"))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
@@ -70,9 +79,8 @@ def accuracy(rows: DataFrame) -> DataFrame:
 def curve_points(rows: DataFrame) -> DataFrame:
     """score, tpr, fpr, precision at every threshold, from counts per score."""
     per = rows.groupBy("score").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("neg"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    up = per.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w)).join(F.broadcast(total))  # one row
+    up = running(per, [F.desc("score")], {"tp": "pos", "fp": "neg"}).join(F.broadcast(total))  # one row
     return up.select("score", F.round(F.col("tp") / F.col("P"), 6).alias("tpr"), F.round(F.col("fp") / F.col("N"), 6).alias("fpr"), F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"))
 
 
@@ -86,31 +94,24 @@ def mean_roc(points: DataFrame, grid_points: int = 100) -> DataFrame:
     return got.groupBy("g").agg(F.round(F.avg("tpr"), 6).alias("tpr")).select(F.round(F.col("g") / (grid_points - 1), 6).alias("fpr"), "tpr")
 
 
-def tomek_links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b: mutual nearest neighbours of different classes among candidate pairs (a < b, d). rows: id, y."""
-    both = pairs.select("a", "b", "d").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    nearest = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("n")).select("a", F.col("n.b").alias("b"))
-    mutual = nearest.alias("x").join(nearest.alias("y"), (F.col("x.b") == F.col("y.a")) & (F.col("y.b") == F.col("x.a"))).where("x.a < x.b").select("x.a", "x.b")
-    y = rows.select("id", "y")
-    return mutual.join(y.select(F.col("id").alias("a"), F.col("y").alias("ya")), "a").join(y.select(F.col("id").alias("b"), F.col("y").alias("yb")), "b").where("ya <> yb").select("a", "b")
-
-
 #: Rows of a block; nearest() compares all rows block by block, so that no task holds more than two blocks.
 BLOCK = 2048
 
 
-def nearest(rows: DataFrame, k: int = 1) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 1, within: str | None = None) -> DataFrame:
     """id, other, d: the k nearest other rows of each row by Euclidean distance (rounded to nine decimals; the lower id on a tie),
-    exactly. rows: id (unique numbers), x (arrays of one length). Every block of rows meets every block, so the work is quadratic;
-    only k rows of each row leave a task."""
+    exactly, among all rows or those with the same value of `within`. rows: id (unique numbers), x (arrays of one length). Every
+    block of rows meets every block, so the work is quadratic; only k rows of each row leave a task."""
     import numpy as np
     import pandas as pd
 
-    blocks = max(1, -(-rows.count() // BLOCK))
-    dealt = rows.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt.select("id", "x", F.col("own").alias("i"), other.alias("j"))
-    right = dealt.select(F.col("id").alias("other"), F.col("x").alias("z"), F.col("own").alias("j"), other.alias("i"))
+    kind = [] if within is None else ["_w"]
+    rows = rows.select("id", "x", *([F.col(within).alias("_w")] if kind else []))
+    sizes = stash(rows.groupBy(*kind).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_b")), "class_sizes") if kind else None
+    dealt = rows.join(bounded(sizes), "_w") if kind else rows.withColumn("_b", F.lit(max(1, -(-rows.count() // BLOCK))))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("_b")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    left = dealt.select(*kind, "id", "x", F.col("own").alias("i"), F.col("to").alias("j"))
+    right = dealt.select(*[F.col(c).alias("_v") for c in kind], F.col("id").alias("other"), F.col("x").alias("z"), F.col("own").alias("j"), F.col("to").alias("i"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -131,18 +132,59 @@ def nearest(rows: DataFrame, k: int = 1) -> DataFrame:
                 out.append(pd.DataFrame({"id": np.repeat(mine, ok.sum(1)), "other": ids[at][ok], "d": found[ok]}))
         return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "d": []})
 
-    kind = rows.schema["id"].dataType.simpleString()
-    some = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"id {kind}, other {kind}, d double")
-    some = some.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("n"))
+    number = rows.schema["id"].dataType.simpleString()
+    some = left.groupBy(*kind, "i", "j").cogroup(right.groupBy(*["_v" for _ in kind], "i", "j")).applyInPandas(best, f"id {number}, other {number}, d double")
+    some = some.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("n"))  # k rows of each block
     return some.select("id", F.explode("n").alias("n")).select("id", "n.other", "n.d")
 
 
-def smote(rows: DataFrame, k: int = 5, times: int = 1) -> DataFrame:
-    """id, x: new rows between a row of the small class and each of its k nearest neighbours in that class, at a place that a hash
-    decides. rows: id, x, y. The small class has the fewest rows, the lowest y on a tie."""
-    small = rows.groupBy("y").count().orderBy("count", "y").limit(1).select("y")
-    rows = rows.join(F.broadcast(small), "y", "left_semi")  # one row
-    pair = nearest(rows, k).join(rows.select("id", "x"), "id").join(rows.select(F.col("id").alias("other"), F.col("x").alias("z")), "other")
-    pair = pair.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    part = F.pmod(F.xxhash64("id", "other", "t"), F.lit(10_000)) / 10_000.0
-    return pair.withColumn("part", part).select(F.concat_ws("~", "id", "other", "t").alias("id"), F.zip_with("x", "z", lambda a, b: a + (b - a) * F.col("part")).alias("x"))
+def tomek_links(rows: DataFrame) -> DataFrame:
+    """a, b (a < b): rows of different classes that are each other's nearest. rows: id, x, y."""
+    near = stash(nearest(rows, 1).select(F.col("id").alias("a"), F.col("other").alias("b")), "nearest")
+    mutual = near.join(near.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).where("a < b")
+    y = rows.select("id", "y")
+    both = mutual.join(y.select(F.col("id").alias("a"), F.col("y").alias("ya")), "a").join(y.select(F.col("id").alias("b"), F.col("y").alias("yb")), "b")
+    return both.where("ya <> yb").select("a", "b")
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    """y, n and most, the size of the largest class."""
+    sizes = stash(rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")), "class_sizes")
+    return sizes.join(F.broadcast(sizes.agg(F.max("n").alias("most"))))  # one row
+
+
+def smote(rows: DataFrame, k: int = 5) -> DataFrame:
+    """id (row~neighbour~number), y, x: made-up rows that bring every class up to the size of the largest. Rows of a class take turns
+    in the order of their ids' MD5, each with its nearest neighbour of the class first, then the next up to the k-th; the new row
+    lies between the two, where the MD5 of its id says. rows: id (unique numbers), x, y. A class of one row has no neighbours
+    and stays as it is; an empty table gives no rows."""
+    order = ranked(rows.select("id", "y", F.md5(F.col("id").cast("string")).alias("_md5")), ["y"], ["_md5", "id"], "r")
+    wanted = order.join(bounded(stash(_sizes(rows), "classes")), "y").withColumn("missing", F.col("most") - F.col("n")).where("r < missing and n > 1")
+    turns = wanted.withColumn("t", F.explode(F.sequence("r", F.col("missing") - 1, F.col("n"))))
+    turns = turns.select("id", "y", "t", (F.floor(F.col("t") / F.col("n")) % F.least(F.lit(k), F.col("n") - 1) + 1).cast("int").alias("slot"))
+    near = nearest(rows, k, "y").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "other"))), lambda v: v["other"]).alias("near"))
+    pair = turns.join(near, "id").withColumn("other", F.element_at("near", F.col("slot")))
+    pair = pair.join(rows.select("id", "x"), "id").join(rows.select(F.col("id").alias("other"), F.col("x").alias("z")), "other")
+    name = F.concat_ws("~", "id", "other", "t")
+    part = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / 2.0**32
+    pair = pair.select(name.alias("id"), "y", "x", "z", part.alias("part"))
+    return pair.select("id", "y", F.zip_with("x", "z", lambda a, b: a + (b - a) * F.col("part")).alias("x"))
+
+
+def balanced(rows: DataFrame, how: str, k: int = 5) -> DataFrame:
+    """id (text), x, y of training rows after sampling: 'over' adds smote()'s rows, 'under' takes away the rows of the larger classes
+    that are in a Tomek link, 'combine' adds rows and then takes away both ends of every link. rows: id (unique numbers), x, y."""
+    if how not in ("over", "under", "combine"):
+        raise ValueError("sampling is 'over', 'under' or 'combine'")
+    plain = rows.select("id", "x", "y")
+    if how == "under":
+        links = tomek_links(plain)
+        smallest = _sizes(plain).orderBy("n", "y").limit(1).select("y")
+        ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(plain.select("id", "y"), "id").join(F.broadcast(smallest), "y", "left_anti")
+        return plain.join(ends.select("id"), "id", "left_anti").select(F.col("id").cast("string").alias("id"), "x", "y")
+    more = plain.select(F.col("id").cast("string").alias("id"), "x", "y").unionByName(smote(plain, k).select("id", "x", "y"))
+    if how == "over":
+        return more
+    numbered = stash(more.withColumn("n", F.monotonically_increasing_id()), "sampled")
+    links = tomek_links(numbered.select(F.col("n").alias("id"), "x", "y"))
+    return numbered.join(links.select(F.explode(F.array("a", "b")).alias("n")).distinct(), "n", "left_anti").select("id", "x", "y")

@@ -612,10 +612,18 @@ query(
     "fa_select",
     ORACLES["fa_fvalue"].replace("SELECT feature, round", "SELECT feature, score, (row_number() OVER (ORDER BY score DESC, feature))::INT AS rank FROM (SELECT feature, round") + ") QUALIFY row_number() OVER (ORDER BY score DESC, feature) <= 10",
 )(lambda s, d: analysis.select_best(analysis.f_value(analysis.to_long(_wide(s, d)), _classes(s, d)).withColumn("score", F.round("score", 6)), 10))
-query("fa_dbscan_core", _with("vectors", "v AS (SELECT vec_id AS id, x FROM vectors)") + "SELECT a.id, count(*) AS n, count(*) >= 3 AS core FROM v a, v b WHERE list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) <= 1.2 * 1.2 GROUP BY a.id")(lambda s, d: analysis.core_points(_wide(s, d), 1.2, 3))
+_NEAR = "n AS MATERIALIZED (SELECT a.vec_id AS id, b.vec_id AS o FROM vectors a, vectors b WHERE list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) <= 1.2 * 1.2)"
+_CORE = "c AS MATERIALIZED (SELECT id, count(*) AS n, count(*) >= 3 AS core FROM n GROUP BY id)"
+query(
+    "fa_dbscan",
+    _with("vectors", _NEAR, _CORE, "e AS MATERIALIZED (SELECT n.id, n.o FROM n JOIN c x ON x.id = n.id AND x.core JOIN c y ON y.id = n.o AND y.core)", "r AS (SELECT id, id AS m FROM c WHERE core UNION SELECT e.id, r.m FROM r JOIN e ON e.o = r.id AND r.m < e.id)", "k AS (SELECT id, min(m) AS m FROM r GROUP BY id)", "g AS MATERIALIZED (SELECT id, dense_rank() OVER (ORDER BY m) - 1 AS cluster FROM k)")
+    + "SELECT c.id, c.n, c.core, coalesce(CASE WHEN c.core THEN (SELECT g.cluster FROM g WHERE g.id = c.id) ELSE (SELECT min(g.cluster) FROM n JOIN g ON g.id = n.o WHERE n.id = c.id) END, -1)::BIGINT AS cluster FROM c",
+)(lambda s, d: analysis.dbscan(_wide(s, d), 1.2, 3, scale=False))
 query("fa_kmeans")(lambda s, d: analysis.k_means(_wide(s, d), 4))
 query("fa_gmm")(lambda s, d: analysis.gaussian_mixture(analysis.pca(_wide(s, d), 4).withColumnRenamed("z", "x"), 3))
-query("fa_agnes")(lambda s, d: analysis.bisecting(_wide(s, d), 4))
+query("fa_agnes")(lambda s, d: analysis.agnes(_wide(s, d), 4))
+query("fa_bisecting")(lambda s, d: analysis.bisecting(_wide(s, d), 4))
+query("fa_ap")(lambda s, d: analysis.affinity_propagation(_wide(s, d)))
 query("fa_pca")(lambda s, d: analysis.pca(_wide(s, d), 4))
 query("fa_tsvd")(lambda s, d: analysis.truncated_svd(_wide(s, d), 4))
 query("fa_kernel_pca")(lambda s, d: analysis.pca(learn.fourier_features(_wide(s, d), 1 / 64), 4))
@@ -651,26 +659,40 @@ def _grid(s):
 
 query("grid_product", "SELECT ((k - 1) * 6 + j * 2 + m)::BIGINT AS idx, k::VARCHAR AS k, ['0.2', '0.4', '0.6'][j + 1] AS delta, ['rbf', 'linear'][m + 1] AS kernel FROM range(1, 4) a(k), range(3) b(j), range(2) c(m)")(lambda s, d: _grid(s))
 query("grid_pick", "SELECT i AS idx, (i * 7 % 5)::BIGINT AS metric FROM range(18) t(i) ORDER BY metric DESC, idx LIMIT 1")(lambda s, d: evaluate.pick(_grid(s).select("idx", (F.col("idx") * 7 % 5).alias("metric")), "metric"))
-query("top10_auc", "SELECT user_id, count(*) AS n, round(avg(value), 4) AS auc FROM events GROUP BY user_id ORDER BY auc DESC, user_id LIMIT 10")(lambda s, d: adapters.table(s, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("auc")).orderBy(F.desc("auc"), "user_id").limit(10))
-
-
-def _candidate_pairs(s, d):
-    """Pairs of vectors whose first coordinates stand in the same or in neighbouring cells."""
-    rows = vectors(s, d).select("vec_id", "x", F.floor(F.col("x")[0] * 50).alias("c"))
-    b = rows.select(F.col("vec_id").alias("b"), F.col("x").alias("z"), F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("c"))
-    pair = rows.select(F.col("vec_id").alias("a"), "x", "c").join(b, "c").where("a <> b")
-    dist = F.sqrt(F.aggregate(F.zip_with("x", "z", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda t, v: t + v))
-    return pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round(dist, 9).alias("d")).distinct()
+query(
+    "top10_auc",
+    "WITH e AS (SELECT user_id, CASE WHEN event_type = 'click' THEN 1 ELSE -1 END AS y, round(value, 2) AS score FROM events), u AS (SELECT a.user_id, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS auc FROM e a JOIN e b ON a.user_id = b.user_id AND a.y = 1 AND b.y = -1 GROUP BY a.user_id)"
+    " SELECT user_id, (SELECT count(*) FROM e WHERE e.user_id = u.user_id) AS n, round(auc, 4) AS auc FROM u ORDER BY round(auc, 4) DESC, user_id LIMIT 10",
+)(lambda s, d: evaluate.top_auc(adapters.table(s, d, "events").select("user_id", F.when(F.col("event_type") == "click", 1).otherwise(-1).alias("y"), F.lit(1).alias("p"), F.round("value", 2).alias("score")), "user_id"))
 
 
+_DISTANCE = "round(sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9)"
 query(
     "tomek_links",
-    _with("vectors", "v AS (SELECT vec_id, x, label, floor(x[1] * 50) AS c FROM vectors)", "p AS MATERIALIZED (SELECT DISTINCT least(a.vec_id, b.vec_id) AS a, greatest(a.vec_id, b.vec_id) AS b, round(sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS d FROM v a JOIN v b ON b.c BETWEEN a.c - 1 AND a.c + 1 AND a.vec_id <> b.vec_id)", "q AS (SELECT a, b, d FROM p UNION ALL SELECT b, a, d FROM p)", "n AS MATERIALIZED (SELECT a, first(b ORDER BY d, b) AS b FROM q GROUP BY a)")
-    + "SELECT x.a, x.b FROM n x JOIN n y ON x.b = y.a AND y.b = x.a JOIN v s ON s.vec_id = x.a JOIN v t ON t.vec_id = x.b WHERE x.a < x.b AND s.label <> t.label",
-)(lambda s, d: evaluate.tomek_links(_classes(s, d), _candidate_pairs(s, d)))
+    _with("vectors", f"n AS MATERIALIZED (SELECT a.vec_id AS a, first(b.vec_id ORDER BY {_DISTANCE}, b.vec_id) AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id GROUP BY a.vec_id)")
+    + "SELECT x.a, x.b FROM n x JOIN n y ON x.b = y.a AND y.b = x.a JOIN vectors s ON s.vec_id = x.a JOIN vectors t ON t.vec_id = x.b WHERE x.a < x.b AND s.label <> t.label",
+)(lambda s, d: evaluate.tomek_links(_rows(s, d)))
+
 
+def _rows(s, d):
+    return vectors(s, d).select(F.col("vec_id").alias("id"), "x", F.col("label").alias("y"))
 
-query("smote")(lambda s, d: evaluate.smote(vectors(s, d).select(F.col("vec_id").alias("id"), "x", F.col("label").alias("y"))))
+
+@query(
+    "smote",
+    _with(
+        "vectors",
+        f"m AS MATERIALIZED (SELECT a.vec_id AS id, b.vec_id AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DISTANCE}, b.vec_id) AS slot FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id QUALIFY slot <= 5)",
+        "c AS (SELECT label, count(*) AS n, max(count(*)) OVER () AS most FROM vectors GROUP BY label)",
+        "o AS (SELECT vec_id AS id, label, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS r FROM vectors)",
+        "t AS (SELECT label, n, unnest(range(most - n)) AS t FROM c WHERE n > 1)",
+        "p AS (SELECT o.id, m.other, label, t.t, o.id || '~' || m.other || '~' || t.t AS name FROM t JOIN o USING (label) JOIN m ON m.id = o.id AND m.slot = (t.t // t.n) % least(5, t.n - 1) + 1 WHERE o.r = t.t % t.n)",
+        "q AS (SELECT name, p.label, a.x AS x, b.x AS z, ('0x' || substr(md5(name), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS part FROM p JOIN vectors a ON a.vec_id = p.id JOIN vectors b ON b.vec_id = p.other)",
+    )
+    + "SELECT name AS id, label AS y, i::INT AS feature, round(x[i + 1] + (z[i + 1] - x[i + 1]) * part, 6) + 0.0 AS value FROM q, range(64) f(i)",
+)
+def q_smote(s, d):
+    return evaluate.smote(_rows(s, d)).select("id", "y", F.posexplode("x").alias("feature", "value")).withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
 # ---- learners ----------------------------------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Hand-computed sequences for the operators' finer points, and invariants."""
 
+import collections
 import math
 
 import numpy as np
@@ -230,21 +231,86 @@ def test_nearest_neighbours_are_exact(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "BLOCK", 20)
     got = {(r.id, r.other) for r in evaluate.nearest(rows, 3).collect()}
     assert got == {(i, int(j)) for i in range(90) for j in np.argsort(d[i], kind="stable")[:3]}
-    pairs = evaluate.nearest(rows).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "d").distinct()
     one = d.argmin(1)
     want = {(i, int(one[i])) for i in range(90) if one[one[i]] == i and i < one[i] and y[i] != y[one[i]]}
-    assert want and {(r.a, r.b) for r in evaluate.tomek_links(rows, pairs).collect()} == want
+    assert want and {(r.a, r.b) for r in evaluate.tomek_links(rows).collect()} == want
 
 
-def test_smote_stays_in_the_small_class(spark):
-    from helixframe.plans.catalogue import QUERIES
-
-    d = "/root/testdata/sf0.001"
-    t = spark.read.parquet(f"{d}/embeddings.parquet").toPandas().sort_values("vec_id")
-    label = t.label.value_counts().sort_index().idxmin()
-    t = t[t.label == label]
-    x, ids = np.stack(t.embedding.to_numpy()).astype(float), t.vec_id.to_numpy()
-    e = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
-    np.fill_diagonal(e, np.inf)
-    want = {f"{i}~{ids[j]}~1" for i, row in zip(ids, e) for j in np.argsort(row, kind="stable")[:5]}
-    assert {r.id for r in QUERIES["smote"](spark, d).collect()} == want
+def test_smote_fills_every_class(spark):
+    rng = np.random.default_rng(2)
+    y = np.array([0] * 40 + [1] * 9 + [2] * 4 + [3])
+    x = rng.normal(size=(len(y), 3)) + y[:, None]
+    rows = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id long, x array<double>, y int")
+    got = evaluate.smote(rows).collect()
+    assert collections.Counter(r.y for r in got) == {1: 31, 2: 36} and len({r.id for r in got}) == len(got)
+    for r in got:
+        a, b, _ = map(int, r.id.split("~"))
+        assert y[a] == y[b] == r.y and a != b
+        d = np.linalg.norm(x - x[a], axis=1)
+        assert b in [j for j in np.argsort(d) if y[j] == r.y and j != a][:5]
+        t = (np.array(r.x) - x[a]) / (x[b] - x[a])
+        assert t == pytest.approx(np.full(3, t[0])) and 0 <= t[0] <= 1
+    over = evaluate.balanced(rows, "over").collect()
+    assert collections.Counter(r.y for r in over) == {0: 40, 1: 40, 2: 40, 3: 1}
+    under = {r.id for r in evaluate.balanced(rows, "under").collect()}
+    links = evaluate.tomek_links(rows).collect()
+    assert under == {str(i) for i in range(len(y))} - {str(i) for l in links for i in (l.a, l.b) if y[i] != 3}
+    assert evaluate.balanced(rows, "combine").count() <= len(over)
+    assert evaluate.smote(rows.limit(0)).count() == 0
+
+
+def test_dbscan_equals_a_plain_one(spark, monkeypatch):
+    monkeypatch.setattr(analysis, "BLOCK", 25)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(40, 2)) * 0.25, rng.normal(size=(30, 2)) * 0.2 + 2, rng.uniform(-4, 6, (30, 2))])
+    x = x[rng.permutation(len(x))]
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= 0.25
+    core = near.sum(1) >= 5
+    want, label = np.full(len(x), -1), 0
+    for i in range(len(x)):  # as published: grow each cluster from its first core row
+        if core[i] and want[i] < 0:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if want[j] < 0:
+                    want[j] = label
+                    todo += [k for k in np.flatnonzero(near[j]) if want[k] < 0] if core[j] else []
+            label += 1
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    got = {r.id: (r.n, r.core, r.cluster) for r in analysis.dbscan(rows, 0.5, 5, scale=False).collect()}
+    assert got == {i: (int(near[i].sum()), bool(core[i]), int(want[i])) for i in range(len(x))} and label > 1
+    z = (x - x.mean(0)) / x.std(0)
+    scaled = {r.id: r.n for r in analysis.dbscan(rows, 0.5, 5).collect()}
+    assert scaled == {i: int((((z - z[i]) ** 2).sum(1) <= 0.25).sum()) for i in range(len(x))}
+
+
+def plain_ward(x, k):
+    """Ward's agglomeration over all pairs, one merge after the other."""
+    clusters = [[i] for i in range(len(x))]
+    while len(clusters) > k:
+        best = min((2 * len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum(), i, j) for i, a in enumerate(clusters) for j, b in enumerate(clusters[:i]))
+        clusters[best[2]] += clusters.pop(best[1])
+    return {frozenset(c) for c in clusters}
+
+
+def test_agnes_equals_ward(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(12, 3)) + 6 * np.eye(3)[i] for i in range(3)])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    for k in (2, 3, 6):
+        got = {}
+        for r in analysis.agnes(rows, k, neighbours=len(x) - 1).collect():  # the whole graph: plain Ward
+            got.setdefault(r.cluster, set()).add(r.id)
+        assert {frozenset(c) for c in got.values()} == plain_ward(x, k)
+    apart = spark.createDataFrame([(i, [float(i // 3 * 100), float(i % 3)]) for i in range(9)], "id long, x array<double>")
+    assert len({r.cluster for r in analysis.agnes(apart, 2, neighbours=2).collect()}) == 3
+    assert analysis.agnes(rows.limit(1), 2).first().cluster is not None
+
+
+def test_affinity_propagation_groups_like_columns(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(200, 3)) * 3
+    x = np.concatenate([base[:, [i]] + rng.normal(size=(200, 4)) * 0.1 for i in range(3)], 1)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    got = {r.feature: r.exemplar for r in analysis.affinity_propagation(rows).collect()}
+    assert len(set(got.values())) == 3 and all(len({got[4 * i + j] for j in range(4)}) == 1 for i in range(3))
