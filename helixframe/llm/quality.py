@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, slices, stash, text_bytes, token_hashes
+from .common import WORD_BYTES, give_back, slices, stash, text_bytes, token_hashes
 
 #: The fit is made on at most so many labelled documents, those with the lowest hashes of their ids. The documents without label
 #: that the views teach each other with are the surest of all there are, so many a round from each view.
@@ -140,21 +140,26 @@ class CoTrained:
         return _sigmoid(a + b - self.prior), _sigmoid(a), _sigmoid(b)
 
 
-#: picks the surest rows for a class: (name of the view that is sure, that view, class, how many) -> text rows, metadata rows
-Pick = Callable[[str, "View", int, int], tuple[np.ndarray, np.ndarray]]
+#: What a round asks for: (name of the view that is sure, class, how many rows).
+Wish = tuple[str, int, int]
+#: Picks the surest rows without label for each wish, by the views as they are: text rows and metadata rows. A view gives a row once.
+Pick = Callable[[dict[str, "View"], list[Wish]], list[tuple[np.ndarray, np.ndarray]]]
 
 
 def pool(ut: np.ndarray, um: np.ndarray) -> Pick:
-    """Picks from rows in memory; a view gives a row once."""
+    """Picks from rows in memory."""
     given = {"text": np.zeros(len(ut), bool), "meta": np.zeros(len(ut), bool)}
     views = {"text": ut, "meta": um}
 
-    def pick(name: str, view: View, label: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        odds = view.raw(views[name]) * (1 if label else -1)
-        free = np.flatnonzero(~given[name])
-        best = free[np.argsort(-odds[free], kind="stable")][:n]
-        given[name][best] = True
-        return ut[best], um[best]
+    def pick(fitted: dict[str, View], wishes: list[Wish]) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for name, label, n in wishes:
+            odds = fitted[name].raw(views[name]) * (1 if label else -1)
+            free = np.flatnonzero(~given[name])
+            best = free[np.argsort(-odds[free], kind="stable")][:n]
+            given[name][best] = True
+            out.append((ut[best], um[best]))
+        return out
 
     return pick
 
@@ -185,11 +190,11 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, pi
         alone = alone or fitted["text"]
         if r == rounds:
             break
-        for k, (name, other) in enumerate((("text", "meta"), ("meta", "text"))):
-            for label, part in ((1, base), (0, 1 - base)):
-                ut, um = pick(name, fitted[name], label, max(1, round(exchanged * part)))
-                if len(ut):
-                    got[other].append(((um, ut)[k], _sigmoid(fitted[name].odds((ut, um)[k]))))
+        wishes = [(name, label, max(1, round(exchanged * part))) for name in ("text", "meta") for label, part in ((1, base), (0, 1 - base))]
+        for (name, _, _), (ut, um) in zip(wishes, pick(fitted, wishes)):
+            mine, theirs, other = (ut, um, "meta") if name == "text" else (um, ut, "text")
+            if len(mine):
+                got[other].append((theirs, _sigmoid(fitted[name].odds(mine))))
     model.text, model.meta = fitted["text"], fitted["meta"]
     some = test if len(set(y[test])) == 2 else hold
     p = [*model.scores(xt[some], xm[some]), _sigmoid(alone.odds(xt[some]))]
@@ -231,36 +236,58 @@ STEPS = 64
 
 
 def _distributed(features: DataFrame) -> Pick:
-    """Picks from a table (row, f) of any size: its rows' odds are counted in bins, which say how high a row must be; only rows
-    above that, and as many from the last bin as are missing, come to the driver."""
-    given: dict[str, DataFrame | None] = {"text": None, "meta": None}
-    scored: dict[str, tuple[View, DataFrame]] = {}
+    """Picks from a table (row, f) of any size. All rows' odds are written as numbers of bins and the bins counted, which says how
+    sure a row must be; only rows above that, and some of the last bin by a hash, come to the driver."""
+    given: dict[str, set[int]] = {"text": set(), "meta": set()}  # rounds * EXCHANGED rows at most
+
+    def pick(fitted: dict[str, View], wishes: list[Wish]) -> list[tuple[np.ndarray, np.ndarray]]:
+        views = [fitted["text"], fitted["meta"]]
 
-    def pick(name: str, view: View, label: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                odds = view.raw(_unpack(b.column("f"))[0 if name == "text" else 1])
-                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.clip(np.floor(odds * STEPS), -100 * STEPS, 100 * STEPS).astype(np.int32))], names=["row", "bin"])
-
-        if name not in scored or scored[name][0] is not view:
-            scored[name] = view, stash(features.select("row", "f").mapInArrow(run, "row long, bin int"), "odds")
-        rows = scored[name][1].select("row", F.xxhash64("row", F.lit("tie")).alias("tie"), F.col("bin") if label else (-F.col("bin")).alias("bin"))
-        if given[name] is not None:
-            rows = rows.join(F.broadcast(given[name]), "row", "left_anti")  # rounds * EXCHANGED rows at most
-        left, taken = n, []
-        for r in sorted(rows.groupBy("bin").count().collect(), key=lambda r: -r["bin"]):  # 200 * STEPS bins at most
-            taken.append((r["bin"], min(left, r["count"]), r["count"]))
-            left -= min(left, r["count"])
-            if not left:
-                break
-        if not taken:
-            return np.zeros((0, TEXT_DIM)), np.zeros((0, META_DIM))
-        edge, few, _ = taken[-1]
-        best = rows.where(F.col("bin") > edge).select("row").unionByName(_lowest(rows.where(F.col("bin") == edge), "tie", few).select("row"))
-        best = stash(best, "surest")
-        given[name] = best if given[name] is None else given[name].unionByName(best)
-        found = features.join(F.broadcast(best), "row", "left_semi").select("row", "f").toArrow().sort_by("row")  # n rows
-        return _unpack(found.column("f"))
+                for lo in range(0, b.num_rows, 1000):
+                    part = b.slice(lo, 1000)
+                    bins = [np.clip(np.floor(v.raw(x) * STEPS), -100 * STEPS, 100 * STEPS).astype(np.int32) for v, x in zip(views, _unpack(part.column("f")))]
+                    yield pa.RecordBatch.from_arrays([part.column("row"), *map(pa.array, bins)], names=["row", "text", "meta"])
+            give_back()
+
+        odds = stash(features.select("row", "f").mapInArrow(run, "row long, text int, meta int"), "odds")
+        free = {name: ~F.col("row").isin(list(rows)) if rows else F.lit(True) for name, rows in given.items()}
+        both = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.when(free[name], F.col(name)).alias("bin")) for name in given])).alias("b")
+        counts: dict[str, dict[int, int]] = {name: {} for name in given}
+        for r in odds.select(both).where("b.bin is not null").groupBy("b.name", "b.bin").count().collect():  # 400 * STEPS bins at most
+            counts[r["name"]][r["bin"]] = r["count"]
+        edges = []  # the last bin that a wish reaches, and how many rows it takes from there
+        for name, label, n in wishes:
+            edge, few = None, n
+            for k in sorted(counts[name], reverse=bool(label)):
+                edge = k
+                if few <= counts[name][k]:
+                    break
+                few -= counts[name][k]
+            edges.append((edge, few))
+        tie = F.xxhash64("row", F.lit("tie"))
+        taken = []
+        for i, ((name, label, _), (edge, few)) in enumerate(zip(wishes, edges)):
+            if edge is not None:
+                share = min(1.0, (2 * few + 100) / counts[name][edge])  # of the last bin, those of the lowest hashes
+                last = (F.col(name) == edge) & (tie <= F.lit(min(int(-(2**63) + 2**64 * share), 2**63 - 1)))
+                beyond = F.col(name) > edge if label else F.col(name) < edge
+                taken.append(F.when(free[name] & (beyond | last), F.struct(F.lit(i).alias("i"), "row", last.alias("last"), tie.alias("tie"))))
+        some = odds.select(F.explode(F.array_compact(F.array(*taken))).alias("t")).select("t.*").collect() if taken else []
+        chosen: list[list[int]] = [[] for _ in wishes]
+        for i, (name, _, n) in enumerate(wishes):
+            for r in sorted((r for r in some if r.i == i), key=lambda r: (r["last"], r.tie)):
+                if len(chosen[i]) < n and r.row not in given[name]:
+                    given[name].add(r.row)
+                    chosen[i].append(r.row)
+        wanted = sorted({row for rows in chosen for row in rows})
+        if not wanted:
+            return [(np.zeros((0, TEXT_DIM)), np.zeros((0, META_DIM))) for _ in wishes]
+        found = features.where(F.col("row").isin(wanted)).select("row", "f").toArrow().sort_by("row")
+        xt, xm = _unpack(found.column("f"))
+        at = [np.searchsorted(found.column("row").to_numpy(), rows) for rows in chosen]
+        return [(xt[k], xm[k]) for k in at]
 
     return pick
 

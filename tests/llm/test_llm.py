@@ -735,16 +735,18 @@ def test_distributed_picks_equal_those_in_memory(spark):
     w[:3] = 1, -2, 0.5
     text = quality.View(w)
     wide = f.astype(float)
-    odds = np.floor(text.raw(wide[:, : quality.TEXT_DIM]) * quality.STEPS)
-    first, more = (pick("text", text, 1, 50)[0] for _ in range(2))
-    got = np.floor(text.raw(np.concatenate([first, more])) * quality.STEPS)
-    assert sorted(got) == sorted(np.sort(odds)[-100:]) and len(first) == 50 and got[:50].min() >= got[50:].max()
-    low = pick("text", text, 0, 30)[0]
-    assert sorted(np.floor(text.raw(low) * quality.STEPS)) == sorted(np.sort(odds)[:30])
     wm = np.zeros(quality.META_DIM + 1)
     wm[0] = 1.0
-    meta = quality.View(wm)
-    assert len(pick("meta", meta, 1, 20)[1]) == 20 and len(pick("meta", meta, 1, 2000)[1]) == n - 20 and len(pick("meta", meta, 1, 5)[1]) == 0
+    views = {"text": text, "meta": quality.View(wm)}
+    odds = np.floor(text.raw(wide[:, : quality.TEXT_DIM]) * quality.STEPS)
+    bins = lambda x: np.floor(text.raw(x) * quality.STEPS)
+    (first, _), (low, _), (_, tied) = pick(views, [("text", 1, 50), ("text", 0, 30), ("meta", 1, 20)])
+    more = pick(views, [("text", 1, 50)])[0][0]
+    got = bins(np.concatenate([first, more]))
+    assert sorted(got) == sorted(np.sort(odds)[-100:]) and len(first) == 50 and got[:50].min() >= got[50:].max()
+    assert sorted(bins(low)) == sorted(np.sort(odds)[:30])
+    assert len(tied) == 20 and (tied[:, 0] == 2).all()  # a third of all rows are as sure
+    assert len(pick(views, [("meta", 1, 2000)])[0][1]) == n - 20 and len(pick(views, [("meta", 1, 5)])[0][1]) == 0
 
 
 # ---- 10: near duplicates -------------------------------------------------------------------------------------------------------------
