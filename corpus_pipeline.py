@@ -32,7 +32,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     members = stash(members.select("g", "r", "i"), "members")
     stays = members.groupBy("g").agg(F.min(F.struct(F.col("i").isNull(), "i", "r")).getField("r").alias("stays"))
     name = unused(rows, "_gone")
-    gone = stash(members.join(stays, "g").where("r <> stays").select(F.col("r").alias(name)), "copies")
+    gone = stash(members.join(bounded(stash(stays, "stays")), "g").where("r <> stays").select(F.col("r").alias(name)), "copies")
     return rows.join(bounded(gone), F.col(row) == F.col(name), "left_anti").select(*docs.columns)
 
 
