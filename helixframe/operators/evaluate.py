@@ -84,6 +84,14 @@ def curve_points(rows: DataFrame) -> DataFrame:
     return up.select("score", F.round(F.col("tp") / F.col("P"), 6).alias("tpr"), F.round(F.col("fp") / F.col("N"), 6).alias("fpr"), F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"))
 
 
+def fold_curves(rows: DataFrame) -> DataFrame:
+    """fold, score, tpr, fpr at every threshold of each fold."""
+    per = rows.groupBy("fold", "score").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("neg"))
+    total = per.groupBy("fold").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))  # a row per fold
+    up = running(per, [F.desc("score")], {"tp": "pos", "fp": "neg"}, ("fold",)).join(F.broadcast(total), "fold")
+    return up.select("fold", "score", F.round(F.col("tp") / F.col("P"), 6).alias("tpr"), F.round(F.col("fp") / F.col("N"), 6).alias("fpr"))
+
+
 def mean_roc(points: DataFrame, grid_points: int = 100) -> DataFrame:
     """fpr, tpr: per-fold curves (fold, fpr, tpr) as steps on an even grid, averaged over folds."""
     at = F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("g")

@@ -166,7 +166,8 @@ def plsa(counts: DataFrame, k: int, rounds: int = 10) -> DataFrame:
     """seq_id, topic, p: probabilistic latent semantic analysis by EM on the sparse counts (seq_id, word, n), with a start that
     hashes decide. Topic-word shares are a vocabulary's size; everything else stays in tables of the counts' size."""
     topic = F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("topic")
-    start = lambda *c: (F.pmod(F.xxhash64(*c, "topic"), F.lit(1000)) + 1) / 1000.0
+    drawn = lambda c: F.conv(F.substring(F.md5(F.concat_ws(":", F.col(c).cast("string"), F.col("topic").cast("string"))), 1, 8), 16, 10).cast("long")
+    start = lambda c: (F.pmod(drawn(c), F.lit(1000)) + 1) / 1000.0
     theta = counts.select("seq_id").distinct().select("seq_id", topic).withColumn("t", start("seq_id"))
     theta = theta.withColumn("t", F.col("t") / F.lit(float(k)))
     phi = counts.select("word").distinct().select("word", topic).withColumn("f", start("word"))

@@ -112,8 +112,8 @@ def secondary_structure(structures: DataFrame) -> DataFrame:
 
 
 def tool_values(rows: DataFrame, column: str) -> DataFrame:
-    """A supplied value per residue (solvent accessibility, conservation); null and NaN count as 0."""
-    return rows.select("seq_id", "pos", F.array(F.coalesce(F.nanvl(F.col(column).cast("double"), F.lit(0.0)), F.lit(0.0))).alias("vec"))
+    """A supplied value per residue (solvent accessibility, conservation); null, NaN and what is no number count as 0."""
+    return rows.select("seq_id", "pos", F.array(F.coalesce(F.nanvl(F.col(column).try_cast("double"), F.lit(0.0)), F.lit(0.0))).alias("vec"))
 
 
 def sliding(rows: DataFrame, win: int) -> DataFrame:

@@ -158,16 +158,41 @@ def _matrix(rows: DataFrame) -> DataFrame:
     return got.withColumn("n", F.size("m"))
 
 
+def _each_profile(rows: DataFrame, made, fields: str) -> DataFrame:
+    """What `made` gives for each sequence's profile, an array of its rows in order: columns of results, one group at a time. Rows
+    (seq_id, pos, vec) are shuffled once; a group is one sequence."""
+    kind = rows.schema["seq_id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("pos")
+        vec = table.column("vec").combine_chunks()
+        m = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
+        columns = made(m)
+        n = len(next(iter(columns.values())))
+        return pa.table({"seq_id": table.column("seq_id").take(pa.array(np.zeros(n, np.int64))), **{k: pa.array(v) for k, v in columns.items()}})
+
+    return rows.select("seq_id", "pos", "vec").groupBy("seq_id").applyInArrow(run, f"seq_id {kind}, {fields}")
+
+
+def _lagged(m: np.ndarray, lags: int) -> dict[str, np.ndarray]:
+    """lag, i, j, value: the mean product of column i and, a lag later, column j."""
+    lag, value, width = [], [], m.shape[1]
+    for d in range(1, min(lags, len(m) - 1) + 1):
+        lag.append(np.full(width * width, d, np.int32))
+        value.append((m[:-d].T @ m[d:] / (len(m) - d)).ravel())
+    n = len(lag)
+    i, j = (np.tile(x.ravel().astype(np.int32), n) for x in np.indices((width, width)))
+    return {"lag": np.concatenate(lag) if n else np.zeros(0, np.int32), "i": i, "j": j, "value": np.concatenate(value) if n else np.zeros(0)}
+
+
 def pssm_dt(rows: DataFrame, lags: int = 4, digits: int = 6) -> DataFrame:
-    """seq_id, lag, i, j, value: the mean of column i times column j of the row at lag, over the rows that have one. Each row meets
-    `lags` others by a lead, and sums are partial before the shuffle."""
-    from pyspark.sql import Window
+    """seq_id, lag, i, j, value: the mean of column i times column j of the row at lag, over the rows that have one."""
+
+    def made(m: np.ndarray) -> dict[str, np.ndarray]:
+        out = _lagged(m, lags)
+        return out | {"value": A.half_up(out["value"] + 1e-9, digits)}
 
-    w = Window.partitionBy("seq_id").orderBy("pos")
-    ahead = F.array(*[F.struct(F.lit(d).alias("lag"), F.lead("vec", d).over(w).alias("b")) for d in range(1, lags + 1)])
-    pairs = rows.select("seq_id", F.col("vec").alias("a"), ahead.alias("ahead")).select("seq_id", "a", F.explode("ahead").alias("l")).select("seq_id", "a", "l.lag", "l.b").where(F.col("b").isNotNull())
-    pairs = pairs.select("seq_id", "lag", F.posexplode("a").alias("i", "x"), "b").select("seq_id", "lag", "i", "x", F.posexplode("b").alias("j", "y"))
-    return pairs.groupBy("seq_id", "lag", "i", "j").agg(rounded(F.avg(F.col("x") * F.col("y")), digits).alias("value"))
+    return _each_profile(rows, made, "lag int, i int, j int, value double")
 
 
 def letter_pair_dt(seqs: DataFrame, lags: int = 4, digits: int = 6) -> DataFrame:
@@ -200,24 +225,25 @@ def letter_pair_dt(seqs: DataFrame, lags: int = 4, digits: int = 6) -> DataFrame
     return A.by_row(seqs, len(cells) * lags * 2, made, "lag int, i int, j int, value double")
 
 
+def acc_pssm(rows: DataFrame, lags: int, digits: int = 3) -> DataFrame:
+    """seq_id, kind, lag, i, j, value: auto (ac, i = j) and cross (cc) covariances of the centred columns of a profile, for every lag
+    that the sequence has."""
+
+    def made(m: np.ndarray) -> dict[str, np.ndarray]:
+        out = _lagged(m - m.mean(0), lags)
+        return {"kind": np.where(out["i"] == out["j"], "ac", "cc").astype(object), **out, "value": A.half_up(out["value"] + 1e-9, digits)}
+
+    return _each_profile(rows, made, "kind string, lag int, i int, j int, value double")
+
+
 def ac_pssm(rows: DataFrame, lags: int, digits: int = 3) -> DataFrame:
     """seq_id, lag, i, value: autocovariance of each centred profile column."""
-    from pyspark.sql import Window
-
-    long = rows.select("seq_id", "pos", F.posexplode("vec").alias("i", "x"))
-    per, ahead = Window.partitionBy("seq_id", "i"), Window.partitionBy("seq_id", "i").orderBy("pos")
-    d = long.withColumn("d", F.col("x") - F.avg("x").over(per))
-    pairs = d.select("seq_id", "i", "d", F.array(*[F.struct(F.lit(g).alias("lag"), F.lead("d", g).over(ahead).alias("e")) for g in range(1, lags + 1)]).alias("ahead"))
-    pairs = pairs.select("seq_id", "i", "d", F.explode("ahead").alias("l"))
-    return pairs.where(F.col("l.e").isNotNull()).groupBy("seq_id", F.col("l.lag").alias("lag"), "i").agg(rounded(F.avg(F.col("d") * F.col("l.e")), digits).alias("value"))
+    return acc_pssm(rows, lags, digits).where("kind = 'ac'").select("seq_id", "lag", "i", "value")
 
 
 def cc_pssm(rows: DataFrame, lags: int, digits: int = 3) -> DataFrame:
     """seq_id, lag, i, j, value: cross covariance of different centred columns."""
-    means = rows.select("seq_id", F.posexplode("vec").alias("i", "x")).groupBy("seq_id", "i").agg(F.avg("x").alias("mean"))
-    means = means.groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda r: r["mean"]).alias("mean"))
-    centred = rows.join(means, "seq_id").select("seq_id", "pos", F.zip_with("vec", "mean", lambda a, b: a - b).alias("vec"))
-    return pssm_dt(centred, lags, digits).where("i <> j")
+    return acc_pssm(rows, lags, digits).where("kind = 'cc'").select("seq_id", "lag", "i", "j", "value")
 
 
 def pssm_rt(rows: DataFrame, length: int, digits: int = 6) -> DataFrame:
@@ -241,6 +267,27 @@ def pssm_rt(rows: DataFrame, length: int, digits: int = 6) -> DataFrame:
     return residue.unionByName(pair).unionByName(multi).withColumn("value", rounded(F.col("value"), digits))
 
 
+def pssm_rt_whole(rows: DataFrame, digits: int = 6) -> DataFrame:
+    """The parts 'pair' and 'multi' of pssm_rt() for profiles as long as they are, neither cut nor padded: t is the middle of each."""
+
+    def made(m: np.ndarray) -> dict[str, np.ndarray]:
+        x = 1 / (1 + np.exp(m))
+        n, width = x.shape
+        t = min(n // 2 + n % 2, n - 1)
+        times = np.ones(n)
+        times[t] = 0.0
+        if n > 1:
+            times[0 if t else 1] = 2.0
+        pair = np.outer(times @ x, x[t])
+        sides = [x[: max(t - 1, 0), :5].sum(0), x[t:, :5].sum(0)]
+        a, b = np.indices(pair.shape)
+        c, d = np.indices((2, 5))
+        out = {"part": np.array(["pair"] * pair.size + ["multi"] * 10, object), "a": np.concatenate([a.ravel(), c.ravel()]).astype(np.int32), "b": np.concatenate([b.ravel(), d.ravel()]).astype(np.int32)}
+        return out | {"value": A.half_up(np.concatenate([pair.ravel(), np.concatenate(sides)]) + 1e-9, digits)}
+
+    return _each_profile(rows, made, "part string, a int, b int, value double")
+
+
 def motif_scores(rows: DataFrame, motifs: dict[str, list[list[float]]], digits: int = 6) -> DataFrame:
     """seq_id, motif, mean, peak: a motif's weights (rows of 20, in the profile's order) slide along the profile; negative scores
     are 0, neighbours in pairs give their larger one, and of these mean and maximum are kept. Profiles shorter than a motif have
@@ -260,3 +307,10 @@ def pdt(seqs: DataFrame, lags: int, props: dict[str, dict[str, float]], digits:
     rows = _values(seqs, 1, props).withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).where("n > lag").withColumn("m", F.col("n") - F.col("lag"))
     value = _sum(F.zip_with(_head(F.col("v"), F.col("m")), F.slice("v", F.col("lag") + 1, F.col("m")), lambda a, b: (a - b) * (a - b))) / F.col("m")
     return rows.select("seq_id", F.concat(F.col("lag"), F.lit("|"), "prop").alias("feature"), rounded(value, digits).alias("value"))
+
+
+def pdt_profile(seqs: DataFrame, n: int, lags: int, props: dict[str, dict[str, float]], digits: int = 3, profile: DataFrame | None = None) -> DataFrame:
+    """pdt() of the sequences of residues' n most frequent amino acids, by a profile or, without one, by BLOSUM62."""
+    from .words import top_n_gram
+
+    return pdt(top_n_gram(seqs, n, profile), lags, props, digits)

@@ -23,8 +23,9 @@ def tf_idf(words: DataFrame, digits: int = 6) -> DataFrame:
     return rows.join(norm, "seq_id").select("seq_id", "word", (rounded(value, digits) if digits >= 0 else value).alias("value"))
 
 
-def text_rank(tfidf: DataFrame, alpha: float = 0.85, rounds: int = 10) -> DataFrame:
-    """seq_id, rank: PageRank of the graph whose edges are the inner products of all TF-IDF rows, loops included.
+def text_rank(tfidf: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """seq_id, rank: PageRank of the graph whose edges are the inner products of all TF-IDF rows, loops included. Steps end after
+    `rounds` or when the ranks' changes sum up to less than `tolerance` for each sequence.
 
     The graph is never built: a step goes from sequences to words and back, so that the work is that of the TF-IDF table and
     not of its square."""
@@ -36,7 +37,11 @@ def text_rank(tfidf: DataFrame, alpha: float = 0.85, rounds: int = 10) -> DataFr
     for i in range(rounds):
         word = tfidf.join(ranks, "seq_id").groupBy("word").agg(F.sum(F.col("value") * F.col("rank") / F.col("degree")).alias("score"))
         new = tfidf.join(word, "word").groupBy("seq_id").agg((F.lit((1 - alpha) / max(n, 1)) + alpha * F.sum(F.col("value") * F.col("score"))).alias("rank"))
-        ranks = stash(degree.join(new, "seq_id").select("seq_id", "degree", "rank"), "ranks")
+        new = stash(degree.join(new, "seq_id").select("seq_id", "degree", "rank"), "ranks")
+        moved = new.join(ranks.select("seq_id", F.col("rank").alias("was")), "seq_id").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
+        ranks = new
+        if moved < n * tolerance:
+            break
     return ranks.select("seq_id", "rank")
 
 
@@ -69,6 +74,18 @@ def word2vec(words: DataFrame, dim: int = 10, window: int = 5, min_count: int =
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
+def out_of_fold(words: DataFrame, folds: DataFrame, train, dim: int) -> DataFrame:
+    """seq_id, fold, features: each fold's sequences embedded with vectors that train() made of the others' words. words: seq_id, pos,
+    word; folds: seq_id, fold; train: words -> (word, vector)."""
+    words = stash(words.join(folds, "seq_id"), "fold_words")
+    out = None
+    for r in folds.select("fold").distinct().orderBy("fold").collect():  # as many as folds
+        vectors = train(words.where(F.col("fold") != r["fold"]).drop("fold"))
+        part = embed(words.where(F.col("fold") == r["fold"]).drop("fold"), vectors, dim).withColumn("fold", F.lit(r["fold"]))
+        out = part if out is None else out.unionByName(part)
+    return out.select("seq_id", "fold", "features")
+
+
 def subword_vectors(words: DataFrame, dim: int = 10, shortest: int = 2, longest: int = 3, seed: int = 42) -> DataFrame:
     """word, vector: the mean of skip-gram vectors of a word's character n-grams (the subword approximation of fastText)."""
     grams = F.expr(f"flatten(transform(sequence({shortest}, {longest}), n -> transform(sequence(1, greatest(length(word) + 3 - n, 1)), i -> substring(concat('<', word, '>'), i, n))))")

@@ -175,9 +175,18 @@ def q_subsequence_bow(spark, d):
     return bow.subsequence_bow(dna(spark, d), 2, T.DNA, 0.5).withColumn("value", F.round("value", 6))
 
 
-@query("subsequence_bow_k3")
+@query(
+    "subsequence_bow_k3",
+    _with(
+        "dna", _windows("dna", 1), _windows("dna", 3, "run"), _universe(3, T.DNA),
+        "p AS MATERIALIZED (SELECT a.seq_id, b.pos, a.word || b.word AS word, sum(pow(0.5::DOUBLE, b.pos - a.pos + 1)) AS v FROM w a JOIN w b ON a.seq_id = b.seq_id AND b.pos > a.pos AND b.pos <= a.pos + 40 GROUP BY ALL)",
+        "s AS (SELECT p.seq_id, p.word || c.word AS word, sum(v * pow(0.5::DOUBLE, c.pos - p.pos)) AS v FROM p JOIN w c ON p.seq_id = c.seq_id AND c.pos > p.pos AND c.pos <= p.pos + 40 GROUP BY ALL)",
+        "n AS (SELECT seq_id, word, count(*) AS n FROM run GROUP BY ALL)",
+    )
+    + "SELECT seq_id, word, round(coalesce(v, 0.0) + coalesce(n, 0) * (1 - 0.125::DOUBLE), 6)::DOUBLE AS value FROM dna CROSS JOIN u LEFT JOIN s USING (seq_id, word) LEFT JOIN n USING (seq_id, word)",
+)
 def q_subsequence_bow3(spark, d):
-    return bow.subsequence_bow(dna(spark, d), 3, T.DNA, 0.5)
+    return bow.subsequence_bow(dna(spark, d), 3, T.DNA, 0.5).withColumn("value", F.round("value", 6))
 
 
 @query("dr_bow", _with("protein", _dr("protein", 3)) + "SELECT seq_id, dist, word, count(*) AS n FROM r GROUP BY ALL")
@@ -251,7 +260,7 @@ _RANK_STEPS = ",\n".join(
 )
 def textrank_kmer(spark, d):
     t = weighting.tf_idf(words.kmer_words(dna(spark, d), 3), digits=-1)
-    return weighting.text_rank(t, 0.85, 5).select("seq_id", F.round("rank", 8).alias("rank"))
+    return weighting.text_rank(t, 0.85, 5, tolerance=0.0).select("seq_id", F.round("rank", 8).alias("rank"))
 
 
 @query("glove_cooccur", _with("dna", _windows("dna", 2), "o AS (SELECT a.word AS a, b.word AS b, 1.0::DOUBLE / (b.pos - a.pos) AS v FROM w a JOIN w b ON a.seq_id = b.seq_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 3)") + "SELECT a, b, round(sum(v), 4) AS weight FROM (SELECT a, b, v FROM o UNION ALL SELECT b, a, v FROM o) GROUP BY a, b")
@@ -259,6 +268,35 @@ def glove_cooccur(spark, d):
     return weighting.co_occurrence(words.kmer_words(dna(spark, d), 2), 3).withColumn("weight", F.round("weight", 4))
 
 
+@query(
+    "textrank_features",
+    _with("dna", _windows("dna", 3), _tfidf("w", None).replace("t AS (", "t AS MATERIALIZED ("), "mass AS (SELECT word, sum(value) AS mass FROM t GROUP BY word)", "g AS MATERIALIZED (SELECT seq_id, sum(value * mass) AS degree FROM t JOIN mass USING (word) GROUP BY seq_id)", "r0 AS (SELECT seq_id, degree, 1.0::DOUBLE / (SELECT count(*) FROM g) AS rank FROM g)", _RANK_STEPS)
+    + "SELECT seq_id, word, round(value * rank, 8) AS value FROM t JOIN r5 USING (seq_id)",
+)
+def textrank_features(spark, d):
+    t = weighting.tf_idf(words.kmer_words(dna(spark, d), 3), digits=-1)
+    return weighting.text_rank_features(t, weighting.text_rank(t, 0.85, 5, tolerance=0.0)).withColumn("value", F.round("value", 8))
+
+
+@query("embed_words", _with("dna", _windows("dna", 2)) + "SELECT seq_id, pos::INT AS pos, CASE WHEN word LIKE 'A%' THEN 0.0 ELSE instr('ACGT', substr(word, 1, 1)) END::DOUBLE AS a, CASE WHEN word LIKE 'A%' THEN 0.0 ELSE instr('ACGT', substr(word, 2, 1)) / 4.0 END::DOUBLE AS b FROM w")
+def embed_words(spark, d):
+    """Vectors of two numbers are supplied for all words that don't begin with A; the others are unknown. The features, end to end,
+    come back as a row for each place."""
+    known = spark.createDataFrame([(w, [float("ACGT".index(w[0]) + 1), ("ACGT".index(w[1]) + 1) / 4]) for w in T.universe(2, T.DNA) if w[0] != "A"], "word string, vector array<double>")
+    got = weighting.embed(words.kmer_words(dna(spark, d), 2), known, 2)
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("features") / 2 - 1).cast("int")), lambda i: F.struct(F.get("features", 2 * i).alias("a"), F.get("features", 2 * i + 1).alias("b")))
+    return got.where("size(features) > 0").select("seq_id", F.posexplode(pairs).alias("pos", "v")).select("seq_id", "pos", "v.a", "v.b")
+
+
+@query("word2vec_out_of_fold")
+def word2vec_out_of_fold(spark, d):
+    """Each fold embedded by the others' vectors: mean vectors of the sequences' words."""
+    seqs = dna(spark, d)
+    parts = evaluate.folds(seqs.select("seq_id"), 5, "seq_id", None)
+    got = weighting.out_of_fold(words.kmer_words(seqs, 3), parts, lambda w: weighting.word2vec(w, dim=6), 6)
+    return got.select("seq_id", "fold", F.size("features").alias("size"))
+
+
 @query("glove_vectors")
 def glove_vectors(spark, d):
     return weighting.glove(weighting.co_occurrence(words.kmer_words(dna(spark, d), 3), 10), dim=16, rounds=20)
@@ -285,9 +323,22 @@ def lsa_kmer(spark, d):
     return analysis.truncated_svd(counts, 4)
 
 
-@query("plsa_kmer")
+_DRAWN = "((('0x' || substr(md5({0} || ':' || topic), 1, 8))::BIGINT % 1000) + 1) / 1000.0::DOUBLE"
+_EM = ",\n".join(
+    f"e{i} AS MATERIALIZED (SELECT seq_id, word, topic, n * CASE WHEN sum(t * f) OVER x > 0 THEN t * f / sum(t * f) OVER x ELSE 1.0::DOUBLE / 3 END AS m FROM c JOIN h{i - 1} USING (seq_id) JOIN f{i - 1} USING (word, topic) WINDOW x AS (PARTITION BY seq_id, word)),\n"
+    f"h{i} AS MATERIALIZED (SELECT seq_id, topic, sum(m) / sum(sum(m)) OVER (PARTITION BY seq_id) AS t FROM e{i} GROUP BY seq_id, topic),\n"
+    f"f{i} AS MATERIALIZED (SELECT word, topic, sum(m) / sum(sum(m)) OVER (PARTITION BY topic) AS f FROM e{i} GROUP BY word, topic)"
+    for i in range(1, 4)
+)
+
+
+@query(
+    "plsa_kmer",
+    _with("dna", _windows("dna", 2), "c AS MATERIALIZED (SELECT seq_id, word, count(*) AS n FROM w GROUP BY ALL)", "k(topic) AS (VALUES (0), (1), (2))", f"h0 AS (SELECT seq_id, topic, {_DRAWN.format('seq_id')} / 3 AS t FROM (SELECT DISTINCT seq_id FROM c), k)", f"f0 AS (SELECT word, topic, f / sum(f) OVER (PARTITION BY topic) AS f FROM (SELECT word, topic, {_DRAWN.format('word')} AS f FROM (SELECT DISTINCT word FROM c), k))", _EM)
+    + "SELECT seq_id, topic, round(t, 6) AS p FROM h3",
+)
 def plsa_kmer(spark, d):
-    return learn.plsa(words.word_counts(words.kmer_words(dna(spark, d), 2)), k=3, rounds=3)
+    return learn.plsa(words.word_counts(words.kmer_words(dna(spark, d), 2)), k=3, rounds=3).withColumn("p", F.round("p", 6))
 
 
 # ---- residues ----------------------------------------------------------------------------------------------------------------
@@ -377,6 +428,20 @@ def ohe_ss(spark, d):
     return _vec_text()(residue.secondary_structure(protein(spark, d).select("seq_id", F.translate("seq", T.PROTEIN, "H" * 7 + "E" * 7 + "C" * 6).alias("ss"))))
 
 
+@query("ohe_sasa", _with("protein", _windows("protein", 1)) + "SELECT seq_id, pos::INT AS pos, CASE WHEN pos % 5 = 0 THEN 0.0 ELSE (pos % 7) / 7.0 END::DOUBLE AS v0 FROM w")
+def ohe_sasa(spark, d):
+    """Solvent accessibilities are supplied as text, 'nan' for every fifth residue."""
+    at = residue.one_hot(protein(spark, d), T.PROTEIN).select("seq_id", "pos")
+    return _columns(residue.tool_values(at.withColumn("sasa", F.when(F.col("pos") % 5 == 0, "-nan").otherwise(((F.col("pos") % 7) / 7.0).cast("string"))), "sasa"), 1)
+
+
+@query("ohe_cs", _with("protein", _windows("protein", 1)) + "SELECT seq_id, pos::INT AS pos, CASE WHEN pos % 3 = 0 THEN 0.0 ELSE (pos % 4) - 1.5 END::DOUBLE AS v0 FROM w")
+def ohe_cs(spark, d):
+    """Conservation scores are supplied, null for every third residue."""
+    at = residue.one_hot(protein(spark, d), T.PROTEIN).select("seq_id", "pos")
+    return _columns(residue.tool_values(at.withColumn("cs", F.when(F.col("pos") % 3 != 0, (F.col("pos") % 4) - 1.5)), "cs"), 1)
+
+
 @query(
     "res_window",
     _with("rna", _windows("rna", 1), "e AS (SELECT seq_id, pos, list(word) OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM w)")
@@ -498,6 +563,9 @@ def sr_pssm_dt(spark, d):
     return syntax.letter_pair_dt(protein(spark, d), 4)
 
 
+query("sr_pssm_dt_profile", ORACLES["sr_pssm_dt"])(lambda s, d: syntax.pssm_dt(residue.pssm_rows(protein(s, d)), 4))
+
+
 _PROFILE = f"{_windows('protein', 1)}, {_BLOSUM_LISTS}, f AS MATERIALIZED (SELECT seq_id, pos, i, v[i + 1]::DOUBLE AS x FROM w JOIN b62 USING (word), range(20) t(i))"
 
 
@@ -510,21 +578,59 @@ def sr_ac_pssm(spark, d):
     return _off_ties(syntax.ac_pssm(residue.pssm_rows(protein(spark, d)), 2, digits=12), 3)
 
 
-@query("sr_cc_pssm")
+# sums over pairs of neighbours from the counts of letter pairs: first letters, then second ones
+_CROSS = [
+    SQL_VIEWS["protein"], _dr("protein", 1), _BLOSUM_LISTS, "c AS MATERIALIZED (SELECT seq_id, word, count(*) AS n FROM r WHERE dist = 1 GROUP BY ALL)",
+    "s AS MATERIALIZED (SELECT seq_id, i, sum(v[i + 1])::DOUBLE AS total, count(*) AS n FROM letter JOIN b62 USING (word), range(20) t(i) GROUP BY seq_id, i)",
+    "ends AS MATERIALIZED (SELECT seq_id, i, any_value(v[i + 1]) FILTER (pos = 0)::DOUBLE AS first, any_value(v[i + 1]) FILTER (pos = length(seq) - 1)::DOUBLE AS last FROM letter JOIN protein USING (seq_id) JOIN b62 ON b62.word = letter.word, range(20) t(i) WHERE pos = 0 OR pos = length(seq) - 1 GROUP BY seq_id, i)",
+    "h AS MATERIALIZED (SELECT seq_id, substr(c.word, 1, 1) AS a, j, sum(n * v[j + 1])::DOUBLE AS s FROM c JOIN b62 ON b62.word = substr(c.word, 2, 1), range(20) t(j) GROUP BY ALL)",
+    "p AS MATERIALIZED (SELECT seq_id, i, j, sum(s * v[i + 1])::DOUBLE AS s FROM h JOIN b62 ON b62.word = a, range(20) t(i) GROUP BY ALL)",
+    "z AS (SELECT p.seq_id, p.i, p.j, (p.s - x.total / x.n * (y.total - f.first) - y.total / y.n * (x.total - e.last) + (x.n - 1) * (x.total / x.n) * (y.total / y.n)) / (x.n - 1) AS v FROM p JOIN s x ON x.seq_id = p.seq_id AND x.i = p.i JOIN s y ON y.seq_id = p.seq_id AND y.i = p.j JOIN ends e ON e.seq_id = p.seq_id AND e.i = p.i JOIN ends f ON f.seq_id = p.seq_id AND f.i = p.j)",
+]
+
+
+@query("sr_cc_pssm", _with(*_CROSS) + "SELECT seq_id, 1::INT AS lag, i::INT AS i, j::INT AS j, round(v + 1e-9, 3) + 0.0 AS value FROM z WHERE i <> j")
 def sr_cc_pssm(spark, d):
-    return syntax.cc_pssm(residue.pssm_rows(protein(spark, d)), 1)
+    return _off_ties(syntax.cc_pssm(residue.pssm_rows(protein(spark, d)), 1, digits=12), 3)
+
 
+@query("sr_acc_pssm", _with(*_CROSS) + "SELECT seq_id, CASE WHEN i = j THEN 'ac' ELSE 'cc' END AS kind, 1::INT AS lag, i::INT AS i, j::INT AS j, round(v + 1e-9, 3) + 0.0 AS value FROM z")
+def sr_acc_pssm(spark, d):
+    return _off_ties(syntax.acc_pssm(residue.pssm_rows(protein(spark, d)), 1, digits=12), 3)
 
-@query("sr_pssm_rt")
+
+@query(
+    "sr_pssm_rt",
+    _with(
+        "protein", _windows("protein", 1), _BLOSUM_LISTS,
+        "q AS MATERIALIZED (SELECT seq_id, pos, length(seq) AS n, least(length(seq) // 2 + length(seq) % 2, length(seq) - 1) AS t, list_transform(v, lambda x: 1 / (1 + exp(x))) AS x FROM w JOIN b62 USING (word) JOIN protein USING (seq_id))",
+        "f AS MATERIALIZED (SELECT seq_id, pos, t, i, x[i + 1] AS x, CASE WHEN pos = t THEN 0 WHEN pos = CASE WHEN t > 0 THEN 0 ELSE 1 END THEN 2 ELSE 1 END AS times FROM q, range(20) r(i))",
+        "s AS MATERIALIZED (SELECT seq_id, i, sum(x * times) AS s, any_value(x) FILTER (pos = t) AS mid, sum(CASE WHEN pos < t - 1 THEN x ELSE 0 END) AS above, sum(CASE WHEN pos >= t THEN x ELSE 0 END) AS below FROM f GROUP BY seq_id, i)",
+    )
+    + "SELECT a.seq_id, 'pair' AS part, a.i::INT AS a, b.i::INT AS b, round(a.s * b.mid + 1e-9, 2) + 0.0 AS value FROM s a JOIN s b USING (seq_id) UNION ALL SELECT seq_id, 'multi', 0, i::INT, round(above + 1e-9, 2) + 0.0 FROM s WHERE i < 5 UNION ALL SELECT seq_id, 'multi', 1, i::INT, round(below + 1e-9, 2) + 0.0 FROM s WHERE i < 5",
+)
 def sr_pssm_rt(spark, d):
-    return syntax.pssm_rt(residue.pssm_rows(protein(spark, d)), 50)
+    return _off_ties(syntax.pssm_rt_whole(residue.pssm_rows(protein(spark, d)), digits=12), 2)
 
 
-@query("sr_motif_pssm")
+_MOTIFS = {m: [[r[T.PROTEIN.index(a)] for a in T.MATRIX_ORDER] for r in formats.motif_from_pattern(m)] for m in ("A[CD]E", "[ST]xL")}
+
+
+@query(
+    "sr_motif_pssm",
+    _with(
+        "protein", _windows("protein", 1), _BLOSUM_LISTS,
+        "k(motif, r, weights) AS (VALUES " + ", ".join(f"('{m}', {i}, {row}::DOUBLE[])" for m, rows in _MOTIFS.items() for i, row in enumerate(rows)) + ")",
+        "g AS MATERIALIZED (SELECT word, motif, r, list_sum(list_transform(list_zip(v, weights), lambda z: z[1] * z[2])) AS g FROM b62, k)",
+        "h AS (SELECT seq_id, motif, pos - r AS start, g FROM w JOIN g USING (word) JOIN protein USING (seq_id) WHERE pos - r BETWEEN 0 AND length(seq) - 3)",
+        "s AS (SELECT seq_id, motif, start, greatest(sum(g), 0.0::DOUBLE) AS s FROM h GROUP BY ALL)",
+        "p AS (SELECT seq_id, motif, start // 2 AS place, max(s) AS s FROM s GROUP BY ALL)",
+    )
+    + "SELECT seq_id, motif, round(avg(s) + 1e-9, 5) + 0.0 AS mean, round(max(s) + 1e-9, 5) + 0.0 AS peak FROM p GROUP BY seq_id, motif",
+)
 def sr_motif_pssm(spark, d):
-    order = [T.PROTEIN.index(a) for a in T.MATRIX_ORDER]
-    motifs = {m: [[r[i] for i in order] for r in formats.motif_from_pattern(m)] for m in ("A[CD]E", "[ST]xL")}
-    return syntax.motif_scores(residue.pssm_rows(protein(spark, d)), motifs)
+    got = syntax.motif_scores(residue.pssm_rows(protein(spark, d)), _MOTIFS, digits=12)
+    return got.select("seq_id", "motif", *[(F.round(F.col(c) + 1e-9, 5) + F.lit(0.0)).alias(c) for c in ("mean", "peak")])
 
 
 _PDT = " UNION ALL ".join(
@@ -538,6 +644,11 @@ def sr_pdt(spark, d):
     return _off_ties(syntax.pdt(protein(spark, d), 2, _Z["protein"], digits=12), 3)
 
 
+@query("sr_pdt_profile", _with("protein", _mapped("protein", _TOP1, "top"), _windows("top", 1), _values("e", "word, x0, x1, x2", [(a, *[float(t[a]) for t in _Z["protein"].values()]) for a in T.PROTEIN]), "q AS (SELECT seq_id, pos, x0, x1, x2 FROM w JOIN e USING (word))") + f"SELECT seq_id, r.f AS feature, round(r.v + 1e-9, 3) + 0.0 AS value FROM ({_PDT})")
+def sr_pdt_profile(spark, d):
+    return _off_ties(syntax.pdt_profile(protein(spark, d), 1, 2, _Z["protein"], digits=12), 3)
+
+
 @query("index_zscores", _values("WITH e", "prop, word, x", [(p, w, float(x)) for p, t in _DI.items() for w, x in t.items()]) + " SELECT prop, word, round((x - avg(x) OVER (PARTITION BY prop)) / stddev_samp(x) OVER (PARTITION BY prop), 2) + 0.0 AS z FROM e")
 def index_zscores(spark, d):
     from pyspark.sql import Window
@@ -653,6 +764,13 @@ query("multiclass_acc", "SELECT round(avg((label = (vec_id % 10))::INT), 4) AS \
 query("roc_points", _with("vectors", _BINARY, "g AS (SELECT score, sum((y = 1)::INT) AS pos, sum((y <> 1)::INT) AS neg FROM b GROUP BY score)", "c AS (SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, (SELECT sum(pos) FROM g) AS pp, (SELECT sum(neg) FROM g) AS nn FROM g WINDOW w AS (ORDER BY score DESC))") + "SELECT score, round(tp::DOUBLE / pp, 6) AS tpr, round(fp::DOUBLE / nn, 6) AS fpr, round(tp::DOUBLE / (tp + fp), 6) AS precision FROM c")(lambda s, d: evaluate.curve_points(_binary(s, d)))
 
 
+query(
+    "mean_roc",
+    _with("vectors", _BINARY, "g AS (SELECT fold, score, sum((y = 1)::INT) AS pos, sum((y <> 1)::INT) AS neg FROM b GROUP BY fold, score)", "c AS (SELECT fold, round(sum(pos) OVER w::DOUBLE / sum(pos) OVER (PARTITION BY fold), 6) AS tpr, round(sum(neg) OVER w::DOUBLE / sum(neg) OVER (PARTITION BY fold), 6) AS fpr FROM g WINDOW w AS (PARTITION BY fold ORDER BY score DESC))", "s AS (SELECT fold, g, coalesce((SELECT max(tpr) FROM c WHERE c.fold = f.fold AND ceil(c.fpr * 99) <= g), 0.0) AS tpr FROM (SELECT DISTINCT fold FROM b) f, range(100) t(g))")
+    + "SELECT round(g / 99.0::DOUBLE, 6) AS fpr, round(avg(tpr), 6) AS tpr FROM s GROUP BY g",
+)(lambda s, d: evaluate.mean_roc(evaluate.fold_curves(_binary(s, d))))
+
+
 def _grid(s):
     return evaluate.grid(s, {"k": evaluate.number_range([1, 3]), "delta": evaluate.number_range([0.2, 0.6, 0.2]), "kernel": ["rbf", "linear"]})
 
