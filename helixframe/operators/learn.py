@@ -18,21 +18,70 @@ def _rows(wide: DataFrame) -> DataFrame:
     return wide.select("id", "fold", F.when(F.col("y") > 0, 1.0).otherwise(0.0).alias("label"), array_to_vector("x").alias("features"))
 
 
-def cross_validate(wide: DataFrame, make, k: int) -> DataFrame:
-    """id, fold, y (0 or 1), p, score of each fold by a model of the others. wide: id, x, y, fold. make() gives an MLlib estimator."""
+def _platt(fitted, rows: DataFrame):
+    """Slope and shift that make probabilities of a machine's margins (label, features): a logistic regression on them."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorSlicer
+
+    margins = VectorSlicer(inputCol="rawPrediction", outputCol="margin", indices=[1]).transform(fitted.transform(rows)).select("label", "margin")
+    line = LogisticRegression(featuresCol="margin", regParam=1e-3, maxIter=50).fit(margins)
+    return float(line.coefficients[0]), float(line.intercept)
+
+
+def _scored(fitted, rows: DataFrame, line: tuple[float, float] | None):
+    """rows with prediction and score, the probability of label 1."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = _rows(wide).cache()
+    got = fitted.transform(rows)
+    if line is None:
+        return got.withColumn("score", vector_to_array("probability")[1])
+    return got.withColumn("score", 1 / (1 + F.exp(-(vector_to_array("rawPrediction")[1] * line[0] + line[1]))))
+
+
+def cross_validate(wide: DataFrame, make, k: int) -> DataFrame:
+    """id, fold, y (0 or 1), p, score (a probability) of each fold by a model of the others. wide: id, x, y, fold. make() gives an
+    MLlib estimator; machines without probabilities get Platt's line over the margins of their training rows."""
+    rows = stash(_rows(wide), "folded")
     out = None
     for i in range(k):
-        model = make().fit(rows.where(F.col("fold") != i))
-        got = model.transform(rows.where(F.col("fold") == i))
-        score = vector_to_array("probability")[1] if "probability" in got.columns else vector_to_array("rawPrediction")[1]
-        part = got.select("id", "fold", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("p"), score.alias("score"))
+        train = rows.where(F.col("fold") != i)
+        model = make().fit(train)
+        line = None if hasattr(model, "probabilityCol") else _platt(model, train)
+        got = _scored(model, rows.where(F.col("fold") == i), line)
+        part = got.select("id", "fold", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("p"), "score")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def save_model(wide: DataFrame, estimator, path: str) -> None:
+    """Fit an MLlib estimator on all rows (id, x, y) and write the model below path, with Platt's line where it needs one."""
+    from pyspark.ml import Pipeline
+
+    rows = _rows(wide.withColumn("fold", F.lit(0)))
+    model = Pipeline(stages=[estimator]).fit(rows)
+    model.write().overwrite().save(f"{path}/model")
+    line = (None, None) if hasattr(model.stages[0], "probabilityCol") else _platt(model.stages[0], rows)
+    wide.sparkSession.createDataFrame([line], "slope double, shift double").write.mode("overwrite").parquet(f"{path}/platt")
+
+
+def predict(wide: DataFrame, path: str) -> DataFrame:
+    """id, p, score of rows (id, x) by a model that save_model() wrote."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import array_to_vector
+
+    spark = wide.sparkSession
+    model = PipelineModel.load(f"{path}/model")
+    line = spark.read.parquet(f"{path}/platt").first()  # one row
+    rows = wide.select("id", array_to_vector("x").alias("features"))
+    got = _scored(model.stages[0], rows, None if line["slope"] is None else (line["slope"], line["shift"]))
+    return got.select("id", F.col("prediction").cast("int").alias("p"), "score")
+
+
+def score_vectors(scores: DataFrame) -> DataFrame:
+    """id, x: the rows of a score matrix (i, j, score) as features, in the order of j."""
+    return scores.groupBy(F.col("i").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "score"))), lambda r: r["score"]).alias("x"))
+
+
 def forest(trees: int = 100, seed: int = 42):
     from pyspark.ml.classification import RandomForestClassifier
 
@@ -40,7 +89,7 @@ def forest(trees: int = 100, seed: int = 42):
 
 
 def network(width: int, hidden: int = 16, seed: int = 42):
-    """A small perceptron, which stands for the deep nets of the original: no such library is at hand."""
+    """A small perceptron of MLlib; convolutions, recurrent nets and encoders are in net.py."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
 
     return MultilayerPerceptronClassifier(layers=[width, hidden, 2], seed=seed, maxIter=50)
@@ -134,13 +183,11 @@ class Crf:
 def crf_cross_validate(rows: DataFrame, k: int, width: int, sample: int = 200, epochs: int = 5) -> DataFrame:
     """id, y, p (arrays): labels of each fold's sequences by a CRF of at most `sample` sequences of the other folds, those with the
     lowest hashes. rows: id, fold, x (array of rows), y (array of 0 and 1). Decoding runs where the rows are."""
-    from pyspark.sql import Window
+    from .net import _sampled
 
-    w = Window.partitionBy("fold").orderBy(F.xxhash64("id"))
-    few = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max(1, sample // max(1, k - 1))).select("fold", "x", "y").collect()  # bounded: `sample` sequences for each fold
     models = {}
     for i in range(k):
-        data = [(np.array(r["x"], float), np.array(r["y"])) for r in few if r["fold"] != i and len(r["y"])]
+        data = [(np.array(r["x"], float), np.array(r["y"])) for r in _sampled(rows, i, sample) if len(r["y"])]  # bounded: `sample` sequences for each fold
         models[i] = Crf(width).fit(data, epochs) if data else Crf(width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
-from ..operators import analysis, bow, evaluate, learn, residue, score, syntax, weighting, words
+from ..operators import analysis, bow, evaluate, learn, net, residue, score, syntax, weighting, words
 from ..sources import adapters, formats
 from ..sources.adapters import SQL_VIEWS, dna, labelled, protein, rna, vectors
 
@@ -826,6 +826,48 @@ query("svm_cv")(lambda s, d: learn.cross_validate(learn.fourier_features(_task(s
 query("mlp_cv")(lambda s, d: learn.cross_validate(_task(s, d), lambda: learn.network(64), 3))
 
 
+def _steps(s, d):
+    """Vectors as 16 steps of four numbers."""
+    parts = F.transform(F.sequence(F.lit(1), F.lit(61), F.lit(4)), lambda i: F.slice("x", i, 4))
+    return _task(s, d).withColumn("x", parts).withColumn("y", (F.col("y") > 0).cast("int"))
+
+
+for _k in ("cnn", "lstm", "gru", "transformer", "weighted-transformer"):
+    query(f"{_k.replace('-', '_')}_cv")(lambda s, d, k=_k: net.cross_validate(_steps(s, d), 3, k, 16, hidden=8, epochs=4).select("id", "fold", "y", "p", F.round("score", 6).alias("score")))
+for _k in ("cnn-bilstm", "autoencoder"):
+    query(f"af_{_k.replace('-', '_')}")(lambda s, d, k=_k: net.cross_validate(_steps(s, d), 3, k, 16, hidden=8, epochs=4).select("id", "fold", F.transform("features", lambda x: F.round(x, 6)).alias("features")))
+
+
+@query("af_motif_cnn")
+def af_motif_cnn(spark, d):
+    """Motif scores of proteins, which a convolution reads: out-of-fold features."""
+    scores = syntax.motif_scores(residue.pssm_rows(protein(spark, d)), _MOTIFS)
+    x = scores.groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("motif", "mean", "peak"))), lambda r: F.array(r["mean"], r["peak"])).alias("x"))
+    rows = evaluate.folds(x.join(labelled(spark, d), "seq_id").select(F.col("seq_id").alias("id"), "x", (F.col("y") > 0).cast("int").alias("y")), 3)
+    return net.cross_validate(rows, 3, "cnn", len(_MOTIFS), hidden=8, epochs=4).select("id", "fold", F.transform("features", lambda v: F.round(v, 6)).alias("features"))
+
+
+@query("score_matrix_rf")
+def score_matrix_rf(spark, d):
+    """A forest on rows of cosine scores with a stated query set."""
+    rows = vectors(spark, d).select(F.col("vec_id").alias("id"), "x")
+    scores = score.pairs(rows.where("id % 50 = 0"), rows, "CS").select(F.col("id").alias("i"), F.col("query_id").alias("j"), "score")
+    task = learn.score_vectors(scores).join(_classes(spark, d).withColumn("y", F.when(F.col("y") < 5, 1).otherwise(-1)), "id")
+    return learn.cross_validate(evaluate.folds(task, 3), lambda: learn.forest(10), 3)
+
+
+@query("lstm_residues")
+def lstm_residues(spark, d):
+    """Each base's label is whether it is G or C, read in pieces of 20 bases."""
+    rows = residue.ncp(rna(spark, d))
+    seqs = rows.groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "vec"))), lambda r: r["vec"]).alias("x"))
+    x = F.transform("x", lambda v: F.concat(v, F.array(F.lit(1.0))))  # U is all zeros, as padding is
+    y = F.transform("x", lambda v: F.when((v[0] == 1) & (v[1] == 1), 0).when((v[0] == 0) & (v[1] == 0), 0).otherwise(1))
+    seqs = evaluate.folds(seqs.select(F.col("seq_id").alias("id"), x.alias("x"), y.alias("y")), 3, label_col=None)
+    got = net.cross_validate_steps(seqs, 3, "lstm", 20, hidden=6, epochs=1, sample=20)
+    return got.select("id", "fold", F.size("p").alias("n"), F.aggregate(F.zip_with("y", "p", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda t, v: t + v).alias("right"))
+
+
 @query("crf_viterbi")
 def crf_viterbi(spark, d):
     """Each base's label is whether it is G or C, seen through its own and its left neighbour's chemical bits."""
