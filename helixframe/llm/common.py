@@ -1,4 +1,5 @@
-"""What several operators share: written tables, ranks without a one-task sort, components, and token hashes."""
+"""What several operators share: numbered rows, hashes as fractions, and token hashes; the library's written tables, checked
+broadcasts, ranks and components are taken on from here."""
 
 from __future__ import annotations
 
@@ -8,23 +9,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scale import bounded, components, ranked
 from ..sources.lineage import fresh_path, shared_dir, stash
 
-__all__ = ["fresh_path", "shared_dir", "stash"]  # others take these from here
-
-#: Tables are broadcast up to so many rows and written bytes, some 30 MB and at most 100 in memory; larger ones are joined by a
-#: shuffle.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32_000_000
-
-
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for a broadcast if it has at most `rows` rows and BROADCAST_BYTES bytes. df should be a written table, since it
-    is counted and its size is that of its files."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= rows else df
+__all__ = ["bounded", "components", "fresh_path", "ranked", "shared_dir", "stash"]  # others take these from here
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -42,64 +33,6 @@ def numbered(df: DataFrame, kind: str = "rows") -> tuple[DataFrame, str]:
     return stash(df.withColumn(name, F.monotonically_increasing_id()), kind), name
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
-    """Add the 0-based rank of each row in its group by `order`, whatever a group's size.
-
-    A global range sort deals the rows evenly, however many of them one group holds; each partition knows its rows' places,
-    and a table of partition sizes (a row for each partition and group) gives what comes before. `order` should end in a
-    unique column. Null groups count as one group. The rows come back as a written table with the extra column `name`."""
-    laid = df.repartitionByRange(*[F.col(c).asc() for c in [*group, *order]]).sortWithinPartitions(*group, *order)
-    laid = stash(laid.withColumn("_at", F.monotonically_increasing_id()), "ranked").withColumn("_pid", F.shiftright("_at", 33))
-    sizes = laid.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    sizes = stash(sizes, "sizes")
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    right = bounded(sizes).select(F.col("_pid").alias("_p"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], "_first", "_before")
-    on = F.col("_pid") == F.col("_p")
-    for i, c in enumerate(group):
-        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    out = laid.join(right, on).withColumn(name, F.col("_before") + F.col("_at") - F.col("_first"))
-    return out.select(*df.columns, name)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components by alternating large and small stars. edges: longs a, b. Gives (node, component), component the
-    smallest id of the component, for every node that has an edge.
-
-    All work is joins and minima on edge tables written between the rounds; nothing but two sums per round reaches the driver.
-    The minima are broadcast while there are at most BROADCAST_ROWS edges. Beyond that they are written, so that a hub's edges
-    meet its minimum in a plain join, which adaptive execution can split."""
-
-    def digest(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    def kept(df: DataFrame, kind: str) -> DataFrame:
-        return stash(df, kind) if last[0] > BROADCAST_ROWS else df
-
-    def minima(df: DataFrame) -> DataFrame:
-        return stash(df, "low") if last[0] > BROADCAST_ROWS else F.broadcast(df)
-
-    def written(e: DataFrame) -> DataFrame:
-        return stash(e.coalesce(1 + last[0] // 250_000) if last[0] <= BROADCAST_ROWS else e, "edges")
-
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    e = stash(e.distinct(), "edges")
-    last = digest(e)
-    while last[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = minima(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = kept(large.distinct(), "large")
-        low = minima(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*").where("u <> v")
-        e = written(small.distinct())
-        if (now := digest(e)) == last:
-            break
-        last = now
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return roots.unionByName(e.select(F.col("u").alias("node"), F.col("v").alias("component")))
-
-
 def hex_fraction(h: Column) -> Column:
     """A number in (0, 1) from the first 13 hex digits of h: the middle of one of 2**52 equal steps."""
     return (F.conv(F.substring(h, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(2**52)

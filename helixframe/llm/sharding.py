@@ -12,19 +12,26 @@ from pyspark.sql import functions as F
 from .common import hex_fraction, ranked, stash
 
 
-def rendezvous(key: Column, weights: list[float], seed: str = "shard") -> Column:
-    """The shard (0, 1, ...) of a record key; weights are finite and positive, one for each shard.
+def draws(key: Column, weights: list[float], seed: str = "shard") -> Column:
+    """The shards' draws for a record key, an array of (draw, shard); weights are finite and positive, one for each shard.
 
-    The draw is -ln(u) / weight with u from the key's and the shard's MD5; the least draw wins, the lowest shard on a tie.
-    A null key is hashed as the word null: all such records share a shard."""
+    The draw is -ln(u) / weight with u from the key's and the shard's MD5. A null key is hashed as the word null: all such
+    records share a shard."""
     if not weights or not all(0 < w < float("inf") for w in weights):
         raise ValueError("every shard needs a finite positive weight")
     text = F.coalesce(key.cast("string"), F.lit("null"))
-    draws = [
-        F.struct((-F.ln(hex_fraction(F.md5(F.concat(F.lit(f"{seed}:{i}:"), text)))) / F.lit(float(w))).alias("draw"), F.lit(i).alias("shard"))
-        for i, w in enumerate(weights)
-    ]
-    return F.array_min(F.array(*draws)).getField("shard")
+    one = lambda i, w: F.struct((-F.ln(hex_fraction(F.md5(F.concat(F.lit(f"{seed}:{i}:"), text)))) / F.lit(float(w))).alias("draw"), F.lit(i).alias("shard"))
+    return F.array(*[one(i, w) for i, w in enumerate(weights)])
+
+
+def winner(drawn: Column, shards: int | None = None) -> Column:
+    """The shard of the least draw, the lowest shard on a tie; of the first `shards` alone if given."""
+    return F.array_min(drawn if shards is None else F.slice(drawn, 1, shards)).getField("shard").cast("int")
+
+
+def rendezvous(key: Column, weights: list[float], seed: str = "shard") -> Column:
+    """The shard (0, 1, ...) of a record key."""
+    return winner(draws(key, weights, seed))
 
 
 def shard_documents(docs: DataFrame, weights: list[float], grow_by: float | None = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,9 +49,10 @@ def shard_documents(docs: DataFrame, weights: list[float], grow_by: float | None
         key.alias(id_col),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        rendezvous(key, weights).cast("int").alias("shard"),
-        (rendezvous(key, [*weights, grow_by]) if grow_by else F.lit(None)).cast("int").alias("grown_shard"),
+        draws(key, [*weights, grow_by] if grow_by else weights).alias("_draws"),
         F.md5(F.concat(F.lit("slot:"), F.coalesce(key.cast("string"), F.lit("null")))).alias("_order"),
     )
+    n = len(weights)  # each shard draws once; the one that would join is the last
+    thin = thin.withColumn("shard", winner(F.col("_draws"), n)).withColumn("grown_shard", winner(F.col("_draws")) if grow_by else F.lit(None).cast("int")).drop("_draws")
     out = ranked(stash(thin, "shards"), ["shard"], ["_order", id_col, "text_crc32", "size"], "slot")
     return out.select(id_col, "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
