@@ -219,9 +219,9 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, par
 
 #: Members of a bucket are compared in blocks of about so many, so that no task holds a whole bucket.
 BLOCK = 512
-#: Buckets that share members are sent as one group up to so many members, in smaller blocks, and each for itself beyond. Which
-#: members are compared is the same: those that share a bucket.
-CLUSTER, CLUSTER_BLOCK = 2048, 128
+#: Buckets that share members are sent as one group up to so many members, in smaller blocks (of at least so many members, but so
+#: many blocks at most), and each for itself beyond. Which members are compared is the same: those that share a bucket.
+CLUSTER, CLUSTER_BLOCK, CLUSTER_PARTS = 8192, 128, 24
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 25, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     placed = apart.join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "n"), "rep")
     small = F.col("n") <= CLUSTER
     grouped = placed.groupBy(small.alias("whole"), F.when(small, F.col("cluster")).otherwise(F.col("h")).alias("g"), F.when(small, F.col("n")).otherwise(F.col("size")).alias("size"), "rep", "component").agg(F.collect_set("h").alias("hs"))
-    blocks = F.ceil(F.col("size") / F.when(F.col("whole"), F.lit(min(CLUSTER_BLOCK, BLOCK))).otherwise(F.lit(BLOCK))).cast("int")
+    blocks = F.ceil(F.col("size") / F.when(F.col("whole"), F.greatest(F.lit(min(CLUSTER_BLOCK, BLOCK)), F.ceil(F.col("size") / CLUSTER_PARTS))).otherwise(F.lit(BLOCK))).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit("block")), blocks).cast("int")
     dealt = grouped.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("whole", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "hs")
