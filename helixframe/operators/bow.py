@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions.exprs import rounded
 from ..functions.tables import PROTEIN, universe
-from .words import dt_words, top_n_gram, word_counts
+from .words import top_n_gram
 
 
 def kmer_bow(seqs: DataFrame, k: int, alphabet: str, reverse: bool = False) -> DataFrame:
@@ -118,7 +117,7 @@ def top_n_gram_bow(seqs: DataFrame, n: int, profile: DataFrame | None = None) ->
     return A.by_row(grams, len(names), made, "word string, value double")
 
 
-def _pairs(seqs: DataFrame, max_distance: int) -> DataFrame:
+def _pairs(seqs: DataFrame, max_distance: int, dense: bool = False) -> DataFrame:
     def made(column: pa.Array):
         codes, at = A.letter_codes(column, PROTEIN)
         size = len(PROTEIN)
@@ -131,7 +130,7 @@ def _pairs(seqs: DataFrame, max_distance: int) -> DataFrame:
                 here = np.flatnonzero(of[d:] == of[:-d]) if len(of) > d else np.zeros(0, np.int64)
                 a, b = codes[here], codes[here + d]
                 counts, names = A.count_codes(of[here], np.where((a >= 0) & (b >= 0), a * size + b, -1), len(column), size * size), universe(2, PROTEIN)
-            i, j = np.nonzero(counts)
+            i, j = (x.ravel() for x in np.indices(counts.shape)) if dense else np.nonzero(counts)
             row.append(i)
             dist.append(np.full(len(i), d, np.int32))
             word.append(A.strings(names, j))
@@ -141,20 +140,11 @@ def _pairs(seqs: DataFrame, max_distance: int) -> DataFrame:
     return A.by_row(seqs, 400 * (max_distance + 1), made, "dist int, word string, n long")
 
 
-def dr_bow(seqs: DataFrame, max_distance: int) -> DataFrame:
-    """Counts of letters (dist 0) and of pairs at each distance; sparse: seq_id, dist, word, n. dense_bow() adds the zeros."""
-    return _pairs(seqs, max_distance)
+def dr_bow(seqs: DataFrame, max_distance: int, dense: bool = False) -> DataFrame:
+    """Counts of letters (dist 0) and of pairs at each distance: seq_id, dist, word, n; rows of 0 only if dense."""
+    return _pairs(seqs, max_distance, dense)
 
 
-def dt_bow(seqs: DataFrame, max_distance: int, profile: DataFrame | None = None) -> DataFrame:
-    return _pairs(top_n_gram(seqs, 1, profile), max_distance) if profile is None else word_counts(dt_words(seqs, max_distance, profile), "dist")
-
-
-def dense_bow(seqs: DataFrame, sparse: DataFrame, max_distance: int, share: bool = False) -> DataFrame:
-    """seq_id, dist, word, n of dr_bow or dt_bow with a row for each letter, each pair at each distance and each row of seqs, 0
-    where there is none; with share, n is divided by the sequence's length. The ids of seqs must be unique."""
-    one = F.array(*[F.struct(F.lit(0).alias("dist"), F.lit(a).alias("word")) for a in PROTEIN])
-    two = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_distance)), lambda d: F.transform(F.array(*[F.lit(w) for w in universe(2, PROTEIN)]), lambda w: F.struct(d.alias("dist"), w.alias("word")))))
-    every = seqs.select("seq_id", F.length("seq").alias("_n"), F.explode(F.concat(one, two) if max_distance else one).alias("c")).select("seq_id", "_n", "c.dist", "c.word")
-    rows = every.join(sparse, ["seq_id", "dist", "word"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return rows.withColumn("n", rounded(F.col("n") / F.greatest("_n", F.lit(1)), 8)).drop("_n") if share else rows.drop("_n")
+def dt_bow(seqs: DataFrame, max_distance: int, profile: DataFrame | None = None, dense: bool = False) -> DataFrame:
+    """dr_bow() of the sequences of residues' most frequent amino acids."""
+    return _pairs(top_n_gram(seqs, 1, profile), max_distance, dense)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
-from ..operators import analysis, bow, evaluate, learn, net, residue, score, syntax, weighting, words
+from ..operators import analysis, bow, compose, evaluate, learn, net, residue, score, syntax, weighting, words
 from ..sources import adapters, formats
 from ..sources.adapters import SQL_VIEWS, dna, labelled, protein, rna, vectors
 
@@ -194,6 +194,15 @@ def q_dr_bow(spark, d):
     return bow.dr_bow(protein(spark, d), 3)
 
 
+@query(
+    "dr_bow_dense",
+    _with("protein", _dr("protein", 1), "c AS (SELECT seq_id, dist, word, count(*) AS n FROM r GROUP BY ALL)", _universe(1, T.PROTEIN, "one"), _universe(2, T.PROTEIN, "two"), "u AS (SELECT 0 AS dist, word FROM one UNION ALL SELECT 1, word FROM two)")
+    + "SELECT seq_id, u.dist::INT AS dist, u.word, coalesce(n, 0)::BIGINT AS n FROM protein CROSS JOIN u LEFT JOIN c USING (seq_id, dist, word)",
+)
+def q_dr_bow_dense(spark, d):
+    return bow.dr_bow(protein(spark, d), 1, dense=True)
+
+
 @query("dt_bow", _with("protein", _mapped("protein", _TOP1, "top"), _dr("top", 3)) + "SELECT seq_id, dist, word, count(*) AS n FROM r GROUP BY ALL")
 def q_dt_bow(spark, d):
     return bow.dt_bow(protein(spark, d), 3)
@@ -323,6 +332,16 @@ def lsa_kmer(spark, d):
     return analysis.truncated_svd(counts, 4)
 
 
+@query("lsa_tfidf")
+def lsa_tfidf(spark, d):
+    return compose.topic_features(compose.sentence(dna(spark, d), "Kmer", 2, T.DNA), "TF-IDF", "LSA", 4)
+
+
+@query("lda_textrank")
+def lda_textrank(spark, d):
+    return compose.topic_features(compose.sentence(dna(spark, d), "RevKmer", 2, T.DNA), "TextRank", "Labeled-LDA", 3, rounds=3)
+
+
 _DRAWN = "((('0x' || substr(md5({0} || ':' || topic), 1, 8))::BIGINT % 1000) + 1) / 1000.0::DOUBLE"
 _EM = ",\n".join(
     f"e{i} AS MATERIALIZED (SELECT seq_id, word, topic, n * CASE WHEN sum(t * f) OVER x > 0 THEN t * f / sum(t * f) OVER x ELSE 1.0::DOUBLE / 3 END AS m FROM c JOIN h{i - 1} USING (seq_id) JOIN f{i - 1} USING (word, topic) WINDOW x AS (PARTITION BY seq_id, word)),\n"
@@ -651,8 +670,6 @@ def sr_pdt_profile(spark, d):
 
 @query("index_zscores", _values("WITH e", "prop, word, x", [(p, w, float(x)) for p, t in _DI.items() for w, x in t.items()]) + " SELECT prop, word, round((x - avg(x) OVER (PARTITION BY prop)) / stddev_samp(x) OVER (PARTITION BY prop), 2) + 0.0 AS z FROM e")
 def index_zscores(spark, d):
-    from pyspark.sql import Window
-
     rows = spark.createDataFrame([(p, w, float(x)) for p, t in _DI.items() for w, x in t.items()], "prop string, word string, x double")
     w = Window.partitionBy("prop")
     return rows.select("prop", "word", (F.round((F.col("x") - F.avg("x").over(w)) / F.stddev_samp("x").over(w), 2) + F.lit(0.0)).alias("z"))
@@ -668,16 +685,16 @@ _SCORES = {
     "JSC": "CASE WHEN len(list_filter(list_zip(a.x, b.x), lambda z: z[1] <> 0 OR z[2] <> 0)) > 0 THEN len(list_filter(list_zip(a.x, b.x), lambda z: z[1] <> z[2]))::DOUBLE / len(list_filter(list_zip(a.x, b.x), lambda z: z[1] <> 0 OR z[2] <> 0)) ELSE 0.0 END",
     "CS": "list_cosine_similarity(a.x, b.x)",
     "PCC": "list_cosine_similarity(list_transform(a.x, lambda v: v - list_avg(a.x)), list_transform(b.x, lambda v: v - list_avg(b.x)))",
-    "KLD": "(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] / list_sum(a.x) * ln((z[1] / list_sum(a.x)) / (z[2] / list_sum(b.x))))) + list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[2] / list_sum(b.x) * ln((z[2] / list_sum(b.x)) / (z[1] / list_sum(a.x)))))) / 2",
+    "KLD": "list_sum(list_transform(list_zip(a.x, b.x), lambda z: CASE WHEN z[1] > 0 AND z[2] > 0 THEN (z[1] / list_sum(a.x) - z[2] / list_sum(b.x)) * ln((z[1] / list_sum(a.x)) / (z[2] / list_sum(b.x))) WHEN z[1] = 0 AND z[2] = 0 THEN 0.0 ELSE 'inf'::DOUBLE END)) / 2",
 }
 for _m, _sql in _SCORES.items():
-    _x = "list_transform(x, lambda v: abs(v) + 0.001)" if _m == "KLD" else "list_transform(x, lambda v: round(v, 1))" if _m in ("HD", "JSC") else "x"
+    _x = "list_transform(x, lambda v: round(abs(v), 1))" if _m == "KLD" else "list_transform(x, lambda v: round(v, 1))" if _m in ("HD", "JSC") else "x"
     _value = _sql if _m == "HD" else f"round({_sql}, 4) + 0.0"
 
     def _score_query(s, d, m=_m):
         rows = vectors(s, d).select(F.col("vec_id").alias("id"), "x")
         if m == "KLD":
-            rows = rows.withColumn("x", F.transform("x", lambda v: F.abs(v) + 0.001))
+            rows = rows.withColumn("x", F.transform("x", lambda v: F.round(F.abs(v), 1)))
         elif m in ("HD", "JSC"):
             rows = rows.withColumn("x", F.transform("x", lambda v: F.round(v, 1)))
         return score.pairs(rows.where("id % 20 = 0"), rows, m)
@@ -685,6 +702,13 @@ for _m, _sql in _SCORES.items():
     query(f"sim_{_m.lower()}", _with("vectors", f"v AS MATERIALIZED (SELECT vec_id, {_x} AS x FROM vectors)") + f"SELECT b.vec_id AS query_id, a.vec_id AS id, {_value} AS score FROM v a, v b WHERE b.vec_id % 20 = 0")(_score_query)
 
 
+query(
+    "score_folds",
+    _with("vectors", "v AS MATERIALIZED (SELECT vec_id AS id, x, ((row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1) % 3)::INT AS fold FROM vectors)")
+    + f"SELECT f.fold::INT AS fold, CASE WHEN a.fold = f.fold THEN 'test' ELSE 'train' END AS part, a.id AS i, b.id AS j, round({_SCORES['ED']}, 4) + 0.0 AS score FROM range(3) f(fold), v a, v b WHERE b.fold <> f.fold AND b.id % 20 = 0",
+)(lambda s, d: score.fold_scores(*(lambda rows: (rows, "ED", rows.where("id % 20 = 0")))(evaluate.folds(_wide(s, d), 3, label_col=None))))
+
+
 # ---- analysis ----------------------------------------------------------------------------------------------------------------
 
 
@@ -739,7 +763,7 @@ query("fa_pca")(lambda s, d: analysis.pca(_wide(s, d), 4))
 query("fa_tsvd")(lambda s, d: analysis.truncated_svd(_wide(s, d), 4))
 query("fa_kernel_pca")(lambda s, d: analysis.pca(learn.fourier_features(_wide(s, d), 1 / 64), 4))
 query("fa_tree")(lambda s, d: analysis.tree_importance(_wide(s, d), _classes(s, d), 10))
-query("fa_rfe")(lambda s, d: analysis.recursive_elimination(_wide(s, d), _classes(s, d).withColumn("y", F.when(F.col("y") < 5, 1).otherwise(-1)), 16, 16))
+query("fa_rfe")(lambda s, d: analysis.recursive_elimination(_wide(s, d), _classes(s, d).withColumn("y", F.when(F.col("y") < 5, 1).otherwise(-1)), 16, 1))
 
 
 # ---- evaluation --------------------------------------------------------------------------------------------------------------
@@ -847,6 +871,17 @@ def af_motif_cnn(spark, d):
     return net.cross_validate(rows, 3, "cnn", len(_MOTIFS), hidden=8, epochs=4).select("id", "fold", F.transform("features", lambda v: F.round(v, 6)).alias("features"))
 
 
+@query("af_motif_dcnn")
+def af_motif_dcnn(spark, d):
+    """Profiles' rows in pieces of 16 residues' means, which a convolution and a recurrent net read: out-of-fold features."""
+    rows = residue.pssm_rows(protein(spark, d))
+    part = F.floor(F.col("pos") * 16 / F.count(F.lit(1)).over(Window.partitionBy("seq_id"))).cast("int")
+    means = rows.withColumn("part", part).groupBy("seq_id", "part").agg(F.array(*[F.avg(F.col("vec")[i]) for i in range(20)]).alias("v"))
+    x = means.groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "v"))), lambda r: r["v"]).alias("x"))
+    task = evaluate.folds(x.join(labelled(spark, d), "seq_id").select(F.col("seq_id").alias("id"), "x", (F.col("y") > 0).cast("int").alias("y")), 3)
+    return net.cross_validate(task, 3, "cnn-bilstm", 16, hidden=8, epochs=3).select("id", "fold", F.transform("features", lambda v: F.round(v, 6)).alias("features"))
+
+
 @query("score_matrix_rf")
 def score_matrix_rf(spark, d):
     """A forest on rows of cosine scores with a stated query set."""

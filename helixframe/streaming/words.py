@@ -12,8 +12,20 @@ def fasta_stream(spark: SparkSession, folder: str) -> DataFrame:
     """name, seq, arrived of FASTA files as they appear in a folder."""
     from ..sources.formats import parse_fasta
 
-    rows = spark.readStream.option("lineSep", ">").text(folder).where(F.length(F.trim("value")) > 0)
-    return rows.select(*parse_fasta(F.col("value")), F.current_timestamp().alias("arrived"))
+    rows = spark.readStream.option("lineSep", "\n>").text(folder).where(F.length(F.trim("value")) > 0)
+    return rows.select(*parse_fasta(F.regexp_replace("value", "\r", "")), F.current_timestamp().alias("arrived"))
+
+
+def deduplicated(seqs: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Sequences (seq, arrived) whose letters haven't come within `late` before; state is a hash for each sequence of that time."""
+    rows = seqs.withColumn("_hash", F.md5("seq")).withWatermark("arrived", late)
+    return rows.dropDuplicatesWithinWatermark(["_hash"]).drop("_hash")
+
+
+def running_composition(seqs: DataFrame, alphabet: str) -> DataFrame:
+    """letter, n: the letters of all sequences (seq) so far; state is a row for each letter. A stream's output mode is complete."""
+    letters = F.explode(F.split(F.regexp_replace(F.upper("seq"), f"[^{alphabet}]", ""), "")).alias("letter")
+    return seqs.select(letters).where("letter <> ''").groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
 
 
 def windowed_words(seqs: DataFrame, k: int, window: str = "1 minute", late: str = "5 minutes") -> DataFrame:

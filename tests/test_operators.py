@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import tables as T
-from helixframe.operators import analysis, bow, evaluate, learn, residue, score, syntax, weighting, words
+from helixframe.operators import analysis, bow, compose, evaluate, learn, residue, score, syntax, weighting, words
 from helixframe.sources import formats
 
 
@@ -314,3 +314,41 @@ def test_affinity_propagation_groups_like_columns(spark):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
     got = {r.feature: r.exemplar for r in analysis.affinity_propagation(rows).collect()}
     assert len(set(got.values())) == 3 and all(len({got[4 * i + j] for j in range(4)}) == 1 for i in range(3))
+
+
+def test_scores_of_degenerate_vectors(spark):
+    rows = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 3.0]), (3, [0.0, 1.0])], "id long, x array<double>")
+    got = lambda m: {(r.query_id, r.id): r.score for r in score.pairs(rows, rows, m).collect()}
+    cs, pcc, kld = got("CS"), got("PCC"), got("KLD")
+    assert cs[0, 1] is None and cs[1, 1] == 1.0 and pcc[1, 2] is None and pcc[2, 3] == 1.0
+    assert kld[0, 1] is None and kld[1, 3] == math.inf and kld[1, 1] == 0.0
+    p, q = np.array([0.5, 0.5]), np.array([0.25, 0.75])
+    assert kld[1, 2] == pytest.approx(round(((p * np.log(p / q)).sum() + (q * np.log(q / p)).sum()) / 2, 4))
+
+
+def test_compositions_by_name(spark):
+    rows = seqs(spark, *["ACGTACGTTGCA", "AACCGGTTACGT", "ACACACACACGT", "GGGTTTAAACCC"] * 3)
+    for kind in ("Kmer", "RevKmer", "Mismatch", "Subsequence"):
+        assert compose.sentence(rows, kind, 2, T.DNA).count() > 0
+    w = compose.sentence(rows, "Kmer", 2, T.DNA)
+    for source in compose.SOURCES:
+        assert compose.weighted(w, source).count() > 0
+    x = {r.id: np.array(r.x) for r in compose.wide(compose.weighted(w, "BOW")).collect()}
+    assert len(x) == 12 and all(v.sum() == 11 for v in x.values())
+    for method in ("LSA", "PLSA", "LDA", "Labeled-LDA"):
+        got = compose.topic_features(w, "BOW", method, 2, rounds=2).collect()
+        assert len(got) == 12 and all(len(r.topics) == 2 for r in got)
+    for method in ("word2vec", "Glove", "fastText"):
+        assert compose.word_vectors(w, method, 4).count() > 0
+    for bad in (lambda: compose.sentence(rows, "x", 2, T.DNA), lambda: compose.weighted(w, "x"), lambda: compose.topic_features(w, "BOW", "x", 2), lambda: compose.word_vectors(w, "x", 2)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_tables_hold_the_published_values():
+    """Values looked up in the publications, not in the tables."""
+    b = lambda m, x, y: m[x][T.MATRIX_ORDER.index(y)]
+    assert [b(T.BLOSUM62, *p) for p in ("WW", "CC", "AA", "WP", "IV", "DE", "KR", "GI")] == [11, 9, 4, -4, 3, 2, 2, -4]
+    assert [b(T.PAM250, *p) for p in ("WW", "CC", "AA", "FY", "WR", "DE", "IV")] == [17, 12, 2, 7, 2, 3, 4]
+    assert all(b(m, x, y) == b(m, y, x) for m in (T.BLOSUM62, T.PAM250) for x in T.PROTEIN for y in T.PROTEIN)
+    assert T.MASS["G"] < T.MASS["A"] < T.MASS["W"] and max(T.MASS, key=T.MASS.get) == "W"
