@@ -34,6 +34,44 @@ def kmer_bow(seqs: DataFrame, k: int, alphabet: str, reverse: bool = False) -> D
     return A.by_row(seqs, len(kept), made, "word string, value double")
 
 
+def kmer_counts(seqs: DataFrame, k: int, alphabet: str, reverse: bool = False) -> DataFrame:
+    """seq_id, word, n of the windows that a sequence has, or with reverse of their reverse complements. Windows with a letter of no
+    alphabet are left out."""
+    names = universe(k, alphabet)
+    shown = [w.translate(str.maketrans("ACGT", "TGCA"))[::-1] for w in names] if reverse else names
+
+    def made(column: pa.Array):
+        codes, at = A.letter_codes(column, alphabet)
+        row, _, code = A.word_codes(codes, at, k, len(alphabet))
+        keep = code >= 0
+        cell, n = np.unique(row[keep] * len(names) + code[keep], return_counts=True)
+        return cell // len(names), {"word": A.strings(shown, cell % len(names)), "n": pa.array(n, pa.int64())}
+
+    return A.by_row(seqs, min(len(names), 4096), made, "word string, n long")
+
+
+def kmer_pairs(seqs: DataFrame, k: int, alphabet: str, window: int) -> DataFrame:
+    """a, b, weight: symmetric counts of windows at distance d <= window, each for 1 / d, of all sequences together. Tasks count what
+    they read; a row for each pair of words and task is shuffled."""
+    names = universe(k, alphabet)
+    size = len(names)
+
+    def made(column: pa.Array):
+        codes, at = A.letter_codes(column, alphabet)
+        row, _, code = A.word_codes(codes, at, k, len(alphabet))
+        cells, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for d in range(1, window + 1):
+            here = np.flatnonzero((row[d:] == row[:-d]) & (code[d:] >= 0) & (code[:-d] >= 0)) if len(row) > d else np.zeros(0, np.int64)
+            cell, n = np.unique(code[here] * size + code[here + d], return_counts=True)
+            cells += [cell, cell % size * size + cell // size]
+            weights += [n / d, n / d]
+        cell, back = np.unique(np.concatenate(cells), return_inverse=True)
+        total = np.bincount(back, np.concatenate(weights), len(cell))
+        return np.zeros(len(cell), np.int64), {"a": A.strings(names, cell // size), "b": A.strings(names, cell % size), "weight": pa.array(total)}
+
+    return A.by_row(seqs, 1, made, "a string, b string, weight double").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+
+
 def mismatch_bow(seqs: DataFrame, k: int, alphabet: str, m: int = 1) -> DataFrame:
     """Counts of words where each window also counts for all its one-letter variants. Windows are counted first, and the counts
     then spread over the words beside them."""

@@ -10,37 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import tables as T
-from ..functions.exprs import kmers, letters, lookup, rounded
+from ..functions.exprs import letters, rounded
 
 
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
-def _head(a: Column, n: Column) -> Column:
-    return F.slice(a, F.lit(1), n)
-
-
-def _tail(a: Column, start: int, n: Column) -> Column:
-    return F.slice(a, F.lit(start + 1), n)
-
-
-def _words(seqs: DataFrame, k: int) -> DataFrame:
-    """seq_id, w (windows in order), n (how many). The letters are a column of their own: an expression would be split anew for each
-    window. n comes from the length: a filter on size(w) would be pushed down together with the making of the windows."""
-    rows = seqs.select("seq_id", F.greatest(F.length("seq") - (k - 1), F.lit(0)).alias("n"), letters(F.col("seq")).alias("c"))
-    return rows.select("seq_id", "n", kmers(F.col("c"), k).alias("w"))
-
-
-def _mapped(words: str, table: dict[str, float]) -> Column:
-    return F.transform(words, lambda x: lookup(x, table))
-
-
-def _products(i: int, j: int) -> Column:
-    """Centred products of properties i and j at the column lag."""
-    return F.zip_with(_head(F.col(f"v{i}"), F.col("m")), F.slice(f"v{j}", F.col("lag") + 1, F.col("m")), lambda a, b: (a - F.col(f"m{i}")) * (b - F.col(f"m{j}")))
-
-
 def _along(weights: list[list[float]]) -> Column:
     """Scores of a motif at each start along m, negative ones as 0."""
     flat = F.array(*[F.lit(float(x)) for r in weights for x in r])
@@ -48,69 +24,101 @@ def _along(weights: list[list[float]]) -> Column:
     return F.transform(F.sequence(F.lit(0), F.col("n") - width), lambda s: F.greatest(F.lit(0.0), _sum(F.zip_with(F.flatten(F.slice("m", s + 1, F.lit(width))), flat, lambda a, b: a * b))))
 
 
-def _values(seqs: DataFrame, k: int, props: dict[str, dict[str, float]]) -> DataFrame:
-    """seq_id, prop, v (the property along the windows), n (windows). One row for each property. props: property -> word ->
-    value."""
-    rows = _words(seqs, k)
-    made = [F.struct(F.lit(p).alias("prop"), _mapped("w", t).alias("v")) for p, t in props.items()]
-    rows = rows.select("seq_id", F.explode(F.array(*made)).alias("p")).select("seq_id", "p.prop", "p.v")
-    return rows.withColumn("n", F.size("v"))
+class Windows:
+    """The values of properties along the windows of sequences: x has a row for each property and a place for each window, NaN where a
+    table doesn't have the word. row, pos and n: each window's sequence, its place, and how many windows that sequence has."""
+
+    def __init__(self, column: pa.Array, k: int, props: dict[str, dict[str, float]]) -> None:
+        letters_ = "".join(sorted({c for t in props.values() for w in t for c in w}))
+        place = {c: i for i, c in enumerate(letters_)}
+        table = np.full((len(props), len(letters_) ** k), np.nan)
+        for i, t in enumerate(props.values()):
+            for w, x in t.items():
+                code = 0
+                for ch in w:
+                    code = code * len(letters_) + place[ch]
+                table[i, code] = x
+        codes, at = A.letter_codes(column, letters_)
+        self.rows = len(column)
+        self.row, self.pos, code = A.word_codes(codes, at, k, len(letters_))
+        self.size = np.maximum(np.diff(at) - (k - 1), 0)
+        self.n = self.size[self.row]
+        self.x = np.where(code >= 0, table[:, np.maximum(code, 0)], np.nan)
 
+    def sums(self, values: np.ndarray, some: np.ndarray | None = None) -> np.ndarray:
+        """values summed up for each sequence, over the windows `some` that they belong to."""
+        return np.bincount(self.row if some is None else self.row[some], values, self.rows)
 
-def _autocovariance(rows: DataFrame, lags: int) -> DataFrame:
-    """The mean leaves the last window out, and the second factor isn't centred: both define the feature."""
-    rows = rows.where("n >= 2").withColumn("mean", _sum(_head(F.col("v"), F.col("n") - 1)) / (F.col("n") - 1))
-    rows = rows.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).where("n > lag").withColumn("m", F.col("n") - F.col("lag"))
-    products = F.zip_with(_head(F.col("v"), F.col("m")), F.slice("v", F.col("lag") + 1, F.col("m")), lambda a, b: (a - F.col("mean")) * b)
-    return rows.select("seq_id", F.concat(F.lit("ac|"), F.col("lag"), F.lit("|"), "prop").alias("feature"), (_sum(products) / F.col("m")).alias("value"))
+    def ahead(self, lag: int) -> np.ndarray:
+        """The windows that have another so many places on."""
+        return np.flatnonzero(self.pos < self.n - lag)
 
 
-def _crosscovariance(seqs: DataFrame, k: int, props: dict, lags: int) -> DataFrame:
-    """Every ordered pair of different properties, both centred by the same means as above."""
-    rows = _words(seqs.where(F.length("seq") > k), k)
-    for i, t in enumerate(props.values()):
-        rows = rows.withColumn(f"v{i}", _mapped("w", t))
-        rows = rows.withColumn(f"m{i}", _sum(_head(F.col(f"v{i}"), F.col("n") - 1)) / (F.col("n") - 1))
-    rows = rows.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).where("n > lag").withColumn("m", F.col("n") - F.col("lag"))
-    names, made = list(props), []
-    for i, p in enumerate(names):
-        for j, q in enumerate(names):
-            if i != j:
-                products = _products(i, j)
-                made.append(F.struct(F.concat(F.lit("cc|"), F.col("lag"), F.lit(f"|{p}|{q}")).alias("feature"), (_sum(products) / F.col("m")).alias("value")))
-    return rows.select("seq_id", F.explode(F.array(*made)).alias("r")).select("seq_id", "r.feature", "r.value")
+def _features(parts: list[tuple[str, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Result rows of (feature, sequences, their values); NaN is null."""
+    names = [f for f, _, _ in parts]
+    rows = np.concatenate([r for _, r, _ in parts]) if parts else np.zeros(0, np.int64)
+    index = np.repeat(np.arange(len(parts)), [len(r) for _, r, _ in parts])
+    values = np.concatenate([v for _, _, v in parts]) if parts else np.zeros(0)
+    return rows, {"feature": A.strings(names, index), "value": pa.array(values, from_pandas=True)}
 
 
 def covariance(seqs: DataFrame, kind: str, lags: int, k: int, props: dict[str, dict[str, float]], digits: int = 8) -> DataFrame:
-    """kind 'ac' (DAC, TAC, AC), 'cc' (DCC, TCC, CC) or 'acc' (both)."""
-    out = None
-    if kind in ("ac", "acc"):
-        out = _autocovariance(_values(seqs, k, props), lags)
-    if kind in ("cc", "acc"):
-        cross = _crosscovariance(seqs, k, props, lags)
-        out = cross if out is None else out.unionByName(cross)
-    return out.withColumn("value", rounded(F.col("value"), digits))
+    """kind 'ac' (DAC, TAC, AC), 'cc' (DCC, TCC, CC) or 'acc' (both). Means leave a sequence's last window out; the second factor of
+    an autocovariance isn't centred; a cross covariance is that of every ordered pair of different properties, both centred."""
+    names = list(props)
+
+    def made(column: pa.Array) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        w = Windows(column, k, props)
+        inner = w.pos < w.n - 1
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = np.stack([w.sums(x * inner) for x in w.x]) / (w.size - 1)
+        parts = []
+        for g in range(1, lags + 1):
+            some = w.ahead(g)
+            has = np.flatnonzero(w.size > max(g, 1))
+            centred = w.x[:, some] - mean[:, w.row[some]]
+            later = w.x[:, some + g]
+            m = w.size[has] - g
+            if kind in ("ac", "acc"):
+                parts += [(f"ac|{g}|{p}", has, A.half_up(w.sums(centred[i] * later[i], some)[has] / m, digits)) for i, p in enumerate(names)]
+            if kind in ("cc", "acc"):
+                later = later - mean[:, w.row[some]]
+                parts += [(f"cc|{g}|{p}|{q}", has, A.half_up(w.sums(centred[i] * later[j], some)[has] / m, digits)) for i, p in enumerate(names) for j, q in enumerate(names) if i != j]
+        return _features(parts)
+
+    return A.by_row(seqs, 4 * len(names) * lags, made, "feature string, value double")
 
 
 def autocorrelation(seqs: DataFrame, kind: str, lag: int, k: int, props: dict[str, dict[str, float]], digits: int = 3) -> DataFrame:
     """kind 'moran', 'geary' or 'moreau' at one lag, 0 < lag < 16. A constant property gives no value (null)."""
     if not 0 < lag < 16:
         raise ValueError("the lag must be from 1 to 15")
-    rows = _values(seqs, k, props).where(F.col("n") > lag).withColumn("m", F.col("n") - lag)
-    v, m, n = F.col("v"), F.col("m"), F.col("n")
-    if kind == "moreau":
-        value = _sum(F.zip_with(_head(v, m), _tail(v, lag, m), lambda a, b: a * b)) / m
-    else:
-        rows = rows.withColumn("mean", _sum(v) / n)
-        mean = F.col("mean")
-        if kind == "moran":
-            top = _sum(F.zip_with(_head(v, m), _tail(v, lag, m), lambda a, b: (a - mean) * (b - mean))) / m
-            bottom = _sum(F.transform(v, lambda a: (a - mean) * (a - mean))) / n
-        else:
-            top = _sum(F.zip_with(_head(v, m), _tail(v, lag, m), lambda a, b: (a - b) * (a - b))) * n
-            bottom = _sum(F.transform(_head(v, m), lambda a: (a - mean) * (a - mean))) * m * 2
-        value = F.when(F.abs(bottom) > 1e-12, top / bottom)
-    return rows.select("seq_id", F.col("prop").alias("feature"), rounded(value, digits).alias("value"))
+
+    def made(column: pa.Array) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        w = Windows(column, k, props)
+        some, has = w.ahead(lag), np.flatnonzero(w.size > lag)
+        n = np.maximum(w.size, 1)
+        m = np.maximum(w.size - lag, 1)
+        parts = []
+        for p, x in zip(props, w.x):
+            one, two = x[some], x[some + lag]
+            if kind == "moreau":
+                value = w.sums(one * two, some) / m
+            else:
+                mean = w.sums(x) / n
+                if kind == "moran":
+                    top = w.sums((one - mean[w.row[some]]) * (two - mean[w.row[some]]), some) / m
+                    bottom = w.sums((x - mean[w.row]) ** 2) / n
+                else:
+                    top = w.sums((one - two) ** 2, some) * n
+                    bottom = w.sums((one - mean[w.row[some]]) ** 2, some) * m * 2
+                flat = ~(np.abs(bottom) > 1e-12)
+                value = np.where(flat, np.nan, top / np.where(flat, 1.0, bottom))
+            parts.append((p, has, A.half_up(value[has], digits)))
+        return _features(parts)
+
+    return A.by_row(seqs, 4 * len(props), made, "feature string, value double")
 
 
 def nd(seqs: DataFrame, digits: int = 3) -> DataFrame:
@@ -122,26 +130,41 @@ def nd(seqs: DataFrame, digits: int = 3) -> DataFrame:
     return rows.select("seq_id", "pos", F.when(F.col("letter") == "X", 0.0).otherwise(F.round(seen / (F.col("pos") + 1), digits)).alias("value"))
 
 
-def zcpseknc(seqs: DataFrame, k: int, lamada: int, w: float, digits: int = 8) -> DataFrame:
+def zcpseknc(seqs: DataFrame, k: int, lamada: int, w: float, digits: int = 8, alphabet: str = T.DNA) -> DataFrame:
     """Z-curve pseudo k-tuple composition: x, y and z of each (k - 1)-letter prefix in each codon phase by the windows, then the
-    theta of each lag to lamada, all by their sum. Phase 1 begins at starts 2, 5, ..., phase 2 at 0, phase 3 at 1."""
-    from .words import kmer_words
-
-    words = kmer_words(seqs, k).withColumn("prefix", F.substring("word", 1, k - 1)).withColumn("last", F.substring("word", k, 1))
-    words = words.withColumn("phase", (F.col("pos") + 1) % 3 + 1).where(F.length("word") == k)
-    size = seqs.select("seq_id", (F.length("seq") - (k - 1)).alias("n"))
-    sign = lambda plus: F.sum(F.when(F.col("last").isin(*plus), 1).otherwise(-1))
-    curve = words.groupBy("seq_id", "prefix", "phase").agg(sign("AG").alias("x"), sign("AC").alias("y"), sign("AT").alias("z")).join(size, "seq_id")
-    curve = curve.select("seq_id", F.explode(F.array(*[F.struct(F.concat(F.lit(f"{a}|"), "prefix", F.lit("|"), F.col("phase")).alias("feature"), (F.col(a) / F.col("n")).alias("value")) for a in "xyz"])).alias("r")).select("seq_id", "r.*")
-    # frequencies along the windows, from the sequence's own counts
-    arrays = _words(seqs, k).withColumnRenamed("w", "c")
-    freq = words.groupBy("seq_id", "word").agg(F.count(F.lit(1)).alias("c")).join(size, "seq_id").groupBy("seq_id").agg(F.map_from_entries(F.collect_list(F.struct("word", F.col("c") / F.col("n")))).alias("f"))
-    along = arrays.join(freq, "seq_id").select("seq_id", "n", F.transform("c", lambda x: F.element_at("f", x)).alias("v"))
-    theta = along.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lamada)))).where("n > lag").withColumn("m", F.col("n") - F.col("lag"))
-    theta = theta.select("seq_id", F.concat(F.lit("theta|"), F.col("lag")).alias("feature"), (_sum(F.zip_with(_head(F.col("v"), F.col("m")), F.slice("v", F.col("lag") + 1, F.col("m")), lambda a, b: (a - b) * (a - b))) / F.col("m") * w).alias("value"))
-    rows = curve.unionByName(theta)
-    total = rows.groupBy("seq_id").agg(F.sum("value").alias("total"))
-    return rows.join(total, "seq_id").where(F.abs("total") > 1e-9).select("seq_id", "feature", rounded(F.col("value") / F.col("total"), digits).alias("value"))
+    theta of each lag to lamada, all by their sum. Phase 1 begins at starts 2, 5, ..., phase 2 at 0, phase 3 at 1. Windows with a
+    letter that isn't in the alphabet count for nothing but their number."""
+    size = len(alphabet)
+    prefixes = T.universe(k - 1, alphabet) if k > 1 else [""]
+    names = [f"{a}|{p}|{f}" for a in "xyz" for p in prefixes for f in (1, 2, 3)] + [f"theta|{g}" for g in range(1, lamada + 1)]
+    signs = np.array([[1 if c in plus else -1 for c in alphabet] for plus in ("AG", "AC", "AT")])
+
+    def made(column: pa.Array) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        codes, at = A.letter_codes(column, alphabet)
+        row, pos, code = A.word_codes(codes, at, k, size)
+        rows, n = len(column), np.maximum(np.diff(at) - (k - 1), 0)
+        share = 1 / np.maximum(n, 1)
+        known = code >= 0
+        cell = (code // size) * 3 + (pos + 1) % 3
+        cells = 3 * len(prefixes)
+        there = A.count_codes(row, np.where(known, cell, -1), rows, cells) > 0
+        values = []
+        for s in signs:
+            total = np.bincount(row[known] * cells + cell[known], s[code[known] % size], rows * cells).reshape(rows, cells)
+            values.append(np.where(there, total * share[:, None], np.nan))
+        # how frequent each window's word is in its sequence
+        _, back, times = np.unique(row * size**k + np.maximum(code, 0), return_inverse=True, return_counts=True)
+        often = times[back] * share[row] * known
+        for g in range(1, lamada + 1):
+            some = np.flatnonzero(pos < n[row] - g)
+            sums = np.bincount(row[some], (often[some] - often[some + g]) ** 2, rows)
+            values.append(np.where(n > g, sums / np.maximum(n - g, 1) * w, np.nan)[:, None])
+        all_ = np.concatenate(values, 1)
+        total = np.nansum(all_, 1)
+        i, j = np.nonzero(~np.isnan(all_) & (np.abs(total) > 1e-9)[:, None])
+        return i, {"feature": A.strings(names, j), "value": pa.array(A.half_up(all_[i, j] / total[i], digits))}
+
+    return A.by_row(seqs, 2 * len(names), made, "feature string, value double")
 
 
 def z_scored(props: dict[str, dict[str, float]], sample: bool) -> dict[str, dict[str, float]]:
@@ -304,9 +327,16 @@ def motif_scores(rows: DataFrame, motifs: dict[str, list[list[float]]], digits:
 
 def pdt(seqs: DataFrame, lags: int, props: dict[str, dict[str, float]], digits: int = 3) -> DataFrame:
     """The mean squared difference of each property at each distance (the published definition)."""
-    rows = _values(seqs, 1, props).withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).where("n > lag").withColumn("m", F.col("n") - F.col("lag"))
-    value = _sum(F.zip_with(_head(F.col("v"), F.col("m")), F.slice("v", F.col("lag") + 1, F.col("m")), lambda a, b: (a - b) * (a - b))) / F.col("m")
-    return rows.select("seq_id", F.concat(F.col("lag"), F.lit("|"), "prop").alias("feature"), rounded(value, digits).alias("value"))
+
+    def made(column: pa.Array) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        w = Windows(column, 1, props)
+        parts = []
+        for g in range(1, lags + 1):
+            some, has = w.ahead(g), np.flatnonzero(w.size > g)
+            parts += [(f"{g}|{p}", has, A.half_up(w.sums((x[some] - x[some + g]) ** 2, some)[has] / (w.size[has] - g), digits)) for p, x in zip(props, w.x)]
+        return _features(parts)
+
+    return A.by_row(seqs, 4 * len(props) * lags, made, "feature string, value double")
 
 
 def pdt_profile(seqs: DataFrame, n: int, lags: int, props: dict[str, dict[str, float]], digits: int = 3, profile: DataFrame | None = None) -> DataFrame:

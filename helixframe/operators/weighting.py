@@ -12,8 +12,10 @@ from .words import word_counts
 
 def tf_idf(words: DataFrame, digits: int = 6) -> DataFrame:
     """seq_id, word (lower case), value: tf x (ln((1 + n) / (1 + df)) + 1), rows of length 1. Words of one letter don't count; n
-    is the number of sequences that have words. Only term rows are shuffled; the number of sequences is one value."""
-    counts = word_counts(words.where(F.length("word") >= 2).withColumn("word", F.lower("word")))
+    is the number of sequences that have words. Only term rows are shuffled; the number of sequences is one value. words may be
+    counted already (seq_id, word, n, a word's row once for each sequence)."""
+    long = words.where(F.length("word") >= 2).withColumn("word", F.lower("word"))
+    counts = long.select("seq_id", "word", "n") if "n" in words.columns else word_counts(long)
     n = counts.agg(F.count_distinct("seq_id").alias("docs"))
     df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rows = counts.join(df, "word").join(F.broadcast(n))  # one row

@@ -222,12 +222,12 @@ def q_tng_bow(spark, d):
 
 @query("tfidf_kmer", _with("dna", _windows("dna", 3), _tfidf("w")) + "SELECT * FROM t")
 def tfidf_kmer(spark, d):
-    return weighting.tf_idf(words.kmer_words(dna(spark, d), 3))
+    return weighting.tf_idf(bow.kmer_counts(dna(spark, d), 3, T.DNA))
 
 
 @query("tfidf_revkmer", _with("dna", _windows("dna", 3), f"v AS (SELECT seq_id, {_REV} AS word FROM w)", _tfidf("v")) + "SELECT * FROM t")
 def tfidf_revkmer(spark, d):
-    return weighting.tf_idf(words.revkmer_words(dna(spark, d), 3))
+    return weighting.tf_idf(bow.kmer_counts(dna(spark, d), 3, T.DNA, reverse=True))
 
 
 @query("tfidf_mismatch", _with("dna", _windows("dna", 2), _MIS2, _tfidf("v")) + "SELECT * FROM t")
@@ -268,13 +268,13 @@ _RANK_STEPS = ",\n".join(
     + "SELECT seq_id, round(rank, 8) AS rank FROM r5",
 )
 def textrank_kmer(spark, d):
-    t = weighting.tf_idf(words.kmer_words(dna(spark, d), 3), digits=-1)
+    t = weighting.tf_idf(bow.kmer_counts(dna(spark, d), 3, T.DNA), digits=-1)
     return weighting.text_rank(t, 0.85, 5, tolerance=0.0).select("seq_id", F.round("rank", 8).alias("rank"))
 
 
 @query("glove_cooccur", _with("dna", _windows("dna", 2), "o AS (SELECT a.word AS a, b.word AS b, 1.0::DOUBLE / (b.pos - a.pos) AS v FROM w a JOIN w b ON a.seq_id = b.seq_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 3)") + "SELECT a, b, round(sum(v), 4) AS weight FROM (SELECT a, b, v FROM o UNION ALL SELECT b, a, v FROM o) GROUP BY a, b")
 def glove_cooccur(spark, d):
-    return weighting.co_occurrence(words.kmer_words(dna(spark, d), 2), 3).withColumn("weight", F.round("weight", 4))
+    return bow.kmer_pairs(dna(spark, d), 2, T.DNA, 3).withColumn("weight", F.round("weight", 4))
 
 
 @query(
@@ -283,7 +283,7 @@ def glove_cooccur(spark, d):
     + "SELECT seq_id, word, round(value * rank, 8) AS value FROM t JOIN r5 USING (seq_id)",
 )
 def textrank_features(spark, d):
-    t = weighting.tf_idf(words.kmer_words(dna(spark, d), 3), digits=-1)
+    t = weighting.tf_idf(bow.kmer_counts(dna(spark, d), 3, T.DNA), digits=-1)
     return weighting.text_rank_features(t, weighting.text_rank(t, 0.85, 5, tolerance=0.0)).withColumn("value", F.round("value", 8))
 
 
@@ -306,9 +306,12 @@ def word2vec_out_of_fold(spark, d):
     return got.select("seq_id", "fold", F.size("features").alias("size"))
 
 
+query("glove_cooccur_words", ORACLES["glove_cooccur"])(lambda s, d: weighting.co_occurrence(words.kmer_words(dna(s, d), 2), 3).withColumn("weight", F.round("weight", 4)))
+
+
 @query("glove_vectors")
 def glove_vectors(spark, d):
-    return weighting.glove(weighting.co_occurrence(words.kmer_words(dna(spark, d), 3), 10), dim=16, rounds=20)
+    return weighting.glove(bow.kmer_pairs(dna(spark, d), 3, T.DNA, 10), dim=16, rounds=20)
 
 
 @query("word2vec_kmer")
