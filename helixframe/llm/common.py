@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scale import bounded, components, ranked
@@ -42,7 +42,9 @@ def hex_fraction(h: Column) -> Column:
 
 #: Batches are cut into slices of about so many bytes and rows at most, so that memory doesn't follow the batch; a longer
 #: text is a slice of its own.
-SLICE_BYTES, SLICE_ROWS = 1_000_000, 1000
+SLICE_BYTES, SLICE_ROWS = 400_000, 500
+#: Rows with whole texts go to Python so many at a time.
+BATCH_ROWS = 1000
 _M = 0x9E3779B97F4A7C15
 _M_INV = pow(_M, -1, 2**64)
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -71,6 +73,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark hand rows to Python BATCH_ROWS at a time, unless the session has a number of its own: ten thousand texts, its default,
+    are some 30 MB in each of several buffers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str | tuple[str, ...], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the column's bytes (or those of several together) stay near SLICE_BYTES, and the rows at most
     `rows`."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, mix64, slices, stash, token_hashes, windows
+from .common import bounded, components, mix64, slices, small_batches, stash, token_hashes, windows
 
 #: Rank regions: [0, 1/64), then each four times as far: [1/64, 1/16), [1/16, 1/4), ...
 _FIRST = 1 / 64
@@ -240,6 +240,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     a hash. In buckets that hold more than one component even then, all members are compared, block by block, and only a
     forest of the links found leaves a task. So all members of all buckets have been compared that links don't already join:
     there is no cap on a bucket, no candidate is dropped, and what a link is doesn't depend on how many share a bucket."""
+    small_batches(docs.sparkSession)
     all_rows = stash(sketches(docs, words, bands, rows, id_col, text_col), "sketches")
     some = all_rows.where("id is not null")
     classes = stash(some.groupBy("key").agg(F.min("id").alias("low")).withColumn("rep", F.monotonically_increasing_id()), "classes")

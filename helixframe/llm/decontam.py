@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, slices, stash, token_hashes, unused, windows
+from .common import bounded, slices, small_batches, stash, token_hashes, unused, windows
 
 #: The benchmark is the query set; it is held in blocks of about so many bytes of text, and each block meets all documents.
 BLOCK_BYTES = 16_000_000
@@ -185,6 +185,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = 4
 
     Documents never move between executors, but they are read once for each BLOCK_BYTES of benchmark text."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))

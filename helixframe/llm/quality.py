@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, give_back, slices, stash, text_bytes, token_hashes
+from .common import WORD_BYTES, give_back, slices, small_batches, stash, text_bytes, token_hashes
 
 #: The fit is made on at most so many labelled documents, those with the lowest hashes of their ids. The documents without label
 #: that the views teach each other with are the surest of all there are, so many a round from each view.
@@ -299,6 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The documents' features are written once (some 700 bytes each); the rounds read these and no text."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("y")).where("y <> 0.5")
     known = known.select("id", (F.col("y") > 0.5).cast("int").alias("y"))
     ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"))
@@ -329,6 +330,7 @@ def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: s
     A null or empty text has nothing to learn from: its score is 0 and it isn't kept. Missing metadata columns count as null.
     Without labels of both classes every score is the share of good labels (one half without any) and everything with a text
     is kept. Texts are read whole; repeated rows are scored each for itself; an empty table gives an empty result."""
+    small_batches(docs.sparkSession)
     limit = threshold if model.text is not None else -1.0
     kind = docs.schema[id_col].dataType.simpleString()
     schema = docs.schema

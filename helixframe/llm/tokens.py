@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 #: Pre-tokens of up to so many symbols are merged together, one pair of each in a step; a longer one is merged by itself, all places
 #: of a pair in a step.
@@ -198,6 +198,7 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
 
     Null and empty texts have 0 bytes and 0 tokens. Texts are read whole. Repeated rows are counted each for itself; other
     columns are ignored; an empty table gives an empty result. model_file must exist on every executor."""
+    small_batches(docs.sparkSession)
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = thin.schema["id"].dataType.simpleString()
 

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, stash
+from .common import bounded, small_batches, stash
 
 SKIPPABLE = 0x184D2A5D
 #: A dictionary is built from an archive's first records, as many as fit in so many bytes; longer records give their head.
@@ -161,6 +161,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 1000, id_co
     the smallest. Payloads are never moved between executors unless there are more repeated payloads than a checked bound.
     Each partition streams its records; a retried task replaces its own archives whole. Every archive has its dictionary,
     however few records it holds. An empty table writes nothing."""
+    small_batches(pages.sparkSession)
     text = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(text, "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
