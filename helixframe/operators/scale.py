@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.lineage import stash
+from ..sources.lineage import stash, unstash
 
 #: Tables are broadcast up to so many rows and written bytes; larger ones are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32_000_000
@@ -87,7 +87,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = near(large.groupBy("u").agg(F.min("v").alias("m")))
         made = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         small = large.join(low, "u").select(F.explode(made).alias("p")).select("p.*").where("u <> v").distinct()
-        e = stash(small.coalesce(1 + last[0] // 250_000) if last[0] <= BROADCAST_ROWS else small, "edges")
+        before, e = e, stash(small.coalesce(1 + last[0] // 250_000) if last[0] <= BROADCAST_ROWS else small, "edges")
+        unstash(before)
         if (now := digest(e)) == last:
             break
         last = now

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +31,34 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
+#: The tables that this process has written, in their order.
+_written: list[str] = []
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that were stashed inside the block when it ends without an error. What is to last must have been written
+    elsewhere by then: nothing that is still to be computed may read them."""
+    start = len(_written)
+    yield
+    jvm = spark.sparkContext._jvm
+    for path in _written[start:]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    del _written[start:]
+
+
+def unstash(df: DataFrame) -> None:
+    """Delete the table that df, as stash() returned it, reads; nothing may be computed from it any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stash(df: DataFrame, kind: str = "stash") -> DataFrame:
     """Write df to the shared folder and return the written table."""
     spark = df.sparkSession
     path = fresh_path(spark, kind)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
