@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helixframe.llm import dartminhash, decontam, mixing, quality, sharding
 from helixframe.llm.common import bounded, fresh_path, numbered, stash, unused
 from helixframe.llm.queries import MIX_WEIGHTS, SHARDS
+from helixframe.sources.lineage import swept
 
 #: The stages before the mix fit models and hash signatures that SQL doesn't have; tests hold them against brute force.
 ORACLE_SQL = None
@@ -67,6 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = fresh_path(spark, name.replace(" ", "_"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with swept(spark):  # what a stage wrote for itself goes when its result stands
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
