@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -31,21 +32,27 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
-#: The tables that this process has written, in their order.
-_written: list[str] = []
+class _Written(threading.local):
+    """The tables that a thread has stashed, in their order."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_written = _Written()
 
 
 @contextmanager
 def swept(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables that were stashed inside the block when it ends without an error. What is to last must have been written
-    elsewhere by then: nothing that is still to be computed may read them."""
-    start = len(_written)
+    """Deletes the tables that this thread stashed inside the block when it ends without an error. What is to last must have been
+    written elsewhere by then: nothing that is still to be computed may read them."""
+    start = len(_written.paths)
     yield
     jvm = spark.sparkContext._jvm
-    for path in _written[start:]:
+    for path in _written.paths[start:]:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    del _written[start:]
+    del _written.paths[start:]
 
 
 def unstash(df: DataFrame) -> None:
@@ -60,5 +67,5 @@ def stash(df: DataFrame, kind: str = "stash") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, kind)
     df.write.parquet(path)
-    _written.append(path)
+    _written.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -352,3 +352,30 @@ def test_tables_hold_the_published_values():
     assert [b(T.PAM250, *p) for p in ("WW", "CC", "AA", "FY", "WR", "DE", "IV")] == [17, 12, 2, 7, 2, 3, 4]
     assert all(b(m, x, y) == b(m, y, x) for m in (T.BLOSUM62, T.PAM250) for x in T.PROTEIN for y in T.PROTEIN)
     assert T.MASS["G"] < T.MASS["A"] < T.MASS["W"] and max(T.MASS, key=T.MASS.get) == "W"
+
+
+def test_ranks_and_running_sums(spark):
+    from helixframe.operators.scale import ranked, running
+
+    rng = np.random.default_rng(7)
+    rows = [(["a", "a", "a", "b", None][i % 5], int(v), i) for i, v in enumerate(rng.integers(0, 40, 300))]
+    df = spark.createDataFrame(rows, "g string, v int, i long").repartition(6)
+    for group in ([], ["g"]):
+        got = running(df, [F.asc("v"), F.asc("i")], {"sofar": "v"}, tuple(group)).collect()
+        at = {(r.i): r["rank"] for r in ranked(df, group, ["v", "i"]).collect()}
+        for r in got:
+            before = sorted((v, i) for g, v, i in rows if (not group or g == r.g) and (v, i) <= (r.v, r.i))
+            assert r.sofar == sum(v for v, _ in before) and at[r.i] == len(before) - 1
+
+
+def test_written_tables_are_swept(spark):
+    import os
+
+    from helixframe.sources.lineage import stash, swept
+
+    kept = stash(spark.range(3).toDF("a"), "kept")
+    with swept(spark):
+        gone = stash(spark.range(3).toDF("a"), "gone")
+        path = gone.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+        assert os.path.exists(path) and kept.count() == 3
+    assert not os.path.exists(path) and kept.count() == 3
