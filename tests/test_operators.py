@@ -379,3 +379,19 @@ def test_written_tables_are_swept(spark):
         path = gone.inputFiles()[0].removeprefix("file://").removeprefix("file:")
         assert os.path.exists(path) and kept.count() == 3
     assert not os.path.exists(path) and kept.count() == 3
+
+
+def test_covariances_of_a_profile_of_one_row(spark):
+    rows = residue.pssm_rows(seqs(spark, "A", "ACDEF"))
+    assert {r.seq_id for r in syntax.acc_pssm(rows, 2).collect()} == {1}
+
+
+def test_letter_covariances_equal_those_of_the_profile(spark):
+    s = seqs(spark, "A", "", None, "WK", "ACDEFGHIKLMNPQRSTVWY", "AAAA", "MKVLAAGIVMKV")
+    rows = residue.pssm_rows(s)
+    whole = {(r.seq_id, r.kind, r.lag, r.i, r.j): r.value for r in syntax.acc_pssm(rows, 3).collect()}
+    for kind in ("ac", "cc", "acc"):
+        got = {(r.seq_id, r.kind, r.lag, r.i, r.j): r.value for r in syntax.letter_acc(s, 3, kind).collect()}
+        assert got == pytest.approx({k: v for k, v in whole.items() if kind in (k[1], "acc")}, abs=1e-9)
+    with pytest.raises(Exception, match="BLOSUM62"):
+        syntax.letter_acc(seqs(spark, "AJA"), 1).count()
