@@ -406,3 +406,27 @@ def test_letter_motif_scores_equal_those_of_the_profile(spark):
     assert old.keys() == new.keys() and len(new) == 11 and all(new[k] == pytest.approx(old[k], abs=2e-6) for k in old)
     plan = syntax.letter_motif_scores(s, motifs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_scores_equal_their_definitions_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.round(np.abs(rng.normal(size=(40, 6))) + 0.05, 1)
+    x[3, 2] = x[4, 2] = x[5, 0] = 0.0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(40, None), (41, [1.0, None, 1.0, 1.0, 1.0, 1.0])], "id long, x array<double>")
+
+    def plain(method, a, b):
+        with np.errstate(all="ignore"):
+            p, q = a / a.sum(), b / b.sum()
+            both = np.where((p > 0) & (q > 0), (p - q) * np.log(p / q), np.where((p == 0) & (q == 0), 0, np.inf)).sum() / 2
+        active = ((a != 0) | (b != 0)).sum()
+        return {"ED": np.linalg.norm(a - b), "MD": abs(a - b).sum(), "CD": abs(a - b).max(), "HD": (a != b).sum(), "JSC": (a != b).sum() / active, "CS": a @ b / np.sqrt(a @ a * (b @ b)), "PCC": np.corrcoef(a, b)[0, 1], "KLD": both}[method]
+
+    monkeypatch.setattr(score, "PART_BYTES", 300)  # several passes
+    monkeypatch.setattr(score, "CELLS", 7)
+    for method in score.METHODS:
+        got = {(r.query_id, r.id): r.score for r in score.pairs(rows.where("id % 4 = 0"), rows, method).collect()}
+        assert len(got) == 11 * 42 and got[0, 40] is None and got[40, 0] is None and got[8, 41] is None
+        for (a, b), v in got.items():
+            if a < 40 and b < 40:
+                assert v == pytest.approx(plain(method, x[a], x[b]), abs=6e-5)
+    assert "zip_with" not in score.pairs(rows, rows, "JSC")._jdf.queryExecution().toString()
