@@ -430,3 +430,16 @@ def test_scores_equal_their_definitions_in_parts(spark, monkeypatch):
             if a < 40 and b < 40:
                 assert v == pytest.approx(plain(method, x[a], x[b]), abs=6e-5)
     assert "zip_with" not in score.pairs(rows, rows, "JSC")._jdf.queryExecution().toString()
+
+
+def test_divergence_of_zero_and_null_vectors_is_that_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    from helixframe.plans.catalogue import ORACLES, QUERIES
+
+    rows = [(0, [0.0, 0.01]), (1, [0.0, 0.0]), (2, [1.0, 2.0]), (3, [2.0, 1.0]), (20, [1.0, 2.0]), (40, None), (60, [1.0, None]), (80, [float("nan"), 1.0]), (100, [0.0, 3.0])]
+    spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(map(str, con.sql(ORACLES["sim_kld"]).fetchall()))
+    assert sorted(str(tuple(r)) for r in QUERIES["sim_kld"](spark, str(tmp_path)).collect()) == want
