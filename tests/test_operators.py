@@ -443,3 +443,13 @@ def test_divergence_of_zero_and_null_vectors_is_that_of_its_sql(spark, tmp_path)
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     want = sorted(map(str, con.sql(ORACLES["sim_kld"]).fetchall()))
     assert sorted(str(tuple(r)) for r in QUERIES["sim_kld"](spark, str(tmp_path)).collect()) == want
+
+
+def test_subsequence_counts_equal_the_words(spark):
+    s = seqs(spark, "ACGTAC", "", None, "A", "ACNGT", "TTTTTTTT")
+    for k in (1, 2, 3, 5, 6):
+        old = words.word_counts(words.subsequence_words(s, k)).where("word not like '%N%'")
+        got = bow.subsequence_counts(s, k, T.DNA)
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in old.collect()} and (k < 6) == (got.count() > 0)
+    plan = bow.subsequence_counts(s, 2, T.DNA)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
