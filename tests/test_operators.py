@@ -453,3 +453,36 @@ def test_subsequence_counts_equal_the_words(spark):
         assert {tuple(r) for r in got.collect()} == {tuple(r) for r in old.collect()} and (k < 6) == (got.count() > 0)
     plan = bow.subsequence_counts(s, 2, T.DNA)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Exchange" not in plan
+
+
+def test_kmer_neighbours_equal_those_of_the_words(spark):
+    s = seqs(spark, "ACGTACGGT", "", None, "ACG", "ACNGTAC", "TTTTTTT")
+    old = {tuple(r) for r in weighting.near_words(words.kmer_words(s, 2), 3).where("a not like '%N%' and b not like '%N%'").collect()}
+    assert {tuple(r) for r in bow.kmer_neighbours(s, 2, T.DNA, 3).collect()} == old and ("TT", "TT", 3, 3) in old
+
+
+def test_skip_gram_learns_from_every_pair():
+    """Words of a ring of 8 and its neighbours: the fit reaches nearly the pairs' own entropy, and doesn't hang on the corpus' size."""
+    a = np.repeat(np.arange(8), 2)
+    b = (a + np.tile([1, 7], 8)) % 8
+    nodes, sides, _ = weighting._tree(np.ones(8, int))
+    assert all(len(p) == 3 for p in nodes) and len({tuple(zip(p, s)) for p, s in zip(nodes, sides)}) == 8
+    x, y = (weighting.fit_skip_gram(a, b, np.full(16, w), np.full(8, 9), 10, 200, 0.05, 42) for w in (1.0, 1e6))
+    assert np.allclose(x, y)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    like = x @ x.T
+    assert min(like[i, (i + 2) % 8] for i in range(8)) > max(like[i, (i + 1) % 8] for i in range(8)) - 0.5
+    assert np.mean([like[i, (i + 2) % 8] for i in range(8)]) > np.mean([like[i, (i + 1) % 8] for i in range(8)]) + 0.3
+
+
+def test_kmer_word2vec_equals_that_of_the_words(spark):
+    rng = np.random.default_rng(2)
+    s = seqs(spark, *["".join(rng.choice(list("ACGT"), 60)) for _ in range(12)], "", "AC")
+    get = lambda df: {r.word: r.vector for r in df.collect()}
+    for old, new in ((weighting.word2vec(words.kmer_words(s, 2), 4), weighting.skip_gram(bow.kmer_neighbours(s, 2, T.DNA, 5), 4)), (weighting.subword_vectors(words.kmer_words(s, 2), 4), weighting.kmer_subword_vectors(s, 2, T.DNA, 4))):
+        old, new = get(old), get(new)
+        assert len(old) == 16 and old.keys() == new.keys() and all(new[w] == pytest.approx(old[w], abs=1e-6) for w in old)
+    folds = evaluate.folds(s, 3, "seq_id", None)
+    old = weighting.out_of_fold(words.kmer_words(s, 2), folds.select("seq_id", "fold"), lambda w: weighting.word2vec(w, dim=4), 4)
+    old, new = ({r.seq_id: (r.fold, r.features) for r in df.collect()} for df in (old, weighting.kmer_out_of_fold(folds, 2, T.DNA, 4)))
+    assert len(old) == 13 and old.keys() == new.keys() and all(new[i][0] == old[i][0] and new[i][1] == pytest.approx(old[i][1], abs=1e-6) for i in old)
