@@ -432,6 +432,19 @@ def test_scores_equal_their_definitions_in_parts(spark, monkeypatch):
     assert "zip_with" not in score.pairs(rows, rows, "JSC")._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("method", ["CS", "PCC"])
+def test_queries_are_made_ready_once(monkeypatch, method):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(30, 5)), rng.normal(size=(7, 5))
+    seen, sums = [], score._sums
+    monkeypatch.setattr(score, "_sums", lambda v: seen.append(len(v)) or sums(v))
+    made = score.METHODS[method](y)
+    got = np.concatenate([made(x[i : i + 3]) for i in range(0, 30, 3)])
+    assert 0 < seen.count(7) <= 2 and got.shape == (30, 7)
+    want = np.corrcoef(x, y)[:30, 30:] if method == "PCC" else x @ y.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
+    assert np.allclose(got, want, atol=1e-12)
+
+
 def test_divergence_of_zero_and_null_vectors_is_that_of_its_sql(spark, tmp_path):
     import duckdb
 
