@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.functions import arrays as A
 from helixframe.functions import tables as T
 from helixframe.operators import analysis, bow, compose, evaluate, learn, residue, score, syntax, weighting, words
 from helixframe.sources import formats
@@ -445,6 +446,25 @@ def test_queries_are_made_ready_once(monkeypatch, method):
     assert np.allclose(got, want, atol=1e-12)
 
 
+def test_places_that_differ_among_many_numbers_and_places():
+    rng = np.random.default_rng(7)
+    for numbers, places in ((4, 6), (700, 300)):  # more than a byte holds
+        x, y = (rng.integers(0, numbers, (n, places)).astype(float) for n in (12, 9))
+        x[0, 0], x[1, 1], x[2, 2], x[3, 3], y[0, 0], y[1, 1], y[2, 2] = np.nan, np.inf, -0.0, numbers + 5, np.nan, np.inf, 0.0
+        gap = np.array([[sum(not (p == q or (p != p and q != q)) for p, q in zip(a, b)) for b in y] for a in x])
+        active = np.array([[sum(p != 0 or q != 0 for p, q in zip(a, b)) for b in y] for a in x])
+        assert (score.METHODS["HD"](y)(x) == gap).all() and (score.METHODS["JSC"](y)(x) == gap / np.maximum(active, 1)).all()
+
+
+def test_a_number_that_stands_often_is_rounded_by_its_digits_once(monkeypatch):
+    import decimal
+
+    seen, real = [], decimal.Decimal
+    monkeypatch.setattr(decimal, "Decimal", lambda v: seen.append(v) or real(v))
+    got = A.half_up(np.array([[1 / 32, -1 / 32, 3 / 32, 0.1]] * 500), 4)  # 0.03125 and 0.09375 are halves
+    assert (got == [0.0313, -0.0313, 0.0938, 0.1]).all() and len(seen) <= 3
+
+
 def test_divergence_of_zero_and_null_vectors_is_that_of_its_sql(spark, tmp_path):
     import duckdb
 
