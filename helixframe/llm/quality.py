@@ -304,11 +304,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.select("id", (F.col("y") > 0.5).cast("int").alias("y"))
     ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"))
     known = stash(known.join(ids, "id", "left_semi").withColumn("h", F.xxhash64("id", F.lit("sample"))), "labelled")
-    some = _lowest(known, "h", LABELLED).collect()
-    if not some:
+    some = _lowest(known, "h", LABELLED).select("id", "y").toArrow()
+    if not some.num_rows:
         return CoTrained()
     kind = docs.schema[id_col].dataType.simpleString()
-    chosen = spark.createDataFrame([(r.id, r.y) for r in some], f"id {kind}, y int")
+    chosen = spark.createDataFrame(some, f"id {kind}, y int")  # from Arrow: a list would start Python workers of another kind, which stay
     rows = _views(docs, id_col, text_col).join(F.broadcast(chosen), "id", "left")  # LABELLED ids at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -696,6 +696,22 @@ def test_quality_on_held_out_rows(spark):
     assert quality.score(d.select("doc_id", "text"), model).count() == 703
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "decimal(12,2)", "timestamp"])
+def test_quality_sample_needs_no_plain_python_workers(spark, monkeypatch, kind):
+    """The labelled sample goes to the JVM as Arrow, whatever the ids are; as a list it started workers on the executors that stay there idle."""
+    typed = lambda df: df.withColumn("doc_id", F.col("doc_id").cast(kind))
+    d = typed(docs(spark, [(i, "| a | b | c" if i % 3 == 0 else "Some good words here.", "s") for i in range(120)]))
+    labels = typed(spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(90)], "doc_id long, quality int"))
+
+    def refused(*args, **kwargs):
+        raise AssertionError("rows were handed over as a list")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    model = quality.fit(d, labels)
+    assert model.report["fitted"] + model.report["calibrated"] + model.report["unseen"] == 90
+    assert sorted(r.n for r in quality.score(d, model, keep_columns=True).select(F.col("n_chars").alias("n")).collect()) == [21] * 80
+
+
 def test_views_exchange_labels():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 1200).astype(float)
