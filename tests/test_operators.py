@@ -519,3 +519,22 @@ def test_kmer_word2vec_equals_that_of_the_words(spark):
     old = weighting.out_of_fold(words.kmer_words(s, 2), folds.select("seq_id", "fold"), lambda w: weighting.word2vec(w, dim=4), 4)
     old, new = ({r.seq_id: (r.fold, r.features) for r in df.collect()} for df in (old, weighting.kmer_out_of_fold(folds, 2, T.DNA, 4)))
     assert len(old) == 13 and old.keys() == new.keys() and all(new[i][0] == old[i][0] and new[i][1] == pytest.approx(old[i][1], abs=1e-6) for i in old)
+
+
+def test_divergence_of_vectors_of_several_lengths_is_that_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    from helixframe.plans.catalogue import _SCORES, ORACLES, QUERIES
+
+    rows = [(0, [1.0, 2.0]), (20, [1.0]), (40, [2.0, 1.0]), (60, []), (80, [1.0, 2.0, 0.0]), (100, None), (120, [3.0]), (140, [1.0, None]), (160, [4.0, 1.0, 0.0]), (180, [float("nan"), 1.0]), (200, [float("inf"), 1.0, 2.0]), (3, [1.0, 3.0])]
+    spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(map(str, con.sql(ORACLES["sim_kld"]).fetchall()))
+    assert sorted(str(tuple(r)) for r in QUERIES["sim_kld"](spark, str(tmp_path)).collect()) == want
+    # before it is rounded, a score is the SQL's to the last bit
+    x = np.random.default_rng(1).integers(1, 40, (60, 64)) / 10
+    con.sql("CREATE TABLE v (i INT, x DOUBLE[])")
+    con.executemany("INSERT INTO v VALUES (?, ?)", [(i, v.tolist()) for i, v in enumerate(x)])
+    got = score.divergence(x, x)
+    assert all(got[i, j] == s for i, j, s in con.sql(f"SELECT a.i, b.i, {_SCORES['KLD']} FROM v a, v b").fetchall())
