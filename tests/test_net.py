@@ -57,6 +57,23 @@ def test_nets_learn(task, kind):
     assert {r.id: r.p for r in again} == {r.id: r.p for r in got}
 
 
+def test_all_sequences_of_the_other_folds_are_fitted(spark, monkeypatch):
+    monkeypatch.setattr(net, "BLOCK", 300)  # four blocks
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(1200, 6, 3)) * 0.3, np.arange(1200) // 3 % 2
+    for i in np.flatnonzero(y):  # a bump, as in task
+        at = rng.integers(0, 4)
+        x[i, at : at + 3] += [1.5, -1.5, 1.0]
+    rows = spark.createDataFrame([(i, i % 3, x[i].tolist(), int(y[i])) for i in range(1200)], "id long, fold int, x array<array<double>>, y int")
+    get = lambda df: {r.id: (r.p, r.y, r.features) for r in net.cross_validate(df, 3, "cnn", 6, hidden=8, epochs=6).collect()}
+    got = get(rows)
+    assert len(got) == 1200 and np.mean([p == t for p, t, _ in got.values()]) > 0.85
+    assert get(rows.repartition(5).orderBy(F.desc("id"))) == got
+    late = rows.where("fold = 0").orderBy(F.desc(F.xxhash64("id", F.lit("net")))).limit(100).select("id")  # a sample of the lowest hashes lacks them
+    other = get(rows.join(late.withColumn("flip", F.lit(1)), "id", "left").select("id", "fold", "x", F.when(F.col("flip").isNull(), F.col("y")).otherwise(1 - F.col("y")).alias("y")))
+    assert all((other[i][2] == got[i][2]) == (i % 3 == 0) for i in got)
+
+
 def test_steps_are_labelled_whole(task):
     rows = task.select("id", "fold", "x", F.col("steps").alias("y"))
     got = net.cross_validate_steps(rows, 3, "lstm", 6, hidden=8, epochs=10).collect()
