@@ -179,7 +179,7 @@ def out_of_fold(words: DataFrame, folds: DataFrame, train, dim: int) -> DataFram
 
 
 def kmer_out_of_fold(seqs: DataFrame, k: int, alphabet: str, dim: int, window: int = 5, min_count: int = 5, seed: int = 42) -> DataFrame:
-    """seq_id, fold, features: out_of_fold() of word2vec() for k-mers. seqs: seq_id, seq, fold. Each fold's words are counted once; a fold's
+    """seq_id, fold, features, mean: out_of_fold() of word2vec() for k-mers, and embed_kmers()' mean. seqs: seq_id, seq, fold. Each fold's words are counted once; a fold's
     vectors are fitted on the others' counts, and its sequences embedded where they stand. The 4^k vectors at most reach the driver."""
     from .bow import kmer_neighbours
 
@@ -189,7 +189,7 @@ def kmer_out_of_fold(seqs: DataFrame, k: int, alphabet: str, dim: int, window: i
         part = kmer_neighbours(seqs.where(F.col("fold") == f), k, alphabet, window).withColumn("fold", F.lit(f))
         near = part if near is None else near.unionByName(part)
     if near is None:
-        return seqs.select("seq_id", "fold", F.array().cast("array<double>").alias("features"))
+        return seqs.select("seq_id", "fold", *[F.array().cast("array<double>").alias(c) for c in ("features", "mean")])
     near = stash(near, "near")
     out = None
     for f in folds:
@@ -197,13 +197,15 @@ def kmer_out_of_fold(seqs: DataFrame, k: int, alphabet: str, dim: int, window: i
         vectors = {r["word"]: r["vector"] for r in skip_gram(others, dim, window, min_count, seed).collect()}
         part = embed_kmers(seqs.where(F.col("fold") == f), k, alphabet, vectors, dim).withColumn("fold", F.lit(f))
         out = part if out is None else out.unionByName(part)
-    return out.select("seq_id", "fold", "features")
+    return out.select("seq_id", "fold", "features", "mean")
 
 
 def embed_kmers(seqs: DataFrame, k: int, alphabet: str, vectors: dict[str, list[float]], dim: int) -> DataFrame:
-    """embed() of a sequence's k-mers where it stands: seq_id, features. Windows without a vector are zeros; sequences without windows have
-    no row."""
-    table = np.array([vectors.get(w, [0.0] * dim) for w in universe(k, alphabet)] + [[0.0] * dim])  # the last for -1
+    """embed() of a sequence's k-mers where it stands: seq_id, features, mean. Windows without a vector are zeros in features; mean is that
+    of the windows that have one, zeros if none has. Sequences without windows have no row."""
+    names = universe(k, alphabet)
+    table = np.array([vectors.get(w, [0.0] * dim) for w in names] + [[0.0] * dim])  # the last for -1
+    known = np.array([w in vectors for w in names] + [False])
 
     def made(column: pa.Array) -> tuple[np.ndarray, dict[str, pa.Array]]:
         codes, at = A.letter_codes(column, alphabet)
@@ -211,9 +213,13 @@ def embed_kmers(seqs: DataFrame, k: int, alphabet: str, vectors: dict[str, list[
         size = np.bincount(row, minlength=len(column))
         has = np.flatnonzero(size)
         ends = np.concatenate([[0], np.cumsum(size[has] * dim)]).astype(np.int32)
-        return has, {"features": pa.ListArray.from_arrays(pa.array(ends), pa.array(table[code].ravel()))}
+        each = table[code]
+        n = np.maximum(np.bincount(row, known[code], len(column))[has], 1)
+        mean = np.stack([np.bincount(row, v, len(column))[has] / n for v in each.T], 1)
+        places = pa.array(np.arange(len(has) + 1, dtype=np.int32) * dim)
+        return has, {"features": pa.ListArray.from_arrays(pa.array(ends), pa.array(each.ravel())), "mean": pa.ListArray.from_arrays(places, pa.array(mean.ravel()))}
 
-    return A.by_row(seqs, 1, made, "features array<double>")
+    return A.by_row(seqs, 1, made, "features array<double>, mean array<double>")
 
 
 def _grams(word: str, shortest: int, longest: int) -> Column:

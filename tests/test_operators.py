@@ -538,3 +538,16 @@ def test_divergence_of_vectors_of_several_lengths_is_that_of_its_sql(spark, tmp_
     con.executemany("INSERT INTO v VALUES (?, ?)", [(i, v.tolist()) for i, v in enumerate(x)])
     got = score.divergence(x, x)
     assert all(got[i, j] == s for i, j, s in con.sql(f"SELECT a.i, b.i, {_SCORES['KLD']} FROM v a, v b").fetchall())
+
+
+def test_sequences_are_embedded_by_their_words_vectors(spark, tmp_path):
+    from helixframe.plans.catalogue import QUERIES
+
+    made = {"AA": [1.0, 2.0], "AC": [3.0, -2.0]}
+    got = {r.seq_id: (r.features, r["mean"]) for r in weighting.embed_kmers(seqs(spark, "AAACA", "CACG", "GG", "A"), 2, T.DNA, made, 2).collect()}
+    assert [got[i] for i in sorted(got)] == [([1.0, 2.0, 1.0, 2.0, 3.0, -2.0, 0.0, 0.0], [5 / 3, 2 / 3]), ([0.0, 0.0, 3.0, -2.0, 0.0, 0.0], [3.0, -2.0]), ([0.0, 0.0], [0.0, 0.0])]
+    rng = np.random.default_rng(4)
+    spark.createDataFrame([(i, "".join(rng.choice(list("ACGT"), 80))) for i in range(30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["word2vec_out_of_fold"](spark, str(tmp_path)).collect()
+    assert len(rows) == 30 and all(r["size"] == len(r.features) == 78 * 6 for r in rows)
+    assert all(r["mean"] == pytest.approx(np.reshape(r.features, (78, 6)).mean(0)) and np.abs(r["mean"]).max() > 0 for r in rows)
